@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What the tasks need of this package travels with them, so that executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
+
 # Word patterns of the query contracts.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +37,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shipped(spark, thing):
+    """A function that gives ``thing`` in any task; its attributes are broadcast, its class travels with the function."""
+    sent, kind = spark.sparkContext.broadcast(vars(thing)), type(thing)
+
+    def here():
+        held = object.__new__(kind)
+        held.__dict__ = sent.value
+        return held
+
+    return here
+
+
 def alnum_words(text: bytes | None) -> list[bytes]:
     """Lower-cased (A-Z only) runs of letters, digits and non-ASCII characters, as UTF-8."""
     return text.translate(ALNUM_TABLE).split() if text else []

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cadenza.llm import chat_format, license_scan, mixing
+from cadenza.llm import chat_format, decontaminate, language_id, license_scan, mixing, quality_classifier, quality_rules, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_url_filter": url_filter.op3_url_filter,
+        "op4_language_id": language_id.op4_language_id,
         "op5_source_mixing": mixing.op5_source_mixing,
         "op7_chat_format": chat_format.op7_chat_format,
+        "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -18,6 +23,9 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan.op1_sql(),
+        "op2_decontaminate": decontaminate.OP2_SQL,
+        "op3_url_filter": url_filter.op3_sql(),
         "op5_source_mixing": mixing.OP5_SQL,
         "op7_chat_format": chat_format.OP7_SQL,
+        "op8_quality_rules": quality_rules.OP8_SQL,
     }
