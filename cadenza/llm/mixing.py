@@ -20,6 +20,9 @@ WEIGHTS, SHARE_NUM, SHARE_DEN, CEILING = (3, 1, 2), 3, 2, 2
 #: Hash bits, and bits by which each pass splits the boundary bucket.
 HASH_BITS, PASS_BITS = 60, 12
 
+#: Sources up to this number are broadcast to the documents; more are joined by a shuffle.
+MAX_BROADCAST_SOURCES = 100_000
+
 
 def hash60(doc_id: Column) -> Column:
     """60 bits of the id's md5; a null id counts as the empty text."""
@@ -57,23 +60,21 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return opened.select("source", "source_size", target.alias("target"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for every row.
+def _sizes(docs: DataFrame, doc_id: str, source: str, text: str) -> list[Column]:
+    return [
+        F.col(doc_id).alias("doc_id"),
+        F.col(source).cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col(text), F.lit(SPACED_WORD)), F.lit(0)).cast("bigint").alias("size"),
+        hash60(F.col(doc_id)).alias("h"),
+    ]
 
-    ``copies`` is how often the mix takes the document: whole rounds of its source,
-    and one more if its hash lies under the source's threshold. The last document
-    is taken if the sum then ends nearer to the target. Rows of one source that
-    share an id are taken alike; a null id counts as an empty one, null text has
-    size 0, null is a source of its own, and an empty table gives no rows.
+
+def source_bounds(sized: DataFrame) -> DataFrame:
+    """(source, source_size, target, rounds, bound, fits): what decides on each document of a source.
+
+    ``sized`` has (source, size, h). One pass sums sizes by source and leading bits;
+    every other pass reads only the bucket in which a budget ends.
     """
-    sized = checkpointed(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            F.col(source).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(SPACED_WORD)), F.lit(0)).cast("bigint").alias("size"),
-            hash60(F.col(doc_id)).alias("h"),
-        )
-    )
     targets = checkpointed(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
     # The budget of the last, partial round; sizes are non-negative and below 2**53.
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
@@ -82,7 +83,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     inside, shift = sized.select(F.col("source").alias("s"), "size", "h"), HASH_BITS
     while shift > 0:
         shift -= PASS_BITS
-        bucket = F.floor(F.col("h") / F.lit(1 << shift)).cast("bigint") if shift > 52 else F.shiftright("h", shift)
+        bucket = F.shiftright("h", shift)
         histogram = inside.groupBy(F.col("s"), bucket.alias("b")).agg(F.sum("size").alias("n"))
         running = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
         # The budget ends in the last bucket that starts within it.
@@ -98,11 +99,44 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
         if shift:
             inside = checkpointed(inside.join(found.select("source", "bucket"), F.col("s").eqNullSafe(F.col("source")) & (bucket == F.col("bucket"))).select("s", "size", "h"))
     # Whole hash known: its documents are in if at least half of them fits.
-    bounds = budget.join(found.select(F.col("source").alias("s"), F.col("bucket").alias("bound"), (F.col("left") * 2 >= F.col("n")).alias("fits")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "budget").withColumnRenamed("source", "key")
+    last = found.select(F.col("source").alias("s"), F.col("bucket").alias("bound"), (F.col("left") * 2 >= F.col("n")).alias("fits"))
+    return checkpointed(budget.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "budget"))
+
+
+def _copies() -> Column:
     extra = F.when((F.col("h") < F.col("bound")) | ((F.col("h") == F.col("bound")) & F.col("fits")), 1).otherwise(0)
-    return sized.join(bounds, F.col("source").eqNullSafe(F.col("key"))).select(
-        "doc_id", "source", "size", "source_size", "target", F.when(F.col("target") >= F.col("source_size") * CEILING, F.lit(CEILING)).otherwise(F.col("rounds") + extra).cast("int").alias("copies")
-    )
+    return F.when(F.col("target") >= F.col("source_size") * CEILING, F.lit(CEILING)).otherwise(F.col("rounds") + extra).cast("int")
+
+
+def _joined(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Rows with their source's bounds, which are broadcast while there are few sources."""
+    bounds = bounds.withColumnRenamed("source", "__key")
+    few = bounds.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
+    return rows.join(F.broadcast(bounds) if few else bounds, F.col("source").eqNullSafe(F.col("__key")))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for every row.
+
+    ``copies`` is how often the mix takes the document: whole rounds of its source,
+    and one more if its hash lies under the source's threshold. The last document
+    is taken if the sum then ends nearer to the target. Rows of one source that
+    share an id are taken alike; a null id counts as an empty one, null text has
+    size 0, null is a source of its own, and an empty table gives no rows.
+    """
+    sized = checkpointed(docs.select(*_sizes(docs, doc_id, source, text)))
+    return _joined(sized, source_bounds(sized)).select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, in their own columns and ``copy``, from 1."""
+    columns = docs.columns
+    inner = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    at = {name: f"c{i}" for i, name in enumerate(columns)}
+    sized = checkpointed(inner.select(*_sizes(inner, at[doc_id], at[source], at[text])))
+    rows = inner.withColumn("source", F.col(at[source]).cast("string")).withColumn("h", hash60(F.col(at[doc_id])))
+    taken = _joined(rows, source_bounds(sized)).withColumn("copies", _copies()).filter("copies > 0")
+    return taken.select(*(F.col(at[c]).alias(c) for c in columns), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cadenza.llm import chat_format, decontaminate, language_id, license_scan, mixing, quality_classifier, quality_rules, url_filter
+from cadenza.llm import chat_format, decontaminate, jaccard_join, language_id, license_scan, lm_score, mixing, quality_classifier, quality_rules, url_filter
 
 
 def queries() -> dict:
@@ -13,8 +13,10 @@ def queries() -> dict:
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_language_id": language_id.op4_language_id,
         "op5_source_mixing": mixing.op5_source_mixing,
+        "op6_lm_score": lm_score.op6_lm_score,
         "op7_chat_format": chat_format.op7_chat_format,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "pipeline": corpus_pipeline.run,
     }
