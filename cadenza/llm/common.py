@@ -39,6 +39,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of rows that Spark hands to Python at once, where the session leaves its default of 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark) -> None:
+    """Keeps Arrow batches small: without it long texts make batches that two workers and the JVM hold several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "64MB", "67108864b"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def few(df: DataFrame, most: int) -> bool:
+    """Whether ``df`` has so many rows at most; no more than one above are counted."""
+    return df.limit(most + 1).count() <= most
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as a compressed table beside the checkpoints; removed when the driver ends."""
     spark = df.sparkSession

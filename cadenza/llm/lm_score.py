@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import checkpointed, id_remainder, shipped, slices, spaced_words, stored
+from cadenza.llm.common import checkpointed, id_remainder, shipped, slices, small_batches, spaced_words, stored
 
 #: Contexts of three bytes that the trie keeps. With all of two bytes its table has under (16,384 + 257 * 257) * 257 entries.
 MAX_CONTEXTS = 16_384
@@ -32,9 +32,9 @@ MAX_CONTEXTS = 16_384
 #: Additive smoothing of the base score.
 SMOOTHING = 0.1
 
-#: Text of one chunk, in bytes.
-CHUNK_BYTES = 32 << 20
-_SLICE = 4 << 20
+#: Text of one chunk, in bytes, and its documents: a place in a chunk has 16 bits.
+CHUNK_BYTES, CHUNK_DOCS = 12 << 20, 1 << 16
+_SLICE = 2 << 20
 
 #: Token that ends every text; no word can hold a line break. Symbol before and after every text.
 END_TOKEN, EDGE = b"\n", 256
@@ -109,16 +109,15 @@ class Counter:
             ends = np.searchsorted(token, np.arange(len(self.number)) + 1)
             starts = np.concatenate([[0], ends[:-1]])
             train = np.add.reduceat(np.where(held[doc], 0, times), starts)
-            # A posting is a document's place in the chunk and a count; most counts fit into the upper bits.
+            # Postings are the documents' places in the chunk, and behind them their counts where one is above 1.
             words = list(self.number)
-            plain = (times << 24 | doc).astype(np.uint64)
-            small = bool((times < 256).all())
-            body = plain.astype(np.uint32).tobytes() if small else plain.tobytes()
-            size = 4 if small else 8
+            places, often = doc.astype(np.uint16).tobytes(), times.astype(np.uint32).tobytes()
+            single = np.maximum.reduceat(times, starts) == 1
+            del pairs, token, doc, times
             for a in range(0, len(words), _ROWS_OUT):
                 b = min(a + _ROWS_OUT, len(words))
-                postings = [body[size * s : size * e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-                yield self._batch(0 if small else 3, words[a:b], [chunk] * (b - a), train[a:b], postings)
+                postings = [places[2 * s : 2 * e] if one else places[2 * s : 2 * e] + often[4 * s : 4 * e] for s, e, one in zip(starts[a:b].tolist(), ends[a:b].tolist(), single[a:b].tolist(), strict=True)]
+                yield self._batch(np.where(single[a:b], 0, 3), words[a:b], [chunk] * (b - a), train[a:b], postings)
         codes, counts = self.codes
         for a in range(0, len(codes), _ROWS_OUT):
             part = codes[a : a + _ROWS_OUT]
@@ -126,9 +125,9 @@ class Counter:
         self.begin()
 
     @staticmethod
-    def _batch(kind: int, token, chunk, n, docs) -> pa.RecordBatch:
+    def _batch(kind, token, chunk, n, docs) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(chunk), pa.int8()), pa.array(token, pa.binary()), pa.array(chunk, pa.int64()), pa.array(n, pa.int64()), pa.array(docs, pa.binary())], ["kind", "token", "chunk", "n", "docs"]
+            [pa.array(np.broadcast_to(kind, len(chunk)).astype(np.int8)), pa.array(token, pa.binary()), pa.array(chunk, pa.int64()), pa.array(n, pa.int64()), pa.array(docs, pa.binary())], ["kind", "token", "chunk", "n", "docs"]
         )
 
 
@@ -138,10 +137,12 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, keys, held = (batch.column(i) for i in range(4))
         for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), _SLICE):
-            some = [t or b"" for t in texts.slice(a, b - a).cast(pa.large_binary()).to_pylist()]
-            counter.add(ids.slice(a, b - a).to_pylist(), some, keys.slice(a, b - a).to_pylist(), held.slice(a, b - a).to_pylist())
-            if counter.bytes >= CHUNK_BYTES or len(counter.ids) >= 1 << 20:
-                yield from counter.rows()
+            for x in range(a, b, CHUNK_DOCS // 2):
+                n = min(b - x, CHUNK_DOCS // 2)
+                some = [t or b"" for t in texts.slice(x, n).cast(pa.large_binary()).to_pylist()]
+                counter.add(ids.slice(x, n).to_pylist(), some, keys.slice(x, n).to_pylist(), held.slice(x, n).to_pylist())
+                if counter.bytes >= CHUNK_BYTES or len(counter.ids) > CHUNK_DOCS // 2:
+                    yield from counter.rows()
     yield from counter.rows()
 
 
@@ -154,14 +155,16 @@ def _chunk_sums(table: pa.Table) -> pa.Table:
     at = int(np.flatnonzero(kinds == 2)[0])
     ids, known, keys, tokens = np.frombuffer(zlib.decompress(table["docs"][at].as_py()), np.int64).reshape(4, -1)
     logs, seen = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-    for kind, width in ((0, np.uint32), (3, np.uint64)):
-        mine = table.filter(pa.array(kinds == kind))
-        docs = mine["docs"].combine_chunks()
-        sizes = pc.binary_length(docs).to_numpy(zero_copy_only=False) // np.dtype(width).itemsize if len(mine) else np.zeros(0, np.int64)
-        flat = np.frombuffer(b"".join(docs.to_pylist()), width).astype(np.int64)
-        doc, times = flat & 0xFFFFFF, flat >> 24
-        logs += np.bincount(doc, times * np.repeat(mine["log"].to_numpy(), sizes), len(ids))
-        seen += np.bincount(doc, times * np.repeat(mine["known"].to_numpy(), sizes), len(ids)).astype(np.int64)
+    counts = table["c"].to_numpy()
+    for kind, size in ((0, 2), (3, 6)):
+        mine = np.flatnonzero(kinds == kind)
+        raw = table["docs"].take(pa.array(mine)).to_pylist()
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // size
+        places = np.frombuffer(b"".join(r[: 2 * n] for r, n in zip(raw, sizes.tolist(), strict=True)), np.uint16)
+        times = np.frombuffer(b"".join(r[2 * n :] for r, n in zip(raw, sizes.tolist(), strict=True)), np.uint32) if kind else np.ones(len(places), np.uint32)
+        own = np.repeat(np.log10(counts[mine] + SMOOTHING), sizes)
+        logs += np.bincount(places, times * own, len(ids))
+        seen += np.bincount(places, times * np.repeat(counts[mine] > 0, sizes), len(ids)).astype(np.int64)
     firsts = np.zeros(len(ids), np.int64)
     firsts[0] = int(pc.sum(table["first"]).as_py() or 0)
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=known == 0), "key": pa.array(keys, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(seen, pa.int64()), "logs": pa.array(logs, pa.float64()), "firsts": pa.array(firsts, pa.int64())})
@@ -171,10 +174,8 @@ def base_scores(seen: DataFrame) -> tuple[DataFrame, int]:
     """(doc_id, key, n_tokens, n_known, base_score), and the number of training tokens."""
     tokens = seen.filter("kind IN (0, 3)")
     counts = tokens.groupBy("token").agg(F.sum("n").alias("c"), F.min("chunk").alias("home"))
-    told = tokens.join(counts, "token").select(
-        "kind", "chunk", "docs", F.log10(F.col("c") + SMOOTHING).alias("log"), F.when(F.col("c") > 0, 1).otherwise(0).cast("bigint").alias("known"), F.when((F.col("c") > 0) & (F.col("chunk") == F.col("home")), 1).otherwise(0).cast("bigint").alias("first")
-    )
-    documents = seen.filter("kind = 2").select("kind", "chunk", "docs", F.lit(0.0).alias("log"), F.lit(0).cast("bigint").alias("known"), F.lit(0).cast("bigint").alias("first"))
+    told = tokens.select("kind", "token", "chunk", "docs").join(counts, "token").select("kind", "chunk", "docs", "c", ((F.col("c") > 0) & (F.col("chunk") == F.col("home"))).alias("first"))
+    documents = seen.filter("kind = 2").select("kind", "chunk", "docs", F.lit(0).cast("bigint").alias("c"), F.lit(False).alias("first"))
     sums = checkpointed(told.unionByName(documents).groupBy("chunk").applyInArrow(_chunk_sums, _SUMS))
     total = tokens.agg(F.sum("n").alias("n")).first()["n"] or 0
     distinct = sums.agg(F.sum("firsts").alias("v")).first()["v"] or 0
@@ -262,6 +263,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     training documents every token is unknown and bytes are equally likely. Rows that
     are the same in id and text score alike; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     inner = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     held = id_remainder(F.col("id"), modulus) == 0
     key = F.xxhash64(F.coalesce("text", F.lit("")))
