@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +53,13 @@ def small_batches(spark) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def tidy() -> None:
+    """Gives memory that a batch has freed back to the system; workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def few(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has so many rows at most; no more than one above are counted."""
     return df.limit(most + 1).count() <= most
@@ -62,7 +72,7 @@ def stored(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cadenza-"))
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_removed, sc, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import alnum_words, checkpointed, shipped, slices
+from cadenza.llm.common import alnum_words, checkpointed, shipped, slices, small_batches, tidy
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 10
@@ -25,7 +25,7 @@ WINDOW = 10
 #: Benchmark words that are sent to the tasks at once; a larger benchmark goes in blocks, one pass each.
 BLOCK_WORDS = 1_000_000
 
-_SHARD = 8 << 20
+_SHARD = 4 << 20
 _STRIDE = 32
 _SPANS = pa.list_(pa.struct([("item", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())]))
 _TYPE = "struct<n_words:bigint,spans:array<struct<item:string,item_start:bigint,doc_start:bigint,n_words:bigint>>>"
@@ -182,10 +182,13 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK
 
 
 def _searched(spark, items: Items, text: Column) -> Column:
+    small_batches(spark)
     here = shipped(spark, items)
 
     def found(t: pa.Array) -> pa.Array:
-        return here().search(t)
+        told = here().search(t)
+        tidy()
+        return told
 
     return F.arrow_udf(found, _TYPE)(text.cast("string"))
 

@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import checkpointed, shipped, slices, spaced_words
+from cadenza.llm.common import checkpointed, few, shipped, slices, small_batches, spaced_words, tidy
 
 WORDS = 5
 #: Links have at least this Jaccard similarity, in percent.
 PERCENT = 80
 
 #: Counters of the frequency sketch and the parts in which it is summed.
-SKETCH_BITS, SKETCH_PARTS = 22, 64
+SKETCH_BITS, SKETCH_PARTS = 21, 64
 
 #: A block with more members is one region without the bitmaps' help.
 MAX_BLOCK = 20_000
@@ -45,7 +45,7 @@ MAX_REGION, PIVOTS, MAX_DEPTH = 2_000_000, 8, 12
 #: Ids up to this number are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, 2 * WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -113,6 +113,7 @@ def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
             columns = [ids, [len(x) for x in sets], keys, [None] * len(ids), [None] * len(ids)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        tidy()
     if counts is not None:
         parts = np.split(counts, SKETCH_PARTS)
         columns = [[None] * SKETCH_PARTS] * 3 + [list(range(SKETCH_PARTS)), [zlib.compress(p.tobytes(), 1) for p in parts]]
@@ -125,7 +126,7 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def frequency_sketch(parts: DataFrame) -> np.ndarray:
-    """Twice the log2 of every counter: 4 MB at any size of the corpus. Summed in two steps, so that no task holds them all."""
+    """Twice the log2 of every counter: 2 MB at any size of the corpus. Summed in two steps, so that no task holds them all."""
     salted = parts.select("part", F.pmod(F.hash("counts"), F.lit(64)).alias("salt"), "counts")
     once = salted.groupBy("part", "salt").applyInArrow(_added, "part int, salt int, counts binary")
     rows = once.groupBy("part").applyInArrow(_added, "part int, salt int, counts binary").select("part", "counts").collect()
@@ -163,6 +164,7 @@ class Blocker:
                     [pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts), pa.int64())), pa.array(bits, pa.binary())],
                     ["x", "n", "firsts", "bits"],
                 )
+            tidy()
 
 
 def _folded(rows: np.ndarray) -> np.ndarray:
@@ -373,12 +375,12 @@ def joined_regions(members: DataFrame) -> list[DataFrame]:
 
 def _chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of the given distinct ids, broadcast while their number is bounded."""
-    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.join(F.broadcast(ids) if few(ids, MAX_BROADCAST_IDS) else ids, "doc_id", "left_semi")
 
 
 def component_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For (doc_id bigint, text): the sets (doc_id, n, key), the classes (key, rep), and (node, root) of linked classes."""
+    small_batches(docs.sparkSession)
     seen = checkpointed(docs.mapInArrow(summarised, _SETS))
     sets = seen.filter("part IS NULL").select("doc_id", "n", "key")
     classes = checkpointed(sets.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"))
@@ -408,6 +410,7 @@ def component_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         for batch in batches:
             for ids, texts in _texts(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in shingle_sets(texts)], pa.binary())], ["x", "items"])
+            tidy()
 
     found = _chosen_texts(docs, regions.select(F.col("node").alias("doc_id"))).mapInArrow(items, "x bigint, items binary")
     # A document that is repeated under its id with other texts has several sets, all under that id.
@@ -441,8 +444,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     at = {name: f"c{i}" for i, name in enumerate(columns)}
     found = checkpointed(components(inner.select(F.col(at[doc_id]).alias("doc_id"), F.col(at[text]).alias("text"))))
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    few = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    kept = inner.join(F.broadcast(gone) if few else gone, F.col(at[doc_id]).cast("bigint") == F.col("__gone"), "left_anti")
+    kept = inner.join(F.broadcast(gone) if few(gone, MAX_BROADCAST_IDS) else gone, F.col(at[doc_id]).cast("bigint") == F.col("__gone"), "left_anti")
     if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         repeated = kept.filter(F.col(at[doc_id]).isNotNull()).dropDuplicates([at[doc_id]])
         kept = repeated.unionByName(kept.filter(F.col(at[doc_id]).isNull()))

@@ -15,10 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import id_remainder, shipped, slices
+from cadenza.llm.common import id_remainder, shipped, slices, small_batches, tidy
 
 #: Bounds of the labelled sample: documents a language, code points of each, and code points a language.
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS = 128, 1024, 65_536
+SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS = 128, 1024, 32_768
 
 #: Bound of all transition tables together; with many languages each gets a smaller sample.
 TABLE_BYTES = 160 << 20
@@ -33,7 +33,7 @@ LANE = 1024
 MAX_RATE = 0.7
 
 UNKNOWN = "und"
-_SLICE = 6 << 20
+_SLICE = 3 << 20
 
 
 def letter_classes(samples: list[str]) -> tuple[np.ndarray, int]:
@@ -200,10 +200,13 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str
 
 
 def prediction(spark, model: Model, text: Column) -> Column:
+    small_batches(spark)
     here = shipped(spark, model)
 
     def predicted(t: pa.Array) -> pa.Array:
-        return here().predict(t)
+        told = here().predict(t)
+        tidy()
+        return told
 
     return F.arrow_udf(predicted, "struct<lang:string,score:double,rate:double>")(text.cast("string"))
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import id_remainder, slices
+from cadenza.llm.common import id_remainder, slices, small_batches
 
 #: Bounds of the training sample.
 MAX_POSITIVES, MAX_UNLABELLED = 6000, 6000
@@ -23,7 +23,7 @@ MAX_POSITIVES, MAX_UNLABELLED = 6000, 6000
 DEFAULT_PRIOR, LEAST_PRIOR = 0.5, 0.05
 
 THRESHOLD = 0.3
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _PAIRS = 8
 
 
@@ -123,6 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     MAX_POSITIVES with the smallest id hash, and as unlabelled the MAX_UNLABELLED
     such documents. The prior is the share of positives among those labels.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("id"), F.col(quality).alias("q")).filter((id_remainder(F.col("id"), 5) != 0) & F.col("q").isNotNull() & F.col("id").isNotNull())
     share = known.agg(F.avg((F.col("q") == 1).cast("double")).alias("p")).first()["p"]
     prior = DEFAULT_PRIOR if share is None else min(max(share, LEAST_PRIOR), 1 - LEAST_PRIOR)
@@ -136,6 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score_column(spark, model, text: Column) -> Column:
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def score(t: pa.Array) -> pa.Array:

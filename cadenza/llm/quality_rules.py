@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import checkpointed, slices
+from cadenza.llm.common import checkpointed, few, slices, small_batches, tidy
 
 # Fixed values of the contract: least words, and the share of repeated words in percent.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -24,12 +24,15 @@ MAX_SYMBOLS_PER_WORD, MAX_UPPER, MAX_DUP_LINES = 1.0, 0.5, 0.3
 #: A host whose shrunk failure rate is above STRICT loses every document with a failure; above BANNED, all of them.
 STRICT, BANNED = 0.4, 0.8
 
+#: Hosts up to this number are broadcast to the documents; more are joined by a shuffle.
+MAX_BROADCAST_HOSTS = 100_000
+
 _SPACES = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 _MIX = np.random.default_rng(20).integers(1, 1 << 63, WINDOW + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 METRICS = pa.struct([(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")])
@@ -100,7 +103,9 @@ def measure(texts: pa.Array) -> pa.Array:
 
 def metrics_column(text: Column) -> Column:
     def measured(t: pa.Array) -> pa.Array:
-        return measure(t)
+        told = measure(t)
+        tidy()
+        return told
 
     return F.arrow_udf(measured, _TYPE)(text.cast("string"))
 
@@ -134,6 +139,8 @@ def host_verdicts(measured: DataFrame, host: str, metrics: str) -> DataFrame:
 def judged(measured: DataFrame, hosts: DataFrame, host: str, metrics: str) -> DataFrame:
     """``measured`` with ``__base_failed``, ``__host_rate`` and ``__kept``."""
     verdicts = hosts.select(F.col("host").alias("__host"), F.col("rate").alias("__host_rate"))
+    if few(verdicts, MAX_BROADCAST_HOSTS):
+        verdicts = F.broadcast(verdicts)
     m, rate = F.col(metrics), F.col("__host_rate")
     soft = soft_failures(m)
     kept = ~base_failed(m) & (soft < 2) & ~((soft > 0) & (rate > STRICT)) & (rate <= BANNED)
@@ -148,6 +155,7 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text:
     a host above BANNED. Null or empty text has no words and fails; null is a host
     of its own; repeated rows are judged alike; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     measured = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), metrics_column(F.col(text)).alias("m")))
     rows = judged(measured, host_verdicts(measured, "host", "m"), "host", "m")
     return rows.select("doc_id", "m.*", F.col("__base_failed").alias("base_failed"), F.col("__host_rate").alias("host_rate"), F.col("__kept").alias("kept"))
@@ -155,6 +163,7 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text:
 
 def kept_documents(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``assess`` keeps, in their own columns. Texts are measured again rather than shuffled."""
+    small_batches(docs.sparkSession)
     columns = docs.columns
     inner = docs.toDF(*(f"c{i}" for i in range(len(columns))))
     at = {name: f"c{i}" for i, name in enumerate(columns)}
