@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import binary
 from cadenza.functions import scalars as S
 from cadenza.operators import flow, joins, ordering, pacing, rates, sync
-from cadenza.sources import timing_log
+from cadenza.sources import timing_log, wav
 
 
 def frames(spark, times):
@@ -129,3 +129,10 @@ def test_global_intervals_equal_window(spark):
     a = ordering.with_global_intervals(df, ["ts_us", "frame_id"]).orderBy("frame_index").collect()
     b = ordering.with_intervals(df, ["session_id"], ["ts_us", "frame_id"]).orderBy("frame_index").collect()
     assert [(r["frame_index"], r["interval_ms"]) for r in a] == [(r["frame_index"], r["interval_ms"]) for r in b]
+
+
+def test_wav_images(spark):
+    rows = [("s", 20, 1, 0, b"\x05\x06\x07\x08"), ("s", 10, 1, 0, b"\x01\x02\x03\x04"), ("s", 30, 2, 2, b"\x09" * 8)]
+    df = spark.createDataFrame(rows, "stream string, ts_us bigint, num_frames int, flags int, data binary")
+    (row,) = wav.wav_images(df, ["stream"]).collect()
+    assert bytes(row["wav"]) == binary.wav_header(False, 2, 48_000, 16, 16) + bytes(range(1, 9)) + bytes(8)
