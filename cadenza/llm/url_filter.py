@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ascii_lower, checkpointed
+from cadenza.llm.common import ascii_lower, checkpointed, few
 
 # Fixed values of the contract: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -18,6 +18,9 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Share of a walk that follows links, and steps of both walks.
 DAMPING, STEPS = 0.85, 10
 
+#: Host tables up to this many rows are broadcast to the pages; larger ones are joined by a shuffle.
+MAX_BROADCAST_HOSTS = 200_000
+
 #: A host is a seed if more than this share of its pages has that verdict from rules.
 SEED_SHARE = 0.5
 
@@ -80,6 +83,10 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, ste
     return scores.groupBy("host").agg(one("t").alias("trust"), one("d").alias("distrust"))
 
 
+def _small(hosts: DataFrame) -> DataFrame:
+    return F.broadcast(hosts) if few(hosts, MAX_BROADCAST_HOSTS) else hosts
+
+
 def judge_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row.
 
@@ -93,14 +100,14 @@ def judge_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str
     told = spark.createDataFrame([(v, h, p) for v, h, p in rules], "verdict string, r_host string, r_path string") if not isinstance(rules, DataFrame) else rules
     at = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     by_host = checkpointed(host_rules(at.select("host").distinct(), told))
-    ruled = at.join(by_host, "host", "left").withColumn("fit", F.get(F.filter("rules", lambda r: F.col("path").startswith(r["path"])), F.lit(0))).drop("rules")
+    ruled = at.join(_small(by_host), "host", "left").withColumn("fit", F.get(F.filter("rules", lambda r: F.col("path").startswith(r["path"])), F.lit(0))).drop("rules")
     ruled = checkpointed(ruled.select("page_id", "host", "path", "fit.rule", "fit.verdict"))
     share = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)) / F.count("*")
     seeds = ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("a"), share("block").alias("b")).select("host", F.when(F.col("a") > SEED_SHARE, 1.0).otherwise(0.0).alias("trust"), F.when(F.col("b") > SEED_SHARE, 1.0).otherwise(0.0).alias("distrust"))
     links = host_edges(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")), "host", "html")
     scores = propagated(seeds, links)
     verdict = F.coalesce(F.col("verdict"), F.when(F.coalesce(F.col("distrust"), F.lit(0.0)) > F.coalesce(F.col("trust"), F.lit(0.0)), "block").otherwise("allow"))
-    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    return ruled.join(_small(checkpointed(scores)), "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
