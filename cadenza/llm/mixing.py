@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SPACED_WORD, checkpointed
+from cadenza.llm.common import SPACED_WORD, checkpointed, few
 
 # The contract's weights by position, share and ceiling.
 WEIGHTS, SHARE_NUM, SHARE_DEN, CEILING = (3, 1, 2), 3, 2, 2
@@ -97,7 +97,8 @@ def source_bounds(sized: DataFrame) -> DataFrame:
         )
         found = checkpointed(cut)
         if shift:
-            inside = checkpointed(inside.join(found.select("source", "bucket"), F.col("s").eqNullSafe(F.col("source")) & (bucket == F.col("bucket"))).select("s", "size", "h"))
+            wanted = found.select("source", "bucket")
+            inside = checkpointed(inside.join(F.broadcast(wanted) if few(wanted, MAX_BROADCAST_SOURCES) else wanted, F.col("s").eqNullSafe(F.col("source")) & (bucket == F.col("bucket"))).select("s", "size", "h"))
     # Whole hash known: its documents are in if at least half of them fits.
     last = found.select(F.col("source").alias("s"), F.col("bucket").alias("bound"), (F.col("left") * 2 >= F.col("n")).alias("fits"))
     return checkpointed(budget.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "budget"))
@@ -111,8 +112,7 @@ def _copies() -> Column:
 def _joined(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     """Rows with their source's bounds, which are broadcast while there are few sources."""
     bounds = bounds.withColumnRenamed("source", "__key")
-    few = bounds.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
-    return rows.join(F.broadcast(bounds) if few else bounds, F.col("source").eqNullSafe(F.col("__key")))
+    return rows.join(F.broadcast(bounds) if few(bounds, MAX_BROADCAST_SOURCES) else bounds, F.col("source").eqNullSafe(F.col("__key")))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
