@@ -41,6 +41,8 @@ SKETCH_BITS, SKETCH_PARTS = 21, 64
 MAX_BLOCK = 20_000
 #: A region with more shingles is split by pivots; so many pivots at once, and so many times at most before it is joined in one task.
 MAX_REGION, PIVOTS, MAX_DEPTH = 2_000_000, 8, 12
+#: Shingles of the part of a large region that one task compares with the pivots.
+PART_SHINGLES = 500_000
 
 #: Ids up to this number are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
@@ -313,39 +315,37 @@ def _region_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[root[moved]], pa.int64())})
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of members joined with their region's pivots: links to pivots, and memberships of cells with the distance from the cell's pivot."""
+_CELLS = "cell string, x bigint, items binary, distance double, link bigint"
+
+
+def _cells(key: tuple, members: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Of some members of a region and its pivots: links to pivots, and memberships of cells with the distance from the cell's pivot."""
     tolerance = 1 - PERCENT / 100
-    names = ["cell", "x", "items", "distance", "link"]
-    kinds = [pa.string(), pa.int64(), pa.binary(), pa.float64(), pa.int64()]
-    pivots: dict[str, tuple] = {}
-    for batch in batches:
-        rows = batch.to_pydict()
-        cell, xs, items, distances, links = [], [], [], [], []
-        for region, x, own, px, pitems in zip(rows["region"], rows["x"], rows["items"], rows["px"], rows["pitems"], strict=True):
-            if region not in pivots:
-                pivots = {region: (px, [np.frombuffer(p, np.uint64) for p in pitems])}
-            names_, sets = pivots[region]
-            mine = np.frombuffer(own, np.uint64)
-            d = np.empty(len(sets))
-            for j, p in enumerate(sets):
-                shared = len(np.intersect1d(mine, p, assume_unique=True))
-                d[j] = 1 - shared / (len(mine) + len(p) - shared)
-                if names_[j] != x and _similar(shared, len(mine), len(p)):
-                    cell.append(None)
-                    xs.append(x)
-                    items.append(None)
-                    distances.append(None)
-                    links.append(names_[j])
-            if x in names_:
-                continue  # compared with the whole region now
-            for j in np.flatnonzero(d <= d.min() + 2 * tolerance + 1e-9).tolist():
-                cell.append(f"{region}/{j}")
+    region, names = key[0].as_py(), pivots["px"].to_pylist()
+    sets = [np.frombuffer(p, np.uint64) for p in pivots["pitems"].to_pylist()]
+    cell, xs, items, distances, links = [], [], [], [], []
+    for x, own in zip(members["x"].to_pylist(), members["items"].to_pylist(), strict=True):
+        mine = np.frombuffer(own, np.uint64)
+        d = np.empty(len(sets))
+        for j, p in enumerate(sets):
+            shared = len(np.intersect1d(mine, p, assume_unique=True))
+            d[j] = 1 - shared / (len(mine) + len(p) - shared)
+            if names[j] != x and _similar(shared, len(mine), len(p)):
+                cell.append(None)
                 xs.append(x)
-                items.append(own)
-                distances.append(float(d[j]))
-                links.append(None)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([cell, xs, items, distances, links], kinds, strict=True)], names)
+                items.append(None)
+                distances.append(None)
+                links.append(names[j])
+        if x in names:
+            continue  # compared with the whole region now
+        for j in np.flatnonzero(d <= d.min() + 2 * tolerance + 1e-9).tolist():
+            cell.append(f"{region}/{names[j]}")
+            xs.append(x)
+            items.append(own)
+            distances.append(float(d[j]))
+            links.append(None)
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.float64(), pa.int64()]
+    return pa.table([pa.array(c, k) for c, k in zip([cell, xs, items, distances, links], kinds, strict=True)], ["cell", "x", "items", "distance", "link"])
 
 
 def joined_regions(members: DataFrame) -> list[DataFrame]:
@@ -353,17 +353,18 @@ def joined_regions(members: DataFrame) -> list[DataFrame]:
     found, link = [], "a bigint, b bigint"
     for depth in range(MAX_DEPTH + 1):
         sizes = members.groupBy("region").agg(F.sum(F.octet_length("items") / 8).alias("weight"), F.count("*").alias("n")).filter("n > 1")
-        large = checkpointed(sizes.filter((F.col("weight") > MAX_REGION) & (F.col("n") > 2 * PIVOTS) & F.lit(depth < MAX_DEPTH)).select(F.col("region").alias("r")))
+        parts = (F.floor(F.col("weight") / F.lit(PART_SHINGLES)) + 1).cast("int").alias("parts")
+        large = checkpointed(sizes.filter((F.col("weight") > MAX_REGION) & (F.col("n") > 2 * PIVOTS) & F.lit(depth < MAX_DEPTH)).select(F.col("region").alias("r"), parts))
         none = large.isEmpty()
         small = members if none else members.join(large, F.col("region") == F.col("r"), "left_anti")
         found.append(small.select("region", "x", "items").groupBy("region").applyInArrow(_region_links, link))
         if none:
             break
-        split = members.join(large, F.col("region") == F.col("r"), "left_semi")
-        # Pivots: the members with the least hash, found by a bounded aggregate.
-        least = split.select("region", F.struct(F.xxhash64("x", F.lit(depth)).alias("h"), "x", "items").alias("m"))
-        chosen = least.groupBy("region", F.pmod(F.hash("m.x"), F.lit(PIVOTS)).alias("slot")).agg(F.min("m").alias("m")).groupBy(F.col("region").alias("pr")).agg(F.collect_list("m.x").alias("px"), F.collect_list("m.items").alias("pitems"))
-        cells = checkpointed(split.join(chosen, F.col("region") == F.col("pr")).select("region", "x", "items", "px", "pitems").mapInArrow(_cells, "cell string, x bigint, items binary, distance double, link bigint"))
+        # A large region goes in parts, each with all of its pivots: the members with the least hash of each slot.
+        split = members.join(large, F.col("region") == F.col("r")).select("region", "x", "items", "parts", F.pmod(F.hash("x"), F.col("parts")).alias("part"))
+        least = split.groupBy("region", "parts", F.pmod(F.xxhash64("x"), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("x", F.lit(depth)).alias("h"), "x", "items")).alias("m"))
+        pivots = least.select(F.col("region").alias("pr"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pp"), F.col("m.x").alias("px"), F.col("m.items").alias("pitems"))
+        cells = checkpointed(split.drop("parts").groupBy("region", "part").cogroup(pivots.groupBy("pr", "pp")).applyInArrow(_cells, _CELLS))
         found.append(cells.filter("link IS NOT NULL").select(F.col("x").alias("a"), F.col("link").alias("b")))
         inside = cells.filter("cell IS NOT NULL")
         # Members that link to the cell's pivot are connected: without others nothing is left, else those within reach of others.
