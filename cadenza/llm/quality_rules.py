@@ -19,10 +19,10 @@ from cadenza.llm.common import checkpointed, few, slices, small_batches, tidy
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 #: Soft rules: symbols per word, upper-case share of ASCII letters, share of repeated lines.
-MAX_SYMBOLS_PER_WORD, MAX_UPPER, MAX_DUP_LINES = 1.0, 0.5, 0.3
+MAX_SYMBOLS_PER_WORD, MAX_UPPER, MAX_DUP_LINES = 0.25, 0.5, 0.5
 
 #: A host whose shrunk failure rate is above STRICT loses every document with a failure; above BANNED, all of them.
-STRICT, BANNED = 0.4, 0.8
+STRICT, BANNED = 0.1, 0.8
 
 #: Hosts up to this number are broadcast to the documents; more are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 100_000
@@ -193,7 +193,7 @@ m AS (SELECT d.k, doc_id, source, coalesce(n_words, 0)::BIGINT AS n_words, lengt
   length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS n_letters
   FROM d LEFT JOIN n USING (k) LEFT JOIN l USING (k)),
 s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  (n_symbols > n_words)::INT + (n_upper > 0.5 * n_letters)::INT + (n_dup_lines > 0.3 * n_lines)::INT AS soft FROM m),
+  (n_symbols > {MAX_SYMBOLS_PER_WORD} * n_words)::INT + (n_upper > {MAX_UPPER} * n_letters)::INT + (n_dup_lines > {MAX_DUP_LINES} * n_lines)::INT AS soft FROM m),
 h AS (SELECT source, count(*) AS n, sum((base_failed OR soft > 0)::INT) AS f FROM s GROUP BY source),
 p AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS var FROM h),
 q AS (SELECT source, (f + mean * CASE WHEN var > 0 THEN greatest(1, mean * (1 - mean) / var - 1) ELSE 1 END) / (n + CASE WHEN var > 0 THEN greatest(1, mean * (1 - mean) / var - 1) ELSE 1 END) AS rate FROM h, p)
