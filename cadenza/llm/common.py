@@ -5,18 +5,14 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What the tasks need of this package travels with them, so that executors need not have it installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
 # Word patterns of the query contracts.
 SPACE_CLASS = r"\x20\x09-\x0D"

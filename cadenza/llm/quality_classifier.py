@@ -8,6 +8,8 @@ positives explain, kept from falling below zero.
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,7 +26,7 @@ DEFAULT_PRIOR, LEAST_PRIOR = 0.5, 0.05
 
 THRESHOLD = 0.3
 _SLICE = 2 << 20
-_PAIRS = 8
+_PAIRS, _WORDS = 8, 2
 
 
 def _byte_kinds() -> tuple[np.ndarray, int]:
@@ -39,11 +41,11 @@ def _byte_kinds() -> tuple[np.ndarray, int]:
 
 
 _KINDS, _N_KINDS = _byte_kinds()
-N_FEATURES = _N_KINDS + _PAIRS
+N_FEATURES = _N_KINDS + _PAIRS + _WORDS
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """One row a text: square roots of the shares of byte classes and of a few neighbourhoods, and sizes. An empty text is all zeros."""
+    """One row a text: square roots of the shares of byte classes, of a few neighbourhoods and of repeated words, and sizes. An empty text is all zeros."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     out = np.zeros((len(texts), N_FEATURES), np.float64)
     if not lengths.sum():
@@ -61,9 +63,14 @@ def features(texts: list[bytes]) -> np.ndarray:
     signs = lambda k: k >= 7
     words = near(~((left == 1) | (left == 2)) & gap) * n + 1
     out[:, :_N_KINDS] = np.sqrt(counts / n[:, None])
-    out[:, _N_KINDS:] = np.sqrt(
+    out[:, _N_KINDS : _N_KINDS + _PAIRS] = np.sqrt(
         np.stack([near((left == 4) & (right == 4)), near(signs(left) & (left == right)), near(signs(left) & signs(right)), near(signs(left) & gap), near((left == 5) & (right == 4)), near((left == 2) & (right == 2)), 0.01 * np.log1p(n), 0.01 * n / words], axis=1)
     )
+    for i, text in enumerate(texts):
+        if own := text.split():
+            # Words that are their neighbours, and words that came before.
+            out[i, -2] = np.sqrt(sum(map(eq, own[1:], own)) / len(own))
+            out[i, -1] = np.sqrt(1 - len(set(own)) / len(own))
     out[lengths == 0] = 0
     return out
 
