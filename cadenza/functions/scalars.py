@@ -19,6 +19,13 @@ def floor_div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a.cast("bigint"), F.nullif(b.cast("bigint"), F.lit(0).cast("bigint")))
 
 
+def bucket_of(x: Column, unit: int) -> Column:
+    """Number of the unit that an integer falls in, rounded down in integer arithmetic."""
+    x = x.cast("bigint")
+    size = F.lit(unit).cast("bigint")
+    return F.call_function("div", x - F.pmod(x, size), size)
+
+
 def severity(cov: Column) -> Column:
     """Pacing severity of a coefficient of variation; null is the worst."""
     return F.when(cov < SEVERITY_GOOD, "good").when(cov < SEVERITY_WARN, "warn").otherwise("crit")

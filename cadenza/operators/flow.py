@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.scalars import bucket_of
 from cadenza.operators.ordering import in_order
 
 
@@ -19,7 +20,7 @@ def throttle(df: DataFrame, interval_us: int, keys: list[str], order: list[str],
     """
     w = in_order(keys, order)
     running = w.rowsBetween(Window.unboundedPreceding, 0)
-    begun = F.floor((F.col(time) - F.first(time).over(running)) / F.lit(interval_us)).cast("bigint") + 1
+    begun = bucket_of(F.col(time) - F.first(time).over(running), interval_us) + 1
     counted = df.withColumn("__i", F.row_number().over(w).cast("bigint")).withColumn("__c", begun).withColumn("__a", F.col("__i") + F.min(F.col("__c") - F.col("__i")).over(running))
     return counted.withColumn("accepted", F.col("__a") > F.coalesce(F.lag("__a").over(w), F.lit(0))).drop("__i", "__c", "__a")
 
@@ -32,14 +33,14 @@ def drain_latest(df: DataFrame, wakeup: Column, keys: list[str], order: list[str
 
 def tick_collisions(df: DataFrame, tick_us: int, keys: list[str], time: str = "ts_us") -> DataFrame:
     """Rows, distinct ticks, and rows that share a tick with an earlier one. Ticks are summed before sessions are, so no key is hot."""
-    ticks = df.groupBy(*keys, F.floor(F.col(time) / F.lit(tick_us)).alias("__tick")).agg(F.count("*").alias("__n"))
+    ticks = df.groupBy(*keys, bucket_of(F.col(time), tick_us).alias("__tick")).agg(F.count("*").alias("__n"))
     whole = ticks.groupBy(*keys) if keys else ticks.groupBy()
     return whole.agg(F.sum("__n").cast("bigint").alias("n"), F.count("*").alias("ticks"), (F.sum("__n") - F.count("*")).cast("bigint").alias("merged"))
 
 
 def repeat_last(df: DataFrame, tick_us: int, keys: list[str], order: list[str], value: str, time: str = "ts_us") -> DataFrame:
     """(keys, tick_us, last): for every tick from the session's first to its last the value of the newest row at or before it, null before the first."""
-    bounds = df.groupBy(*keys).agg((F.floor(F.min(time) / F.lit(tick_us)) * tick_us).cast("bigint").alias("__from"), (F.floor(F.max(time) / F.lit(tick_us)) * tick_us).cast("bigint").alias("__to"))
+    bounds = df.groupBy(*keys).agg((bucket_of(F.min(time), tick_us) * tick_us).alias("__from"), (bucket_of(F.max(time), tick_us) * tick_us).alias("__to"))
     spine = bounds.select(*keys, F.explode(F.sequence("__from", "__to", F.lit(tick_us).cast("bigint"))).alias("__at")).withColumns({"__tick": F.lit(1), "__v": F.lit(None).cast("struct<v:" + dict(df.dtypes)[value] + ">")})
     rows = df.select(*keys, F.col(time).alias("__at"), F.lit(0).alias("__tick"), F.struct(F.col(value).alias("v")).alias("__v"), *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)])
     merged = rows.unionByName(spine, allowMissingColumns=True)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.scalars import bucket_of
+
 DAY_US = 86_400_000_000
 
 
@@ -26,13 +28,14 @@ def with_intervals(df: DataFrame, keys: list[str], order: list[str], time: str =
 def with_global_intervals(df: DataFrame, order: list[str], time: str = "ts_ms", clock_us: str = "ts_us", bucket_us: int = DAY_US, index: str = "frame_index", interval: str = "interval_ms") -> DataFrame:
     """As ``with_intervals`` for one global order that ``clock_us`` leads, without gathering all rows.
 
+    ``time`` must not decrease along the order, as a coarser form of the clock does not.
     Rows are windowed by bucket; one row a bucket (its count and its last time) is
     windowed globally and joined back.
     """
-    cut = df.withColumn("__bucket", F.floor(F.col(clock_us) / F.lit(bucket_us)).cast("bigint"))
-    buckets = cut.groupBy("__bucket").agg(F.count("*").alias("__n"), F.max(F.struct(*order, F.col(time).alias("__t"))).alias("__last"))
+    cut = df.withColumn("__bucket", bucket_of(F.col(clock_us), bucket_us))
+    buckets = cut.groupBy("__bucket").agg(F.count("*").alias("__n"), F.max(time).alias("__last"))
     everything = Window.partitionBy(F.lit(0)).orderBy("__bucket")
-    before = buckets.select("__bucket", F.coalesce(F.sum("__n").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"), F.lag("__last.__t").over(everything).alias("__before"))
+    before = buckets.select("__bucket", F.coalesce(F.sum("__n").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"), F.lag("__last").over(everything).alias("__before"))
     w = in_order(["__bucket"], order)
     return (
         cut.join(before, "__bucket")

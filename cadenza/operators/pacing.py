@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import fixed, interval_class, is_spike, severity, verdict
 from cadenza.schema import WORST_GAPS
 
 
+def implied_rate(mean_ms: Column, rate_unit_ms: int) -> Column:
+    return F.try_divide(F.lit(float(rate_unit_ms)), mean_ms)
+
+
+def target_interval(rate: Column, rate_unit_ms: int) -> Column:
+    """The unit over the rate, rounded halves up; null where that is 0."""
+    return F.try_divide(F.lit(float(rate_unit_ms)), F.floor(rate + 0.5))
+
+
 def pacing_summary(indexed: DataFrame, keys: list[str], rate_unit_ms: int = 1000, interval: str = "interval_ms", index: str = "frame_index") -> DataFrame:
     """One row a session with two intervals or more: n, frames, mean, stddev (population), least, largest, rate, target, cov, severity.
 
@@ -19,17 +28,24 @@ def pacing_summary(indexed: DataFrame, keys: list[str], rate_unit_ms: int = 1000
     x = F.col(interval)
     grouped = own.groupBy(*keys) if keys else own.groupBy()
     stats = grouped.agg(F.count(x).alias("n"), F.avg(x).alias("mean_ms"), F.stddev_pop(x).alias("stddev_ms"), F.min(x).alias("min_ms"), F.max(x).alias("max_ms")).filter("n >= 2")
-    rate = F.try_divide(F.lit(float(rate_unit_ms)), F.col("mean_ms"))
+    rate = implied_rate(F.col("mean_ms"), rate_unit_ms)
     cov = F.try_divide(F.col("stddev_ms"), F.col("mean_ms"))
-    return stats.select(*keys, "n", (F.col("n") + 1).alias("frames"), "mean_ms", "stddev_ms", "min_ms", "max_ms", rate.alias("rate"), F.try_divide(F.lit(float(rate_unit_ms)), F.floor(rate + 0.5)).alias("target_ms"), cov.alias("cov"), severity(cov).alias("severity"))
+    return stats.select(*keys, "n", (F.col("n") + 1).alias("frames"), "mean_ms", "stddev_ms", "min_ms", "max_ms", rate.alias("rate"), target_interval(rate, rate_unit_ms).alias("target_ms"), cov.alias("cov"), severity(cov).alias("severity"))
 
 
 def classify_intervals(indexed: DataFrame, keys: list[str], rate_unit_ms: int = 1000, interval: str = "interval_ms", index: str = "frame_index") -> DataFrame:
-    """Rows after the first with their session's target, the ratio to it, class and spike flag."""
-    stats = pacing_summary(indexed, keys, rate_unit_ms, interval, index).select(*keys, "target_ms")
+    """Rows after the first of sessions with two intervals or more: their session's target, the ratio to it, class and spike flag.
+
+    With keys the mean is a window aggregate over the partitioning that the index
+    already has, so nothing is read or shuffled twice; without, one row is broadcast.
+    """
     own = indexed.filter(F.col(index) > 0)
-    # Without keys the summary is a single row by construction.
-    rows = own.join(stats, keys) if keys else own.join(F.broadcast(stats.limit(1)))
+    if keys:
+        session = Window.partitionBy(*keys)
+        target = target_interval(implied_rate(F.avg(interval).over(session), rate_unit_ms), rate_unit_ms)
+        rows = own.withColumns({"target_ms": target, "__n": F.count(interval).over(session)}).filter("__n >= 2").drop("__n")
+    else:
+        rows = own.join(F.broadcast(pacing_summary(indexed, keys, rate_unit_ms, interval, index).select("target_ms").limit(1)))
     ratio = F.try_divide(F.col(interval).cast("double"), F.col("target_ms"))
     return rows.withColumns({"ratio": ratio, "class": interval_class(ratio), "is_spike": is_spike(ratio)})
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.scalars import rounded_rate
+from cadenza.functions.scalars import bucket_of, rounded_rate
 from cadenza.operators.flow import folded
 from cadenza.schema import SLOW_WRITE_MS
 
 
 def live_rate_tumbling(df: DataFrame, window_us: int, keys: list[str], unit_us: int = 1_000_000, time: str = "ts_us") -> DataFrame:
     """Rows in aligned windows of fixed length, and their rate a unit."""
-    begin = (F.floor(F.col(time) / F.lit(window_us)) * window_us).cast("bigint")
+    begin = bucket_of(F.col(time), window_us) * window_us
     return df.groupBy(*keys, begin.alias("window_us")).agg(F.count("*").alias("n")).withColumn("rate", rounded_rate(F.col("n"), F.lit(window_us / unit_us)))
 
 

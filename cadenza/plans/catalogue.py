@@ -23,7 +23,7 @@ USER, ORDER = ["user_id"], ["ts_us", "event_id"]
 def events(spark, sf_dir: str) -> DataFrame:
     """Events with times in microseconds and, truncated, milliseconds."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", S.micros(F.col("ts")).alias("ts_us"))
-    return raw.withColumn("ts_ms", F.floor(F.col("ts_us") / F.lit(1000)).cast("bigint"))
+    return raw.withColumn("ts_ms", S.bucket_of(F.col("ts_us"), 1000))
 
 
 def _global(spark, sf: str) -> DataFrame:
@@ -94,7 +94,7 @@ def throttle(spark, sf: str) -> DataFrame:
 
 
 def drain_latest(spark, sf: str) -> DataFrame:
-    wakeup = F.floor(F.col("ts_us") / F.lit(HOUR_US)).cast("bigint")
+    wakeup = S.bucket_of(F.col("ts_us"), HOUR_US)
     return flow.drain_latest(events(spark, sf), wakeup, [], ORDER, ["event_id", "value"])
 
 
@@ -124,12 +124,12 @@ def live_rate_greedy(spark, sf: str) -> DataFrame:
 
 
 def stage_means(spark, sf: str) -> DataFrame:
-    day = F.floor(F.col("ts_us") / F.lit(DAY_US)).cast("bigint")
+    day = S.bucket_of(F.col("ts_us"), DAY_US)
     return _rounded(rates.stage_means(events(spark, sf), day, [], ORDER, ["value"], F.col("event_type") == "view"), avg_value=4)
 
 
 def write_stats(spark, sf: str) -> DataFrame:
-    return _rounded(rates.write_stats(events(spark, sf), F.floor(F.col("ts_us") / F.lit(DAY_US)).cast("bigint"), [], "value"), avg_write=4)
+    return _rounded(rates.write_stats(events(spark, sf), S.bucket_of(F.col("ts_us"), DAY_US), [], "value"), avg_write=4)
 
 
 def slow_writes(spark, sf: str) -> DataFrame:
