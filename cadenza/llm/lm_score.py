@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import checkpointed, id_remainder, shipped, slices, small_batches, spaced_words, stored
+from cadenza.llm.common import checkpointed, id_remainder, shipped, slices, small_batches, spaced_words, stored, tidy
 
 #: Contexts of three bytes that the trie keeps. With all of two bytes its table has under (16,384 + 257 * 257) * 257 entries.
 MAX_CONTEXTS = 16_384
@@ -143,7 +143,9 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counter.add(ids.slice(x, n).to_pylist(), some, keys.slice(x, n).to_pylist(), held.slice(x, n).to_pylist())
                 if counter.bytes >= CHUNK_BYTES or len(counter.ids) > CHUNK_DOCS // 2:
                     yield from counter.rows()
+                    tidy()
     yield from counter.rows()
+    tidy()
 
 
 _SUMS = "doc_id bigint, key bigint, n_tokens bigint, n_known bigint, logs double, firsts bigint"
@@ -165,6 +167,7 @@ def _chunk_sums(table: pa.Table) -> pa.Table:
         own = np.repeat(np.log10(counts[mine] + SMOOTHING), sizes)
         logs += np.bincount(places, times * own, len(ids))
         seen += np.bincount(places, times * np.repeat(counts[mine] > 0, sizes), len(ids)).astype(np.int64)
+    tidy()
     firsts = np.zeros(len(ids), np.int64)
     firsts[0] = int(pc.sum(table["first"]).as_py() or 0)
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=known == 0), "key": pa.array(keys, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(seen, pa.int64()), "logs": pa.array(logs, pa.float64()), "firsts": pa.array(firsts, pa.int64())})
@@ -273,7 +276,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     here = shipped(docs.sparkSession, trie)
 
     def score(t: pa.Array) -> pa.Array:
-        return here().scores(t)
+        told = here().scores(t)
+        tidy()
+        return told
 
     own = inner.select("id", key.alias("k"), held.alias("held_out"), F.arrow_udf(score, "double")("text").alias("score"))
     once = base.groupBy("doc_id", "key").agg(F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.first("base_score").alias("base_score"))
