@@ -94,3 +94,10 @@ def bounded_queue(ops: DataFrame, capacity: int, keys: list[str], order: list[st
         return ok, state[0]
 
     return folded(ops, keys, order, [op], [], lambda: [0], step, "ok boolean, occupancy bigint")
+
+
+def pushed_frames(df: DataFrame, wakeup: Column, interval_us: int, keys: list[str], order: list[str], columns: list[str], time: str = "ts_us") -> DataFrame:
+    """What a push source delivers: of each wake-up the newest row, if the fixed schedule accepts it."""
+    kept = [*dict.fromkeys([time, *order, *columns])]
+    newest = drain_latest(df, wakeup, keys, order, kept)
+    return throttle(newest, interval_us, keys, order, time).filter("accepted").drop("accepted")

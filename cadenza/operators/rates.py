@@ -53,6 +53,13 @@ def stage_means(df: DataFrame, window: Column, keys: list[str], order: list[str]
     return df.groupBy(*keys, window.alias("window")).agg(*aggregates)
 
 
+def closed_stage_means(df: DataFrame, window_us: int, keys: list[str], order: list[str], columns: list[str], time: str = "ts_us") -> DataFrame:
+    """``stage_means`` over the closed windows that the rows themselves restart."""
+    rows = restarted_windows(df, window_us, keys, order, columns, time).filter("window_no IS NOT NULL")
+    told = stage_means(rows, F.col("window_no"), keys, order, columns, F.col("closes"))
+    return told.filter("n_counted > 0").drop("n_counted").withColumnRenamed("window", "window_no")
+
+
 def write_stats(df: DataFrame, window: Column, keys: list[str], value: str, threshold: float = SLOW_WRITE_MS) -> DataFrame:
     """By window: mean, largest and number of writes, and how many were slow."""
     return df.groupBy(*keys, window.alias("window")).agg(F.avg(value).alias("avg_write"), F.max(value).alias("max_write"), F.count(value).alias("n"), F.count_if(F.col(value) > threshold).alias("slow"))

@@ -128,6 +128,14 @@ def stage_means(spark, sf: str) -> DataFrame:
     return _rounded(rates.stage_means(events(spark, sf), day, [], ORDER, ["value"], F.col("event_type") == "view"), avg_value=4)
 
 
+def stage_means_greedy(spark, sf: str) -> DataFrame:
+    return _rounded(rates.closed_stage_means(events(spark, sf), DAY_US, USER, ORDER, ["value"]), avg_value=4)
+
+
+def push_source(spark, sf: str) -> DataFrame:
+    return flow.pushed_frames(events(spark, sf), S.bucket_of(F.col("ts_us"), HOUR_US), 6 * HOUR_US, USER, ORDER, ["value"]).select("user_id", "wakeup", "drained", "event_id", "value")
+
+
 def write_stats(spark, sf: str) -> DataFrame:
     return _rounded(rates.write_stats(events(spark, sf), S.bucket_of(F.col("ts_us"), DAY_US), [], "value"), avg_write=4)
 
@@ -246,6 +254,8 @@ def queries() -> dict:
         "live_rate_tumbling": live_rate_tumbling,
         "live_rate_greedy": live_rate_greedy,
         "stage_means": stage_means,
+        "stage_means_greedy": stage_means_greedy,
+        "push_source": push_source,
         "write_stats": write_stats,
         "slow_writes": slow_writes,
         "bounded_queue": bounded_queue,
@@ -289,6 +299,12 @@ q AS (SELECT user_id, ts_us, event_id, op, i, op = 'push' AS ok, (op = 'push')::
   FROM q JOIN o ON o.user_id = q.user_id AND o.i = q.i + 1)"""
 
 
+_RESTARTED = f"""o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS i FROM e),
+w AS (SELECT user_id, i, ts_us, event_id, value, NULL::BIGINT AS no, ts_us AS next_start, 0 AS next_no, false AS closes FROM o WHERE i = 1 UNION ALL
+  SELECT o.user_id, o.i, o.ts_us, o.event_id, o.value, w.next_no, CASE WHEN o.ts_us - w.next_start >= {DAY_US} THEN o.ts_us ELSE w.next_start END, w.next_no + (o.ts_us - w.next_start >= {DAY_US})::INT, o.ts_us - w.next_start >= {DAY_US}
+  FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     day, hour = DAY_US, HOUR_US
     return {
@@ -312,6 +328,8 @@ def oracle_sql() -> dict[str, str]:
         "live_rate_tumbling": f"WITH {_E} SELECT ts_us // {day} * {day} AS window_us, count(*) AS n, floor(count(*) / 24.0 + 0.5)::INT AS rate FROM e GROUP BY 1",
         "live_rate_greedy": f"WITH RECURSIVE {_E}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS i FROM e), w AS (SELECT user_id, i, ts_us, NULL::BIGINT AS no, ts_us AS start_us, ts_us AS next_start, 0 AS next_no, false AS closes FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, o.ts_us, w.next_no, w.next_start, CASE WHEN o.ts_us - w.next_start >= {day} THEN o.ts_us ELSE w.next_start END, w.next_no + (o.ts_us - w.next_start >= {day})::INT, o.ts_us - w.next_start >= {day} FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1) SELECT user_id, no AS window_no, start_us, max(CASE WHEN closes THEN ts_us END) AS end_us, count(*) AS n, floor(count(*) / ((max(CASE WHEN closes THEN ts_us END) - start_us) / {hour}.0) + 0.5)::INT AS rate FROM w WHERE no IS NOT NULL GROUP BY user_id, no, start_us HAVING max(CASE WHEN closes THEN ts_us END) IS NOT NULL",
         "stage_means": f"WITH {_E} SELECT ts_us // {day} AS \"window\", count(*) AS n, round(avg(value), 4) AS avg_value, arg_max(value, (ts_us, event_id)) AS last_value, count(*) FILTER (event_type = 'view') AS n_counted FROM e GROUP BY 1",
+        "stage_means_greedy": f"WITH RECURSIVE {_E}, {_RESTARTED} SELECT user_id, no AS window_no, count(*) AS n, round(avg(value), 4) AS avg_value, arg_max(value, (ts_us, event_id)) AS last_value FROM w WHERE no IS NOT NULL GROUP BY user_id, no HAVING bool_or(closes)",
+        "push_source": f"WITH {_E}, d AS (SELECT user_id, ts_us // {hour} AS wakeup, count(*) AS drained, arg_max(ts_us, (ts_us, event_id)) AS ts_us, arg_max(event_id, (ts_us, event_id)) AS event_id, arg_max(value, (ts_us, event_id)) AS value FROM e GROUP BY 1, 2), c AS (SELECT *, row_number() OVER o AS i, (ts_us - first(ts_us) OVER o) // {6 * hour} + 1 AS c FROM d WINDOW o AS (PARTITION BY user_id ORDER BY ts_us, event_id)), a AS (SELECT *, i + min(c - i) OVER (PARTITION BY user_id ORDER BY i) AS a FROM c), l AS (SELECT *, lag(a) OVER (PARTITION BY user_id ORDER BY i) AS b FROM a) SELECT user_id, wakeup, drained, event_id, value FROM l WHERE a > coalesce(b, 0)",
         "write_stats": f"WITH {_E} SELECT ts_us // {day} AS \"window\", round(avg(value), 4) AS avg_write, max(value) AS max_write, count(value) AS n, count(*) FILTER (value > 20) AS slow FROM e GROUP BY 1",
         "slow_writes": f"WITH {_E} SELECT event_id, value FROM e WHERE value > 20",
         "bounded_queue": f"WITH RECURSIVE {_E}, {_QUEUE.format(held=5)} SELECT user_id, ts_us, event_id, op, ok, occupancy FROM q",

@@ -68,3 +68,8 @@ def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append")
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def log_lines(stream: DataFrame, path: str, checkpoint: str, every: str = "1 second"):
+    """Appends a stream's rows to JSON files, one micro-batch a period; the running query is returned."""
+    return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()

@@ -80,3 +80,12 @@ def test_drain_latest_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = flows.drained(flows.drain_latest_stream(stream, "1 second", ["frame_id"]), "latest", str(tmp_path / "c4"), "complete")
     assert sorted((r["frame_id"], r["drained"]) for r in got.collect()) == [(3, 4), (6, 3), (9, 3)]
+
+
+def test_log_lines(spark, tmp_path):
+    df = spark.createDataFrame([(i,) for i in range(5)], "frame_id bigint")
+    df.write.parquet(str(tmp_path / "in"))
+    query = flows.log_lines(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "c5"))
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.json(str(tmp_path / "log")).count() == 5
