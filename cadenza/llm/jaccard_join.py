@@ -374,11 +374,6 @@ def joined_regions(members: DataFrame) -> list[DataFrame]:
     return found
 
 
-def _chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the given distinct ids, broadcast while their number is bounded."""
-    return docs.join(F.broadcast(ids) if few(ids, MAX_BROADCAST_IDS) else ids, "doc_id", "left_semi")
-
-
 def component_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For (doc_id bigint, text): the sets (doc_id, n, key), the classes (key, rep), and (node, root) of linked classes."""
     small_batches(docs.sparkSession)
@@ -392,8 +387,13 @@ def component_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     def rows(batches):
         return here().rows(batches)
 
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    blocks = checkpointed(_chosen_texts(docs, reps).mapInArrow(rows, "x bigint, n bigint, firsts array<bigint>, bits binary").filter("n > 0"))
+    reps, columns = classes.select(F.col("rep").alias("doc_id")).distinct(), "x bigint, n bigint, firsts array<bigint>, bits binary"
+    if few(reps, MAX_BROADCAST_IDS):
+        blocked = docs.join(F.broadcast(reps), "doc_id", "left_semi").mapInArrow(rows, columns)
+    else:
+        # What is shuffled then is a fraction of the texts.
+        blocked = docs.mapInArrow(rows, columns).join(reps, F.col("x") == F.col("doc_id"), "left_semi")
+    blocks = checkpointed(blocked.filter("n > 0"))
     # A shingle that only one document has first joins nothing.
     firsts = blocks.select("x", F.explode("firsts").alias("s"))
     shared = firsts.groupBy("s").agg(F.min("x").alias("pivot"), F.max("x").alias("last")).filter("pivot <> last").drop("last")
@@ -413,7 +413,9 @@ def component_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in shingle_sets(texts)], pa.binary())], ["x", "items"])
             tidy()
 
-    found = _chosen_texts(docs, regions.select(F.col("node").alias("doc_id"))).mapInArrow(items, "x bigint, items binary")
+    linked = regions.select(F.col("node").alias("doc_id"))
+    chosen = docs.join(F.broadcast(linked) if few(linked, MAX_BROADCAST_IDS) else linked, "doc_id", "left_semi")
+    found = chosen.mapInArrow(items, "x bigint, items binary")
     # A document that is repeated under its id with other texts has several sets, all under that id.
     repeats = not sets.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
     whole = checkpointed((found.distinct() if repeats else found).join(regions, F.col("x") == F.col("node")).select(F.col("root").cast("string").alias("region"), "x", "items"))

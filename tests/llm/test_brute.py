@@ -78,7 +78,7 @@ def test_jaccard_chains(spark):
 
 def test_jaccard_splits_large_regions(spark, monkeypatch):
     texts = near_copies(6, 3, 40, 100)
-    for limit in ({"MAX_REGION": 500}, {"MAX_REGION": 500, "MAX_BLOCK": 5}):
+    for limit in ({"MAX_REGION": 500}, {"MAX_REGION": 500, "MAX_BLOCK": 5, "MAX_BROADCAST_IDS": 0}):
         for k, v in limit.items():
             monkeypatch.setattr(jaccard_join, k, v)
         check_components(spark, texts)
