@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_source_mixing": mixing.OP5_SQL,
         "op7_chat_format": chat_format.OP7_SQL,
         "op8_quality_rules": quality_rules.OP8_SQL,
+        "op9_jaccard_join": jaccard_join.OP9_SQL,
     }
