@@ -47,7 +47,7 @@ PART_SHINGLES = 500_000
 #: Ids up to this number are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, 2 * WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -110,15 +110,16 @@ def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, texts in _texts(batch):
             sets = shingle_sets(texts)
-            counts = np.zeros(1 << SKETCH_BITS, np.int64) if counts is None else counts
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            counts = np.zeros(1 << SKETCH_BITS, np.int32) if counts is None else counts
+            slots, times = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+            counts[slots] += times.astype(np.int32)
             keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
             columns = [ids, [len(x) for x in sets], keys, [None] * len(ids), [None] * len(ids)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
         tidy()
     if counts is not None:
         parts = np.split(counts, SKETCH_PARTS)
-        columns = [[None] * SKETCH_PARTS] * 3 + [list(range(SKETCH_PARTS)), [zlib.compress(p.tobytes(), 1) for p in parts]]
+        columns = [[None] * SKETCH_PARTS] * 3 + [list(range(SKETCH_PARTS)), [zlib.compress(p.astype(np.int64).tobytes(), 1) for p in parts]]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 

@@ -33,7 +33,7 @@ LANE = 1024
 MAX_RATE = 0.7
 
 UNKNOWN = "und"
-_SLICE = 3 << 20
+_SLICE = 2 << 20
 
 
 def letter_classes(samples: list[str]) -> tuple[np.ndarray, int]:
