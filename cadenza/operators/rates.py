@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.scalars import bucket_of, rounded_rate
+from cadenza.functions.scalars import bucket_of, is_slow_write, rounded_rate
 from cadenza.operators.flow import folded
 from cadenza.schema import SLOW_WRITE_MS
 
@@ -62,12 +62,12 @@ def closed_stage_means(df: DataFrame, window_us: int, keys: list[str], order: li
 
 def write_stats(df: DataFrame, window: Column, keys: list[str], value: str, threshold: float = SLOW_WRITE_MS) -> DataFrame:
     """By window: mean, largest and number of writes, and how many were slow."""
-    return df.groupBy(*keys, window.alias("window")).agg(F.avg(value).alias("avg_write"), F.max(value).alias("max_write"), F.count(value).alias("n"), F.count_if(F.col(value) > threshold).alias("slow"))
+    return df.groupBy(*keys, window.alias("window")).agg(F.avg(value).alias("avg_write"), F.max(value).alias("max_write"), F.count(value).alias("n"), F.count_if(is_slow_write(F.col(value), threshold)).alias("slow"))
 
 
 def slow_writes(df: DataFrame, value: str, threshold: float = SLOW_WRITE_MS) -> DataFrame:
     """Writes longer than the threshold."""
-    return df.filter(F.col(value) > threshold)
+    return df.filter(is_slow_write(F.col(value), threshold))
 
 
 def queue_counters(pushes: DataFrame, keys: list[str], ok: str = "ok", backfill: str = "is_backfill") -> DataFrame:

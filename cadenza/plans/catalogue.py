@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as S
 from cadenza.operators import flow, joins, ordering, pacing, rates, sync
-from cadenza.schema import FORMATS, MAX_FRAME_BYTES
+from cadenza.schema import FORMATS, FPS_DEFAULT, IPC_SLOTS, MAX_FRAME_BYTES, QUEUE_SECONDS
 from cadenza.sources import timing_log
 
 # Units of the queries: an hour for rates (a week for one user's), five minutes for schedules, an hour for ticks, a day for windows.
@@ -39,7 +39,6 @@ def _rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 _STATS = {"mean_ms": 4, "stddev_ms": 4, "rate": 6, "target_ms": 4, "cov": 6}
-_STAT_COLUMNS = ("n", "frames", "mean_ms", "stddev_ms", "min_ms", "max_ms", "rate", "target_ms", "cov", "severity")
 
 
 def pacing_summary(spark, sf: str) -> DataFrame:
@@ -153,7 +152,7 @@ def bounded_queue(spark, sf: str) -> DataFrame:
 
 
 def ipc_queue(spark, sf: str) -> DataFrame:
-    return flow.bounded_queue(_ops(spark, sf), 4, USER, ORDER).groupBy("user_id").agg(F.count_if(F.col("ok") & (F.col("op") == "push")).alias("pushed"), F.count_if(~F.col("ok") & (F.col("op") == "push")).alias("dropped"), F.count_if(~F.col("ok") & (F.col("op") == "pop")).alias("empty"))
+    return flow.bounded_queue(_ops(spark, sf), IPC_SLOTS, USER, ORDER).groupBy("user_id").agg(F.count_if(F.col("ok") & (F.col("op") == "push")).alias("pushed"), F.count_if(~F.col("ok") & (F.col("op") == "push")).alias("dropped"), F.count_if(~F.col("ok") & (F.col("op") == "pop")).alias("empty"))
 
 
 def queue_counters(spark, sf: str) -> DataFrame:
@@ -172,7 +171,7 @@ def stage_deltas(spark, sf: str) -> DataFrame:
 
 
 def slots(spark, sf: str) -> DataFrame:
-    return _by_user(spark, sf).select("event_id", S.slot_of(F.col("frame_index") + 1, 150).alias("slot"))
+    return _by_user(spark, sf).select("event_id", S.slot_of(F.col("frame_index") + 1, FPS_DEFAULT * QUEUE_SECONDS).alias("slot"))
 
 
 def sessionize(spark, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import number_or_null
 from cadenza.operators.ordering import with_intervals
+from cadenza.schema import PROTOCOL_VERSION
 
 
 def coerced(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -56,6 +57,6 @@ def first_available(*readers: Callable[[], DataFrame]) -> DataFrame:
     return readers[-1]()
 
 
-def require_version(df: DataFrame, version: Column, expected: int) -> DataFrame:
+def require_version(df: DataFrame, version: Column, expected: int = PROTOCOL_VERSION) -> DataFrame:
     """``df``, or a failure while it runs, if any row has another version."""
     return df.filter(F.coalesce(F.assert_true(F.coalesce(version == expected, F.lit(False)), F.lit(f"protocol version is not {expected}")).isNull(), F.lit(True)))
