@@ -13,9 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 # Word patterns of the query contracts.
-SPACE_CLASS = r"\x20\x09-\x0D"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
