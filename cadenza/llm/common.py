@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -60,23 +59,18 @@ def few(df: DataFrame, most: int) -> bool:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as a compressed table beside the checkpoints; removed when the driver ends."""
+    """``df`` written once as a compressed table beside the checkpoints; removed when the driver's JVM ends."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cadenza-"))
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_removed, sc, path)
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _removed(sc, path: str) -> None:
-    if sc._jsc is not None and sc._jvm is not None:
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def shipped(spark, thing):
     """A function that gives ``thing`` in any task; its attributes are broadcast, its class travels with the function."""
     sent, kind = spark.sparkContext.broadcast(vars(thing)), type(thing)
