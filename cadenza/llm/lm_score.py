@@ -5,11 +5,13 @@ documents that hold them, and the byte sequences of the training documents. Toke
 counts of the whole corpus then join the chunks' tokens, and every chunk adds up
 its documents' base scores: no vocabulary is collected or broadcast.
 
-The byte model is a trie of contexts up to three bytes. All contexts of two bytes
-are kept, of three bytes the most frequent ones. Escapes are estimated by the
-number of distinct symbols (method C), and symbols that a longer context could have
-coded are excluded from the shorter ones. The trie is frozen after training, so a
-text's code length is a sum of table entries.
+The byte model is a trie of contexts up to three bytes, with every context that the
+training documents have. Escapes are estimated by the number of distinct symbols
+(method C), and symbols that a longer context could have coded are excluded from
+the shorter ones. The trie is frozen after training, so a text's code length is a
+sum of table entries. Contexts of three bytes are stored sparsely; if they have more
+entries than one part of the model may hold, they are split by a hash of the
+context, the texts are scored part by part and the sums added up.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import checkpointed, id_remainder, shipped, slices, small_batches, spaced_words, stored, tidy
 
-#: Contexts of three bytes that the trie keeps. With all of two bytes its table has under (16,384 + 257 * 257) * 257 entries.
-MAX_CONTEXTS = 16_384
+#: Entries (a context of three bytes and a symbol after it) of one part of the model. More parts mean more passes, nothing is left out.
+PART_ENTRIES = 4_000_000
 
 #: Additive smoothing of the base score.
 SMOOTHING = 0.1
@@ -39,6 +41,7 @@ _SLICE = 2 << 20
 #: Token that ends every text; no word can hold a line break. Symbol before and after every text.
 END_TOKEN, EDGE = b"\n", 256
 _ROWS_OUT = 50_000
+_MIX = 2_654_435_761
 _COLUMNS = "kind tinyint, token binary, chunk bigint, n bigint, docs binary"
 
 
@@ -186,46 +189,87 @@ def base_scores(seen: DataFrame) -> tuple[DataFrame, int]:
     return sums.select("doc_id", "key", "n_tokens", "n_known", (F.col("logs") - F.col("n_tokens") * rest).alias("base_score")), total
 
 
+def part_of(contexts: np.ndarray, parts: int) -> np.ndarray:
+    """Which part of the model has a context; ``learned`` says the same to Spark."""
+    return ((contexts * _MIX & 0xFFFFFFFF) >> 16) % parts
+
+
 class Trie:
-    """The frozen byte model: a row of log10 probabilities for every context that is kept, and which row a context has."""
+    """The frozen byte model, or one of its parts.
 
-    def __init__(self, low: tuple[np.ndarray, np.ndarray], high: tuple[np.ndarray, np.ndarray]):
-        """Counts by code: of two symbols of context and one, and of three and one for the contexts that are kept."""
+    Contexts of two symbols have a dense row of log10 probabilities. A context of three
+    has a bitmap of the symbols it has seen and their log10 probabilities in order; what
+    it has not seen is the row of two symbols shifted by a constant: one for symbols that
+    the two have seen, as the exclusion rescales them alike, and one for all others.
+    """
+
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], high: tuple[np.ndarray, np.ndarray], part: int = 0, parts: int = 1):
+        """Counts by code: of two symbols of context and one, and of three and one for the contexts that this part has."""
+        self.part, self.parts = part, parts
         symbols = np.unique(low[0] & 511)
         self.symbol = np.full(257, len(symbols), np.int64)
         self.symbol[symbols] = np.arange(len(symbols))
         # The edge may stand in contexts even if no text was seen.
-        n = len(symbols) + 1
+        self.n = n = len(symbols) + 1
         three = np.zeros((n, n, n))
         at = tuple(self.symbol[(low[0] >> s) & 511] for s in (18, 9, 0))
         np.add.at(three, at, low[1])
         two, one = three.sum(axis=0), three.sum(axis=(0, 1))
-        contexts, row = np.unique(high[0] >> 9, return_inverse=True)
-        deep = np.zeros((len(contexts), n))
-        np.add.at(deep, (row, self.symbol[high[0] & 511]), high[1])
-        a, b, c = (self.symbol[(contexts >> s) & 511] for s in (18, 9, 0))
-        self.table = np.empty((len(contexts) + n * n, n), np.float32)
-        for x in range(0, len(contexts), 4096):
-            y = slice(x, x + 4096)
-            self.table[: len(contexts)][y] = coded([deep[y], three[b[y], c[y]], two[c[y]], np.broadcast_to(one, deep[y].shape)])
+        self.table = np.empty((n * n, n), np.float32)
         for k in range(n):
-            self.table[len(contexts) + k * n : len(contexts) + (k + 1) * n] = coded([three[k], two, np.broadcast_to(one, (n, n))])
-        self.row = np.tile(np.arange(len(contexts), len(contexts) + n * n, dtype=np.int32), n).reshape(n, n, n)
-        self.row[a, b, c] = np.arange(len(contexts))
-        self.row, self.n = self.row.reshape(-1), n
+            self.table[k * n : (k + 1) * n] = coded([three[k], two, np.broadcast_to(one, (n, n))])
+        three = three.reshape(n * n, n)
+        self.seen = three > 0
+        order = np.argsort(high[0] >> 9 << 9 | self.symbol[high[0] & 511])
+        codes, counts = high[0][order], high[1][order]
+        contexts, row = np.unique(codes >> 9, return_inverse=True)
+        a, b, c = (self.symbol[(contexts >> s) & 511] for s in (18, 9, 0))
+        short, last = b * n + c, self.symbol[codes & 511]
+        self.row = np.full(n * n * n, -1, np.int32)
+        self.row[(a * n + b) * n + c] = np.arange(len(contexts))
+        # Sums and kinds of a context, of its shorter one, and of that without what the longer one has seen.
+        total, kinds = np.bincount(row, counts, len(contexts)), np.bincount(row, minlength=len(contexts))
+        total2, kinds2 = three.sum(axis=1)[short], self.seen.sum(axis=1)[short]
+        total1, kinds1 = total2 - np.bincount(row, three[short[row], last], len(contexts)), kinds2 - kinds
+        escape, escape2, escape1 = escapes(total, kinds, 257), escapes(total2, kinds2, 257), escapes(total1, kinds1, 257 - kinds)
+        self.value = np.log10((1 - escape[row]) * counts / total[row]).astype(np.float32)
+        log = lambda x: np.log10(np.maximum(x, 1e-300))
+        known = log((1 - escape1) / np.maximum(total1, 1)) - log((1 - escape2) / np.maximum(total2, 1))
+        self.shift = (log(escape)[:, None] + np.stack([log(escape1) - log(escape2), known], axis=1)).astype(np.float32)
+        self.width = -(-n // 64)
+        word = row * self.width + (last >> 6)
+        self.bits = np.zeros(len(contexts) * self.width, np.uint64)
+        np.bitwise_or.at(self.bits, word, np.uint64(1) << (last & 63).astype(np.uint64))
+        self.first = np.searchsorted(word, np.arange(len(self.bits))).astype(np.int32)
 
     def scores(self, texts: pa.Array) -> pa.Array:
-        """log10 probability of every text and its end; null counts as empty."""
+        """log10 probability of every text and its end, as far as its contexts are this part's; null counts as empty."""
         out = []
         for x, y in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), _SLICE):
             codes, sizes = byte_codes([t or b"" for t in texts.slice(x, y - x).cast(pa.large_binary()).to_pylist()])
             n, symbol = self.n, self.symbol
-            context = (symbol[codes >> 27] * n + symbol[(codes >> 18) & 511]) * n + symbol[(codes >> 9) & 511]
-            each = self.table.reshape(-1)[self.row[context].astype(np.int64) * n + symbol[codes & 511]]
+            last, short = symbol[codes & 511], symbol[(codes >> 18) & 511] * n + symbol[(codes >> 9) & 511]
+            each = self.table.reshape(-1)[short * n + last]
+            row = self.row[symbol[codes >> 27] * (n * n) + short]
+            deep = np.flatnonzero(row >= 0)
+            row, own, short = row[deep].astype(np.int64), last[deep], short[deep]
+            word, bit = row * self.width + (own >> 6), np.uint64(1) << (own & 63).astype(np.uint64)
+            bits = self.bits[word]
+            hit = bits & bit != 0
+            told = each[deep] + self.shift.reshape(-1)[2 * row + self.seen.reshape(-1)[short * n + own]]
+            told[hit] = self.value[self.first[word[hit]] + np.bitwise_count(bits[hit] & (bit[hit] - np.uint64(1)))]
+            each[deep] = told
+            if self.parts > 1:
+                each[part_of(codes >> 9, self.parts) != self.part] = 0
             out.append(np.add.reduceat(each.astype(np.float64), np.cumsum(sizes) - sizes))
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
 
+def escapes(total: np.ndarray, kinds: np.ndarray, left) -> np.ndarray:
+    """Method C: the probability that a context's own symbols don't code the next one."""
+    return np.where(kinds == 0, 1.0, np.where(kinds >= left, 0.0, kinds / np.maximum(total + kinds, 1)))
+
+
 def coded(orders: list[np.ndarray]) -> np.ndarray:
     """log10 probabilities of all symbols from the counts in contexts from the longest to the empty one.
 
@@ -239,7 +283,7 @@ def coded(orders: list[np.ndarray]) -> np.ndarray:
         own = np.where(gone, 0, counts)
         total, kinds = own.sum(axis=1, keepdims=True), (own > 0).sum(axis=1, keepdims=True)
         left = 257 - gone.sum(axis=1, keepdims=True)
-        escape = np.where(kinds == 0, 1.0, np.where(kinds >= left, 0.0, kinds / np.maximum(total + kinds, 1)))
+        escape = escapes(total, kinds, left)
         out += weight * (1 - escape) * own / np.maximum(total, 1)
         weight = weight * escape
         gone |= own > 0
@@ -248,14 +292,15 @@ def coded(orders: list[np.ndarray]) -> np.ndarray:
     return np.log10(np.maximum(out, 1e-300))
 
 
-def learned(seen: DataFrame) -> Trie:
-    """The trie of all byte counts; what is collected is bounded by the contexts kept."""
+def learned(seen: DataFrame) -> Iterator[Trie]:
+    """The parts of the trie of all byte counts; the driver holds one at a time."""
     codes = checkpointed(seen.filter("kind = 1").groupBy(F.col("chunk").alias("code")).agg(F.sum("n").alias("n")))
     low = codes.groupBy(F.col("code").bitwiseAND((1 << 27) - 1).alias("code")).agg(F.sum("n").alias("n")).toPandas()
-    contexts = codes.groupBy(F.shiftright("code", 9).alias("context")).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(MAX_CONTEXTS)
-    high = codes.join(F.broadcast(contexts), F.shiftright("code", 9) == F.col("context"), "left_semi").toPandas()
+    parts = max(1, -(-codes.count() // PART_ENTRIES))
     pair = lambda p: (p["code"].to_numpy(np.int64), p["n"].to_numpy(np.float64))
-    return Trie(pair(low), pair(high))
+    mixed = F.shiftright((F.shiftright("code", 9) * F.lit(_MIX)).bitwiseAND(F.lit(0xFFFFFFFF)), 16) % parts
+    for part in range(parts):
+        yield Trie(pair(low), pair(codes.filter(mixed == part).toPandas()), part, parts)
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 10) -> DataFrame:
@@ -271,16 +316,31 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     held = id_remainder(F.col("id"), modulus) == 0
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     seen = stored(inner.select("id", "text", key.alias("key"), held.alias("held")).mapInArrow(counted, _COLUMNS))
-    trie = learned(seen)
     base, total = base_scores(seen)
-    here = shipped(docs.sparkSession, trie)
-
-    def score(t: pa.Array) -> pa.Array:
-        told = here().scores(t)
-        tidy()
-        return told
 
-    own = inner.select("id", key.alias("k"), held.alias("held_out"), F.arrow_udf(score, "double")("text").alias("score"))
+    def scored(trie: Trie) -> Column:
+        here = shipped(docs.sparkSession, trie)
+
+        def score(t: pa.Array) -> pa.Array:
+            told = here().scores(t)
+            tidy()
+            return told
+
+        return F.arrow_udf(score, "double")("text")
+
+    own = inner.select("id", key.alias("k"), held.alias("held_out"), "text")
+    sums = None
+    for trie in learned(seen):
+        if trie.parts == 1:
+            own = own.withColumn("score", scored(trie))
+        else:
+            # One pass over the texts a part; what it leaves is a number a document.
+            once = stored(own.select("id", "k", scored(trie).alias("s"))).groupBy("id", "k").agg(F.first("s").alias("s"))
+            sums = once if sums is None else checkpointed(sums.unionByName(once).groupBy("id", "k").agg(F.sum("s").alias("s")))
+    if sums is not None:
+        sums = sums.select(F.col("id").alias("s_id"), F.col("k").alias("s_k"), F.col("s").alias("score"))
+        own = own.join(sums, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("k") == F.col("s_k")), "left")
+    own = own.select("id", "k", "held_out", "score")
     once = base.groupBy("doc_id", "key").agg(F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.first("base_score").alias("base_score"))
     return own.join(once, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key")), "left").select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 

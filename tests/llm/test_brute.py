@@ -248,6 +248,24 @@ def test_trie_is_ppm():
         assert got == pytest.approx(want, rel=1e-4)
 
 
+@pytest.mark.parametrize("entries", [4_000_000, 30_000])
+def test_lm_keeps_every_context(spark, monkeypatch, entries):
+    """More contexts than 16,384, in one part and in several: rare ones count as well."""
+    monkeypatch.setattr(lm_score, "PART_ENTRIES", entries, raising=False)
+    rng = random.Random(12)
+    texts = {i: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", k=1500)) for i in range(40)}
+    train = [t.encode() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    rows = [[256] * 3 + list(t) + [256] for t in train]
+    every = {tuple(r[i - 3 : i]) for r in rows for i in range(3, len(r))}
+    assert len(every) > 16_384
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    texts[held] = texts[next(i for i in texts if zlib.crc32(str(i).encode()) % 10)][700:712] + "#"
+    row = [256] * 3 + list(texts[held].encode()) + [256]
+    want = sum(math.log10(reference_ppm(train, tuple(row[i - 3 : i]), every)[row[i]]) for i in range(3, len(row)))
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert got[held] == pytest.approx(want, rel=1e-5)
+
+
 def test_licenses_lose_nothing(spark):
     rng = random.Random(11)
     words = [f"t{i}" for i in range(25)]
