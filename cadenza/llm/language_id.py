@@ -17,15 +17,12 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import id_remainder, shipped, slices, small_batches, tidy
 
-#: Bounds of the labelled sample: documents a language, code points of each, and code points a language.
+#: Bounds of the labelled sample: documents a language, code points of each, and bytes a language.
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS = 128, 1024, 32_768
 
 #: Bound of all transition tables together; with many languages each gets a smaller sample.
 TABLE_BYTES = 160 << 20
 
-#: Letters that are told apart; the rest share a class that no automaton knows.
-MAX_CLASSES = 96
-
 #: A phrase may not span two lanes of so many characters.
 LANE = 1024
 
@@ -36,27 +33,40 @@ UNKNOWN = "und"
 _SLICE = 2 << 20
 
 
-def letter_classes(samples: list[str]) -> tuple[np.ndarray, int]:
-    """Code point to class: 0 is everything but letters, 1 letters that no sample has, then the most frequent letters by lower case."""
-    counts: dict[str, int] = {}
-    for text in samples:
-        for c in text:
-            if c.isalpha():
-                low = c.lower()[:1]
-                counts[low] = counts.get(low, 0) + 1
-    known = sorted(counts, key=lambda c: (-counts[c], c))[: MAX_CLASSES - 2]
-    number = {c: i + 2 for i, c in enumerate(known)}
-    table = np.zeros(0x110000, np.uint8)
+#: Stands for a letter that no sample has; no letter itself.
+UNSEEN = 1
+
+
+def lower_letters() -> np.ndarray:
+    """Code point to the lower case of a letter, 0 for everything else."""
+    table = np.zeros(0x110000, np.int32)
     for cp in range(0x110000):
         if (c := chr(cp)).isalpha():
-            table[cp] = number.get(c.lower()[:1], 1)
-    return table, len(known) + 2
+            table[cp] = ord(c.lower()[0])
+    return table
+
+
+def letter_bytes(text: str, lower: np.ndarray) -> np.ndarray:
+    """UTF-8 of a text's lower-case letters, whatever their script; runs of non-letters are one 0."""
+    cps = lower[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    cps = cps[(cps != 0) | (np.concatenate([[1], cps[:-1]]) != 0)] if len(cps) else cps
+    size = 1 + (cps >= 0x80) + (cps >= 0x800) + (cps >= 0x10000)
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[ends - size] = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size] | cps >> 6 * (size - 1)
+    for k in range(1, 4):
+        some = size > k
+        out[(ends - size)[some] + k] = 0x80 | cps[some] >> 6 * (size[some] - 1 - k) & 0x3F
+    return out
 
 
-def classes_of(text: str, table: np.ndarray) -> np.ndarray:
-    """Classes of a text's code points, runs of non-letters as one."""
-    kinds = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    return kinds[(kinds != 0) | (np.concatenate([[1], kinds[:-1]]) != 0)] if len(kinds) else kinds
+def byte_classes(samples: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """Byte to class: 0 is everything but letters, 1 what no sample has and no automaton knows, then all others."""
+    known = [b for b in np.unique(np.concatenate([np.zeros(1, np.uint8), *samples])).tolist() if b]
+    table = np.ones(256, np.uint8)
+    table[0] = 0
+    table[known] = np.arange(2, len(known) + 2)
+    return table, len(known) + 2
 
 
 def suffix_automaton(kinds: np.ndarray) -> list[dict[int, int]]:
@@ -140,11 +150,17 @@ class Model:
         self.names = sorted(samples)
         self.table = self.starts = None
         self.sizes = np.zeros(0)
-        self.classes, n = letter_classes([t for name in self.names for t in samples[name]])
+        self.lower = lower_letters()
+        seen = np.zeros(0x110000, bool)
+        for t in (t for name in self.names for t in samples[name]):
+            seen[self.lower[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]] = True
+        self.lower[(self.lower != 0) & ~seen[self.lower]] = UNSEEN
+        texts = [np.concatenate([np.append(letter_bytes(t, self.lower), 0).astype(np.uint8) for t in samples[name]]) for name in self.names]
+        self.classes, n = byte_classes(texts)
         if not self.names:
             return
         most = min(LANGUAGE_CHARS, TABLE_BYTES // (len(self.names) * 2 * n * 4))
-        texts = [np.concatenate([np.append(classes_of(t, self.classes), 0).astype(np.uint8) for t in samples[name]])[:most] for name in self.names]
+        texts = [self.classes[x[:most]] for x in texts]
         self.table, self.starts = transition_table([suffix_automaton(x) for x in texts], n)
         self.sizes = np.array([max(2, len(x)) for x in texts], float)
 
@@ -153,7 +169,7 @@ class Model:
         langs, scores, rates = [], [], []
         lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         for a, b in slices(lengths, _SLICE):
-            kinds = [classes_of(t or "", self.classes) for t in texts.slice(a, b - a).to_pylist()]
+            kinds = [self.classes[letter_bytes(t or "", self.lower)] for t in texts.slice(a, b - a).to_pylist()]
             letters = [bool(x.any()) for x in kinds]
             if self.table is None:
                 counts = np.zeros((len(kinds), 0))

@@ -173,6 +173,20 @@ def test_language_held_out(spark):
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) == r["held_out"] for r in rows)
 
 
+def test_many_letters_are_told_apart():
+    """Two languages that differ only in letters beyond the most frequent hundred, and a script that no sample has."""
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=3)) for _ in range(200))
+    common, one, two = ([chr(a + i) for i in range(n)] for a, n in ((0x4E00, 100), (0x6000, 60), (0x7000, 60)))
+    model = language_id.Model({"a": [text(common), text(common), text(common), text(one)], "b": [text(common), text(common), text(common), text(two)]})
+    for letters, name in ((one, "a"), (two, "b")):
+        assert {r["lang"] for r in model.predict(pa.array([text(letters) for _ in range(10)])).to_pylist()} == {name}
+    (told,) = model.predict(pa.array([text([chr(0x10D0 + i) for i in range(30)])])).to_pylist()
+    assert told["rate"] > language_id.MAX_RATE
+
+
 def test_classifier_held_out(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF2}/labels.parquet").collect()}
     rows = [r for r in queries.queries()["op10_quality_classifier"](spark, SF2).collect() if r["held_out"] and r["doc_id"] in labels]
