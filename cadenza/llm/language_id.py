@@ -26,9 +26,12 @@ TABLE_BYTES = 160 << 20
 #: A phrase may not span two lanes of so many characters.
 LANE = 1024
 
-#: Phrases a character from which on a text is no language that was learned.
+#: Phrases a character from which on a text is no language that was learned, whatever the labelled documents say.
 MAX_RATE = 0.7
 
+#: What a text's strangeness may be, by the largest of the labelled documents to models that have not seen them.
+MARGIN = 1.2
+
 UNKNOWN = "und"
 _SLICE = 2 << 20
 
@@ -143,12 +146,30 @@ def phrase_counts(texts: list[np.ndarray], table: np.ndarray, starts: np.ndarray
     return out
 
 
+def strangeness(phrases: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Phrases a character beyond the first, less two standard deviations of a count: short texts are not judged by chance."""
+    return (np.sqrt(np.maximum(phrases, 1)) - 1) ** 2 / np.maximum(length, 1)
+
+
+def strangest(samples: dict[str, list[str]]) -> float:
+    """MARGIN times the largest strangeness of labelled documents to a model of the other half of them; infinite if a language has no two."""
+    if not samples or min(map(len, samples.values())) < 2:
+        return np.inf
+    worst = 0.0
+    for half in (0, 1):
+        model = Model({name: texts[half::2] for name, texts in samples.items()})
+        told = model.predict(pa.array([t for texts in samples.values() for t in texts[1 - half :: 2]]))
+        worst = max(worst, *(r["strange"] for r in told.to_pylist() if r["lang"] != UNKNOWN), 0.0)
+    return worst * MARGIN or np.inf
+
+
 class Model:
     """Automata of all languages; small enough to be sent to every task."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
         self.table = self.starts = None
+        self.most_strange = np.inf
         self.sizes = np.zeros(0)
         self.lower = lower_letters()
         seen = np.zeros(0x110000, bool)
@@ -165,8 +186,8 @@ class Model:
         self.sizes = np.array([max(2, len(x)) for x in texts], float)
 
     def predict(self, texts: pa.Array) -> pa.Array:
-        """(lang, score, rate) of each text."""
-        langs, scores, rates = [], [], []
+        """(lang, score, rate, strange) of each text."""
+        langs, scores, rates, strange = [], [], [], []
         lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         for a, b in slices(lengths, _SLICE):
             kinds = [self.classes[letter_bytes(t or "", self.lower)] for t in texts.slice(a, b - a).to_pylist()]
@@ -180,6 +201,7 @@ class Model:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     rates.append(1.0)
+                    strange.append(1.0)
                     continue
                 cost = row * np.log2(self.sizes) / len(x)
                 ranked = np.argsort(cost, kind="stable")
@@ -187,7 +209,8 @@ class Model:
                 langs.append(self.names[best])
                 scores.append(1.0 if len(ranked) < 2 else float(1 - cost[best] / cost[ranked[1]]))
                 rates.append(float(row[best] / len(x)))
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=["lang", "score", "rate"])
+                strange.append(float(strangeness(row[best], len(x))))
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64()), pa.array(strange, pa.float64())], names=["lang", "score", "rate", "strange"])
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> Model:
@@ -212,7 +235,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str
     samples: dict[str, list[str]] = {}
     for r in rows:
         samples.setdefault(r["lang"], []).append(r["text"])
-    return Model(samples)
+    model = Model(samples)
+    model.most_strange = strangest(samples)
+    return model
 
 
 def prediction(spark, model: Model, text: Column) -> Column:
@@ -224,7 +249,7 @@ def prediction(spark, model: Model, text: Column) -> Column:
         tidy()
         return told
 
-    return F.arrow_udf(predicted, "struct<lang:string,score:double,rate:double>")(text.cast("string"))
+    return F.arrow_udf(predicted, "struct<lang:string,score:double,rate:double,strange:double>")(text.cast("string"))
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,10 +265,14 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 
 def kept_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in a language that was learned, in their own columns."""
+    """The rows of ``docs`` in a language that was learned, in their own columns.
+
+    A text goes if it is stranger to the model than labelled documents that a model
+    has not seen are, by more than MARGIN, or if its rate is above MAX_RATE.
+    """
     columns = docs.columns
     inner = docs.toDF(*(f"c{i}" for i in range(len(columns)))).withColumn("p", prediction(docs.sparkSession, model, F.col(f"c{columns.index(text)}")))
-    return inner.filter((F.col("p.lang") != UNKNOWN) & (F.col("p.rate") <= MAX_RATE)).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
+    return inner.filter((F.col("p.lang") != UNKNOWN) & (F.col("p.rate") <= MAX_RATE) & (F.col("p.strange") <= float(model.most_strange))).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

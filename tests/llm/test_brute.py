@@ -173,6 +173,17 @@ def test_language_held_out(spark):
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) == r["held_out"] for r in rows)
 
 
+def test_language_stage_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "lang", "text")
+    rng = random.Random(14)
+    italian = "La volpe veloce salta sopra il cane pigro mentre sette maghi mescolano in silenzio barattoli di vernice color giada. Ogni mattina il mercato della piazza si riempie di gente che compra frutta, pane e verdura fresca. Nessuno sapeva dove fosse finito il vecchio orologio della stazione."
+    strange = [(-1, None, italian), (-2, None, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=600)))]
+    model = language_id.learn(docs)
+    assert language_id.kept_documents(spark.createDataFrame(strange, docs.schema), model).count() == 0
+    lettered = sum(any(c.isalpha() for c in r["text"] or "") for r in docs.collect())
+    assert language_id.kept_documents(docs, model).count() >= 0.999 * lettered
+
+
 def test_many_letters_are_told_apart():
     """Two languages that differ only in letters beyond the most frequent hundred, and a script that no sample has."""
     import pyarrow as pa
