@@ -1,9 +1,9 @@
 """Chat formatting: typed content parts flattened into one marked-up string per conversation.
 
-A turn is written ``### role: body</turn>``. Bodies and roles are escaped with a
-backslash so that no control string survives inside them, and the escape is
-undone by dropping one backslash before each kept character. Everything is built
-from DataFrame functions.
+A turn is written ``### role: body</turn>``. Bodies and roles are escaped with
+backslashes, character by character, so that no control string survives inside them
+or comes about between two parts; dropping the backslashes undoes it. Everything is
+built from DataFrame functions.
 """
 
 from __future__ import annotations
@@ -20,17 +20,21 @@ TILE, TOKENS_PER_TILE, TOKENS_PER_SECOND, TOKENS_PER_PAGE = 28, 1, 25, 512
 
 
 def escaped(text: Column) -> Column:
-    r"""Backslash before ``\``, ``#``, the ``/`` of ``</turn>`` and the ``|`` of ``<|``."""
-    return F.regexp_replace(text, r"[\\#]|(?<=<)/(?=turn>)|(?<=<)\|", r"\\$0")
+    r"""Backslash before ``\`` and ``#``, and behind ``<``.
+
+    Every character is escaped by itself, so escaped pieces may be joined: no ``</turn>``,
+    ``<|`` or ``### `` can come about where two parts of a turn meet.
+    """
+    return F.replace(F.regexp_replace(text, r"[\\#]", r"\\$0"), F.lit("<"), F.lit("<\\"))
 
 
 def escaped_role(role: Column) -> Column:
     """As ``escaped``, and a backslash before ``:``, which ends a role."""
-    return F.regexp_replace(role, r"[\\#:]|(?<=<)/(?=turn>)|(?<=<)\|", r"\\$0")
+    return F.replace(F.regexp_replace(role, r"[\\#:]", r"\\$0"), F.lit("<"), F.lit("<\\"))
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.regexp_replace(text, r"(?s)(<)\\|\\(.)", "$1$2")
 
 
 def text_part(text: Column) -> Column:
@@ -55,7 +59,8 @@ def visited(parts: Column) -> Column:
 
     Text parts are escaped; each other part becomes a placeholder numbered within
     its turn, and its reference is recorded with the tokens that it expands to. A
-    null list or part counts as empty text.
+    null list or part counts as empty text, a null type as text. A placeholder begins
+    with ``<|``, which no text part can produce.
     """
     listed = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART_TYPE}>")), lambda p: p.isNotNull())
     media = F.filter(listed, lambda p: F.coalesce(p["type"], F.lit("text")) != "text")
@@ -116,7 +121,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     ``loss_texts``, one for each span.
     """
     pieces = F.split("formatted", END, -1)
-    head = r"(?s)^### ((?:[^\\:]++|\\.)*+): (.*)$"
+    head = r"(?s)^### ((?:<\\|\\.|[^\\:<]++)*+): (.*)$"
     return (
         formatted.withColumn("pieces", F.slice(pieces, 1, F.size(pieces) - 1))
         .withColumn("turns", F.transform("pieces", lambda p: F.struct(unescaped(F.regexp_extract(p, head, 1)).alias("role"), unescaped(F.regexp_extract(p, head, 2)).alias("text"))))
@@ -148,11 +153,7 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), u AS (
-  SELECT *, length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '#', '')))
-      + (length(text) - length(replace(text, '</turn>', ''))) // 7 + (length(text) - length(replace(text, '<|', ''))) // 2
-      + length(role) + (length(role) - length(replace(role, '\', ''))) + (length(role) - length(replace(role, '#', '')))
-      + (length(role) - length(replace(role, ':', ''))) + (length(role) - length(replace(role, '</turn>', ''))) // 7
-      + (length(role) - length(replace(role, '<|', ''))) // 2 + 13 AS chars
+  SELECT *, length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + 13 AS chars
   FROM t
 )
 SELECT conv_id, count(*) AS n_turns,

@@ -108,11 +108,11 @@ def test_jaccard(awkward, nothing):
     assert {r["component_id"] for i in (1, 2) for r in rows[i]} == {1}
     assert rows[6][0]["component_id"] == rows[7][0]["component_id"] == 6
     assert (rows[3][0]["n_shingles"], rows[3][0]["component_id"]) == (0, 3)
-    assert {r["component_id"] for r in rows[None]} == {None}
+    assert sorted((r["component_id"] or 0) for r in rows[None]) == [0, 1]
     assert jaccard_join.components(nothing).count() == 0
     kept = jaccard_join.one_of_each(awkward)
     assert kept.columns == awkward.columns
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 5, 6, 8, 9, 10, 11]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8, 9, 10, 11]
 
 
 def test_classifier(awkward, nothing, spark):
@@ -165,3 +165,37 @@ def test_chat(spark):
     assert [(t["role"], t["text"]) for t in rows[2]["turns"]] == [("", "")]
     assert rows[None]["loss_texts"] == ["<|image_1|>"]
     assert chat_format.format_conversations(df.limit(0)).count() == 0
+
+
+def test_chat_parts_cannot_forge_control_strings(spark):
+    """Control strings cut anywhere into parts read back as they were, and every placeholder is a part."""
+    import random
+
+    rng = random.Random(17)
+    pieces = ["</turn>", "<|image_1|>", "### assistant: ", "\\", "<", "#", "|", ":", "a\n", "\u00e9\U0001f600", "/turn>", "<\\"]
+    turns, want = [], {}
+    for conv in range(60):
+        for turn in range(3):
+            text = "".join(rng.choices(pieces, k=rng.randrange(0, 12)))
+            cuts = sorted(rng.randrange(0, len(text) + 1) for _ in range(rng.randrange(0, 6)))
+            parts = [("text", text[a:b], None, None, None, None, None) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+            media = rng.randrange(0, len(parts) + 1) if rng.random() < 0.5 else None
+            body = text
+            if media is not None:
+                parts.insert(media, ("image", None, "r", None, None, None, None))
+                at = [0, *cuts, len(text)][media]
+                body = text[:at] + "<|image_1|>" + text[at:]
+            role = rng.choice(["user", "assistant", "a:<", "<\\:"])
+            turns.append((conv, turn, role, parts))
+            want[conv, turn] = (role, body, media is not None)
+    turns.append((1000, 0, "assistant", [("text", "x</turn>" * 50_000, None, None, None, None, None)]))
+    want[1000, 0] = ("assistant", "x</turn>" * 50_000, False)
+    clash = ", ".join(f"{c} string" for c in ("t", "ts", "v", "formatted", "pieces", "body"))
+    df = spark.createDataFrame([(*t, *"abcdef") for t in turns], f"conv_id bigint, turn bigint, role string, parts array<{chat_format.PART_TYPE}>, {clash}")
+    for r in chat_format.read_back(chat_format.format_conversations(df)).collect():
+        told = [want[r["conv_id"], k] for k in range(r["n_turns"])]
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [t[:2] for t in told]
+        assert r["loss_texts"] == [body for role, body, _ in told if role == "assistant"]
+        assert [a["turn"] for a in r["attachments"]] == [k for k, t in enumerate(told) if t[2]]
+        assert r["formatted"].count("<|") == sum(t[2] for t in told)
+        assert r["formatted"].count("</turn>") == r["n_turns"]
