@@ -2,16 +2,17 @@
 
 1. Texts become sets of shingle hashes; texts with equal sets are one class, and
    a class is joined as its least document.
-2. Blocks: ordered by a frequency sketch, rarest first, two sets that link share
-   one of their first shingles. The least document with such a shingle is the
-   pivot of all others with it.
-3. Around each pivot, parity bitmaps give a lower bound of every distance; what the
-   bound cannot separate is one region.
-4. Regions are joined exactly. A large region gets pivots; every document goes to
-   the Voronoi cell of its nearest pivot and, where the triangle inequality leaves
-   a link across the border possible, to the cells beyond; cells are joined in the
-   same way until they are small. Documents that link to a common pivot are
-   connected already and are not compared with each other.
+2. Blocks only narrow down what has to be joined: ordered by a frequency sketch,
+   rarest first, two sets that link share one of their first shingles, and parity
+   bitmaps give a lower bound of every distance. What neither can separate is a region.
+3. Every region is joined by pivots. Each of its documents goes to the Voronoi cell
+   of its nearest pivot and, where the triangle inequality leaves a link across the
+   border possible, to the cells beyond; cells are joined in the same way until they
+   are small. Documents that link to a common pivot are connected already and are
+   not compared with each other.
+4. Regions that fit into a task are split there; larger ones are split by tasks that
+   each compare a part of a region with its pivots. A region that pivots do not make
+   easier is cut into parts instead, and every two parts meet in a task.
 
 Shingles are told apart by 64 bits of a hash, sets by 128.
 """
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import checkpointed, few, shipped, slices, small_batches, spaced_words, tidy
+from cadenza.llm.common import checkpointed, few, shipped, slices, spaced_words, stored, tidy
 
 WORDS = 5
 #: Links have at least this Jaccard similarity, in percent.
@@ -37,15 +38,15 @@ PERCENT = 80
 #: Counters of the frequency sketch and the parts in which it is summed.
 SKETCH_BITS, SKETCH_PARTS = 21, 64
 
-#: A block with more members is one region without the bitmaps' help.
-MAX_BLOCK = 20_000
-#: A region with more shingles is split by pivots; so many pivots at once, and so many times at most before it is joined in one task.
-MAX_REGION, PIVOTS, MAX_DEPTH = 2_000_000, 8, 12
-#: Shingles of the part of a large region that one task compares with the pivots.
-PART_SHINGLES = 500_000
+#: A block with more members, or with more shingles in them, is a region without the bitmaps' help.
+MAX_BLOCK, MAX_BLOCK_SHINGLES = 1000, 4_000_000
+#: A region with more shingles is split by several tasks, each of which compares so many shingles with the pivots.
+MAX_REGION, PART_SHINGLES = 250_000, 100_000
+#: Pivots at once, members of a cell that is not split any more, and the share of a region's pairs that its cells may have left between them.
+PIVOTS, LEAF, STUCK = 8, 16, 0.5
 
 #: Ids up to this number are broadcast; more are joined by a shuffle.
-MAX_BROADCAST_IDS = 2_000_000
+MAX_BROADCAST_IDS = 1_000_000
 
 _SLICE = 1 << 20
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, 2 * WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -252,10 +253,10 @@ def _similar(shared: np.ndarray, n: np.ndarray, m) -> np.ndarray:
     return shared * 100 >= PERCENT * (n + m - shared)
 
 
-def exact_components(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the first one that it is connected with by links.
+def searched_components(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first one that it is connected with by links, for cells that pivots do not split.
 
-    A breadth-first search over pivots: a set that was reached is a pivot for the
+    A breadth-first search over an inverted index: a set that was reached is a pivot for the
     sets that were not. It can reach only those whose distance from the search's
     first pivot is within the threshold of its own (triangle inequality).
     """
@@ -305,6 +306,78 @@ def exact_components(sets: list[np.ndarray]) -> np.ndarray:
     return root
 
 
+def pivot_distances(flat: np.ndarray, sizes: np.ndarray, pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of every set from every pivot, and whether they link; ``flat`` has the sets' sorted shingles one after another."""
+    starts = np.cumsum(sizes) - sizes
+    distance, linked = np.empty((len(sizes), len(pivots))), np.empty((len(sizes), len(pivots)), bool)
+    for j, p in enumerate(pivots):
+        held = p[np.minimum(np.searchsorted(p, flat), len(p) - 1)] == flat
+        shared = np.add.reduceat(held, starts, dtype=np.int64) if len(starts) else starts
+        distance[:, j] = 1 - shared / (sizes + len(p) - shared)
+        linked[:, j] = _similar(shared, sizes, len(p))
+    return distance, linked
+
+
+def voronoi_cells(distance: np.ndarray) -> list[np.ndarray]:
+    """The members of each pivot's cell that still have to be compared.
+
+    With t the threshold and d the distance from the nearest pivot, a document goes to
+    every pivot within d + 2 t: two that link meet in the cell of either's nearest
+    pivot. Inside a cell, those within t of the pivot are connected by it; the others
+    can only link with documents within t of the nearest other's distance, or beyond.
+    """
+    far, slack = 1 - PERCENT / 100, 1e-9
+    nearest = distance.min(axis=1)
+    cells = []
+    for d in distance.T:
+        inside = np.flatnonzero(d <= nearest + 2 * far + slack)
+        others = d[inside][d[inside] > far + slack]
+        cells.append(inside[d[inside] >= others.min() - far - slack] if len(others) else inside[:0])
+    return cells
+
+
+def exact_components(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first one that it is connected with by links: Voronoi cells of cells, until they are small."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    root = np.arange(len(sets))
+
+    def connect(members: np.ndarray, to: np.ndarray) -> None:
+        """Joins each member's tree with that of its partner."""
+        for x, y in zip(members.tolist(), to.tolist(), strict=True):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            root[max(x, y)] = min(x, y)
+
+    def roots(members: np.ndarray) -> np.ndarray:
+        up = root[members]
+        while (root[up] != up).any():
+            up = root[up]
+        return up
+
+    rng, open_ = np.random.default_rng(len(sets)), [np.arange(len(sets))]
+    while open_:
+        cell = open_.pop()
+        if len(cell) < 2 or (roots(cell) == roots(cell[:1])).all():
+            continue
+        cells = None
+        if len(cell) > LEAF:
+            pivots = rng.choice(len(cell), PIVOTS, replace=False)
+            distance, linked = pivot_distances(np.concatenate([sets[i] for i in cell]), sizes[cell], [sets[i] for i in cell[pivots]])
+            member, pivot = np.nonzero(linked)
+            connect(cell[member], cell[pivots[pivot]])
+            # Pivots are compared with the whole cell now.
+            rest = np.setdiff1d(np.arange(len(cell)), pivots)
+            cells = [cell[rest[own]] for own in voronoi_cells(distance[rest])]
+            cell = cell[rest]
+        if cells is None or sum(len(c) ** 2 for c in cells) > STUCK * len(cell) ** 2:
+            connect(cell, cell[searched_components([sets[i] for i in cell])])
+        else:
+            open_ += cells
+    return roots(np.arange(len(sets)))
+
+
 def _region_links(table: pa.Table) -> pa.Table:
     """Links that connect the region's members exactly as all its links do."""
     ids = table["x"].to_numpy()
@@ -316,79 +389,71 @@ def _region_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[root[moved]], pa.int64())})
 
 
-_CELLS = "cell string, x bigint, items binary, distance double, link bigint"
+_CELLS = "cell string, x bigint, items binary, distance double, above double, link bigint"
 
 
 def _cells(key: tuple, members: pa.Table, pivots: pa.Table) -> pa.Table:
     """Of some members of a region and its pivots: links to pivots, and memberships of cells with the distance from the cell's pivot."""
-    tolerance = 1 - PERCENT / 100
-    region, names = key[0].as_py(), pivots["px"].to_pylist()
-    sets = [np.frombuffer(p, np.uint64) for p in pivots["pitems"].to_pylist()]
-    cell, xs, items, distances, links = [], [], [], [], []
-    for x, own in zip(members["x"].to_pylist(), members["items"].to_pylist(), strict=True):
-        mine = np.frombuffer(own, np.uint64)
-        d = np.empty(len(sets))
-        for j, p in enumerate(sets):
-            shared = len(np.intersect1d(mine, p, assume_unique=True))
-            d[j] = 1 - shared / (len(mine) + len(p) - shared)
-            if names[j] != x and _similar(shared, len(mine), len(p)):
-                cell.append(None)
-                xs.append(x)
-                items.append(None)
-                distances.append(None)
-                links.append(names[j])
-        if x in names:
-            continue  # compared with the whole region now
-        for j in np.flatnonzero(d <= d.min() + 2 * tolerance + 1e-9).tolist():
-            cell.append(f"{region}/{names[j]}")
-            xs.append(x)
-            items.append(own)
-            distances.append(float(d[j]))
-            links.append(None)
-    kinds = [pa.string(), pa.int64(), pa.binary(), pa.float64(), pa.int64()]
-    return pa.table([pa.array(c, k) for c, k in zip([cell, xs, items, distances, links], kinds, strict=True)], ["cell", "x", "items", "distance", "link"])
+    far, region, names = 1 - PERCENT / 100, key[0].as_py(), pivots["px"].to_numpy()
+    raw, xs, above = members["items"].to_pylist(), members["x"].to_numpy(), members["weight"].to_numpy()
+    distance, linked = pivot_distances(np.frombuffer(b"".join(raw), np.uint64), np.array([len(r) // 8 for r in raw], np.int64), [np.frombuffer(p, np.uint64) for p in pivots["pitems"].to_pylist()])
+    member, pivot = np.nonzero(linked & (xs[:, None] != names))
+    links = pa.table({"cell": pa.nulls(len(member), pa.string()), "x": pa.array(xs[member], pa.int64()), "items": pa.nulls(len(member), pa.binary()), "distance": pa.nulls(len(member), pa.float64()), "above": pa.nulls(len(member), pa.float64()), "link": pa.array(names[pivot], pa.int64())})
+    near = distance <= distance.min(axis=1)[:, None] + 2 * far + 1e-9
+    near[np.isin(xs, names)] = False  # compared with the whole region now
+    member, pivot = np.nonzero(near)
+    inside = pa.table({"cell": pa.array([f"{region}/{n}" for n in names[pivot].tolist()], pa.string()), "x": pa.array(xs[member], pa.int64()), "items": pa.array([raw[i] for i in member.tolist()], pa.binary()), "distance": pa.array(distance[member, pivot], pa.float64()), "above": pa.array(above[member], pa.float64()), "link": pa.nulls(len(member), pa.int64())})
+    return pa.concat_tables([links, inside])
 
 
 def joined_regions(members: DataFrame) -> list[DataFrame]:
-    """Link tables (a, b) from regions (region, x, items), split by pivots until each fits into a task."""
-    found, link = [], "a bigint, b bigint"
-    for depth in range(MAX_DEPTH + 1):
-        sizes = members.groupBy("region").agg(F.sum(F.octet_length("items") / 8).alias("weight"), F.count("*").alias("n")).filter("n > 1")
-        parts = (F.floor(F.col("weight") / F.lit(PART_SHINGLES)) + 1).cast("int").alias("parts")
-        large = checkpointed(sizes.filter((F.col("weight") > MAX_REGION) & (F.col("n") > 2 * PIVOTS) & F.lit(depth < MAX_DEPTH)).select(F.col("region").alias("r"), parts))
+    """Link tables (a, b) from regions (region, x, items): small ones joined in a task, others split by pivots, as ``voronoi_cells`` says, until none is left."""
+    found, link, far, depth = [], "a bigint, b bigint", 1 - PERCENT / 100, 0
+    weight = F.sum(F.octet_length("items") / 8)
+    while True:
+        large = checkpointed(members.groupBy("region").agg(weight.alias("weight"), F.count("*").alias("n")).filter((F.col("weight") > MAX_REGION) & (F.col("n") > 2 * PIVOTS)).select(F.col("region").alias("r"), "weight"))
         none = large.isEmpty()
         small = members if none else members.join(large, F.col("region") == F.col("r"), "left_anti")
         found.append(small.select("region", "x", "items").groupBy("region").applyInArrow(_region_links, link))
         if none:
-            break
+            return found
         # A large region goes in parts, each with all of its pivots: the members with the least hash of each slot.
-        split = members.join(large, F.col("region") == F.col("r")).select("region", "x", "items", "parts", F.pmod(F.hash("x"), F.col("parts")).alias("part"))
+        parts = (F.floor(F.col("weight") / F.lit(PART_SHINGLES)) + 1).cast("int")
+        split = members.join(large, F.col("region") == F.col("r")).select("region", "x", "items", "weight", parts.alias("parts"))
         least = split.groupBy("region", "parts", F.pmod(F.xxhash64("x"), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("x", F.lit(depth)).alias("h"), "x", "items")).alias("m"))
         pivots = least.select(F.col("region").alias("pr"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pp"), F.col("m.x").alias("px"), F.col("m.items").alias("pitems"))
-        cells = checkpointed(split.drop("parts").groupBy("region", "part").cogroup(pivots.groupBy("pr", "pp")).applyInArrow(_cells, _CELLS))
+        dealt = split.select("region", F.pmod(F.hash("x"), F.col("parts")).alias("part"), "x", "items", "weight")
+        cells = checkpointed(dealt.groupBy("region", "part").cogroup(pivots.groupBy("pr", "pp")).applyInArrow(_cells, _CELLS))
         found.append(cells.filter("link IS NOT NULL").select(F.col("x").alias("a"), F.col("link").alias("b")))
         inside = cells.filter("cell IS NOT NULL")
-        # Members that link to the cell's pivot are connected: without others nothing is left, else those within reach of others.
-        tolerance = 1 - PERCENT / 100
-        others = inside.filter(F.col("distance") > tolerance + 1e-9).groupBy(F.col("cell").alias("c")).agg(F.min("distance").alias("d"))
-        members = checkpointed(inside.join(others, F.col("cell") == F.col("c")).filter(F.col("distance") >= F.col("d") - tolerance - 1e-9).select(F.col("cell").alias("region"), "x", "items"))
-    return found
+        others = inside.filter(F.col("distance") > far + 1e-9).groupBy(F.col("cell").alias("c")).agg(F.min("distance").alias("d"))
+        beside = checkpointed(inside.join(others, F.col("cell") == F.col("c")).filter(F.col("distance") >= F.col("d") - far - 1e-9).select(F.col("cell").alias("region"), "x", "items", "above"))
+        # Regions whose cells have too many of its pairs left: any two of its parts meet in a task instead.
+        parent = F.regexp_replace("region", "/[^/]*$", "")
+        stuck = beside.groupBy("region").agg(weight.alias("w"), F.max("above").alias("above")).groupBy(parent.alias("s")).agg(F.sum(F.col("w") * F.col("w")).alias("left"), F.max("above").alias("above"))
+        stuck = checkpointed(stuck.filter(F.col("left") > STUCK * F.col("above") * F.col("above")).select("s"))
+        members = beside.select("region", "x", "items")
+        if not stuck.isEmpty():
+            members = checkpointed(members.join(stuck, parent == F.col("s"), "left_anti"))
+            halves = split.join(stuck, F.col("region") == F.col("s"), "left_semi").withColumn("k", F.ceil(F.col("weight") * 2 / F.lit(MAX_REGION)).cast("int")).withColumn("p", F.pmod(F.hash("x"), F.col("k")))
+            met = halves.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).filter("p <> q").select(F.concat_ws(" ", "region", F.least("p", "q"), F.greatest("p", "q")).alias("region"), "x", "items")
+            found.append(met.groupBy("region").applyInArrow(_region_links, link))
+        depth += 1
 
 
 def component_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For (doc_id bigint, text): the sets (doc_id, n, key), the classes (key, rep), and (node, root) of linked classes."""
-    small_batches(docs.sparkSession)
+    """For (doc_id bigint, text) without repeated or null ids: the sets (doc_id, n, key), the classes (key, rep), and (node, root) of linked classes."""
+    spark = docs.sparkSession
     seen = checkpointed(docs.mapInArrow(summarised, _SETS))
     sets = seen.filter("part IS NULL").select("doc_id", "n", "key")
-    classes = checkpointed(sets.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"))
-    spark = docs.sparkSession
+    classes = checkpointed(sets.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")))
     sketch = frequency_sketch(seen.filter("part IS NOT NULL").select("part", "counts"))
     here = shipped(spark, Blocker(sketch))
 
     def rows(batches):
         return here().rows(batches)
 
-    reps, columns = classes.select(F.col("rep").alias("doc_id")).distinct(), "x bigint, n bigint, firsts array<bigint>, bits binary"
+    reps, columns = classes.select(F.col("rep").alias("doc_id")), "x bigint, n bigint, firsts array<bigint>, bits binary"
     if few(reps, MAX_BROADCAST_IDS):
         blocked = docs.join(F.broadcast(reps), "doc_id", "left_semi").mapInArrow(rows, columns)
     else:
@@ -396,11 +461,11 @@ def component_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         blocked = docs.mapInArrow(rows, columns).join(reps, F.col("x") == F.col("doc_id"), "left_semi")
     blocks = checkpointed(blocked.filter("n > 0"))
     # A shingle that only one document has first joins nothing.
-    firsts = blocks.select("x", F.explode("firsts").alias("s"))
+    firsts = blocks.select("x", "n", F.explode("firsts").alias("s"))
     shared = firsts.groupBy("s").agg(F.min("x").alias("pivot"), F.max("x").alias("last")).filter("pivot <> last").drop("last")
-    pairs = checkpointed(firsts.join(shared, "s").filter("x <> pivot").select("pivot", "x").distinct())
-    wide = pairs.groupBy("pivot").count().filter(F.col("count") > MAX_BLOCK).select(F.col("pivot").alias("wide"))
-    wide = checkpointed(wide)
+    pairs = checkpointed(firsts.join(shared, "s").filter("x <> pivot").select("pivot", "x", "n").distinct())
+    wide = checkpointed(pairs.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("n").alias("n")).filter((F.col("m") > MAX_BLOCK) | (F.col("n") > MAX_BLOCK_SHINGLES)).select(F.col("pivot").alias("wide")))
+    pairs = pairs.select("pivot", "x")
     members = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("x")).distinct())
     narrow = members if wide.isEmpty() else members.join(wide, F.col("pivot") == F.col("wide"), "left_anti")
     possible = narrow.join(blocks.select("x", "n", "bits"), "x").groupBy("pivot").applyInArrow(_block_links, "a bigint, b bigint")
@@ -417,41 +482,66 @@ def component_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     linked = regions.select(F.col("node").alias("doc_id"))
     chosen = docs.join(F.broadcast(linked) if few(linked, MAX_BROADCAST_IDS) else linked, "doc_id", "left_semi")
     found = chosen.mapInArrow(items, "x bigint, items binary")
-    # A document that is repeated under its id with other texts has several sets, all under that id.
-    repeats = not sets.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    whole = checkpointed((found.distinct() if repeats else found).join(regions, F.col("x") == F.col("node")).select(F.col("root").cast("string").alias("region"), "x", "items"))
+    whole = checkpointed(found.join(regions, F.col("x") == F.col("node")).select(F.col("root").cast("string").alias("region"), "x", "items"))
     links = None
     for part in joined_regions(whole):
         links = part if links is None else links.unionByName(part)
     return sets, classes, connected(links)
 
 
+def _numbered(docs: DataFrame, doc_id: str) -> tuple[DataFrame, bool]:
+    """``docs`` with ``__row``, a number of its own for every row, and whether that is the id.
+
+    Ids that repeat, are null or are no integers cannot tell rows apart; such a table is written once with numbers.
+    """
+    ids = docs.select(F.col(doc_id).alias("i"))
+    if ids.dtypes[0][1] in ("tinyint", "smallint", "int", "bigint") and ids.groupBy("i").count().filter("i IS NULL OR count > 1").isEmpty():
+        return docs.withColumn("__row", F.col(doc_id).cast("bigint")), True
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id())), False
+
+
+def _row_components(numbered: DataFrame, text: str) -> DataFrame:
+    """(row, n, key, root): the least row of every row's component; a row without shingles is its own."""
+    sets, classes, roots = component_roots(numbered.select(F.col("__row").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    reached = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("root", "rep").alias("root"))
+    return sets.join(reached, F.col("key") == F.col("k"), "left").select(F.col("doc_id").alias("row"), "n", "key", F.coalesce("root", "doc_id").alias("root"))
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row.
 
-    ``component_id`` is the least id that links reach. Null or blank text has no
-    shingles and links with nothing; a text of fewer than five words is one shingle;
-    rows that share an id count as one document; a null id links with nothing and
-    has a null component; an empty table gives no rows.
+    ``component_id`` is the least id among the rows that links reach, null if none of
+    them has an id. Null or blank text has no shingles and links with nothing; a text of
+    fewer than five words is one shingle; rows are told apart also where they share an
+    id, and repeated rows link like other copies; an empty table gives no rows.
     """
-    inner = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets, classes, roots = component_roots(inner)
-    reached = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("root", "rep").alias("root"))
-    own = sets.join(reached, F.col("key") == F.col("k"), "left")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    numbered, plain = _numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    found = _row_components(numbered, "text")
+    if plain:
+        return found.select(F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
+    own = checkpointed(found.join(numbered.select(F.col("__row").alias("row"), "doc_id"), "row"))
+    least = own.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))
+    return own.join(least, F.col("root") == F.col("r")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the least of their component, in their own columns; rows with a null id all stay."""
+    """One row of each component of ``docs``, that with the least id, in their own columns.
+
+    Rows without words stay, as they link with nothing. Rows that share an id, or have
+    none, are judged each by its own text; where even the ids of a component's rows
+    are alike or null, one of them stays. An empty table gives no rows.
+    """
     columns = docs.columns
-    inner = docs.toDF(*(f"c{i}" for i in range(len(columns))))
     at = {name: f"c{i}" for i, name in enumerate(columns)}
-    found = checkpointed(components(inner.select(F.col(at[doc_id]).alias("doc_id"), F.col(at[text]).alias("text"))))
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = inner.join(F.broadcast(gone) if few(gone, MAX_BROADCAST_IDS) else gone, F.col(at[doc_id]).cast("bigint") == F.col("__gone"), "left_anti")
-    if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        repeated = kept.filter(F.col(at[doc_id]).isNotNull()).dropDuplicates([at[doc_id]])
-        kept = repeated.unionByName(kept.filter(F.col(at[doc_id]).isNull()))
+    numbered, plain = _numbered(docs.toDF(*at.values()), at[doc_id])
+    found = checkpointed(_row_components(numbered, at[text]))
+    if plain:
+        gone = found.filter("root <> row").select(F.col("row").alias("__gone"))
+    else:
+        own = found.join(numbered.select(F.col("__row").alias("row"), F.col(at[doc_id]).alias("id")), "row")
+        first = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("m"))
+        gone = own.join(first.select(F.col("root").alias("r"), F.col("m.row").alias("stays")), F.col("root") == F.col("r")).filter("row <> stays").select(F.col("row").alias("__gone"))
+    kept = numbered.join(F.broadcast(gone) if few(gone, MAX_BROADCAST_IDS) else gone, F.col("__row") == F.col("__gone"), "left_anti")
     return kept.select(*(F.col(at[c]).alias(c) for c in columns))
 
 

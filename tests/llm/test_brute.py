@@ -78,12 +78,46 @@ def test_jaccard_chains(spark):
 
 def test_jaccard_splits_large_regions(spark, monkeypatch):
     texts = near_copies(6, 3, 40, 100)
-    for limit in ({"MAX_REGION": 500}, {"MAX_REGION": 500, "MAX_BLOCK": 5, "MAX_BROADCAST_IDS": 0}):
+    for limit in ({"MAX_REGION": 500, "PART_SHINGLES": 300}, {"MAX_BLOCK": 5, "MAX_BROADCAST_IDS": 0}):
         for k, v in limit.items():
             monkeypatch.setattr(jaccard_join, k, v)
         check_components(spark, texts)
 
 
+def test_jaccard_joins_what_pivots_do_not_split(spark, monkeypatch):
+    """Texts that are all equally far from each other, and a chain, in regions of several tasks."""
+    monkeypatch.setattr(jaccard_join, "MAX_REGION", 500)
+    monkeypatch.setattr(jaccard_join, "MAX_BLOCK", 5)
+    rng, base = random.Random(3), [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(80):
+        own = list(base)
+        for k in rng.sample(range(120), 4):
+            own[k] = f"n{i}_{k}"
+        texts[i] = " ".join(own)
+    texts |= {100 + i: " ".join(f"c{k}" for k in range(3 * i, 3 * i + 60)) for i in range(40)}
+    check_components(spark, texts)
+
+
+def test_jaccard_on_many_near_copies(spark):
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*base[: rng.randrange(90, 100)], f"z{i}"])) for i in range(20_000)]
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).select("component_id").distinct().collect()
+    assert [r["component_id"] for r in got] == [0]
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    text = lambda k, n=40: " ".join(f"v{k}_{i}" for i in range(n))
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (5, text("b") + " more"), (7, text("c")), (7, text("d")), (None, text("e")), (None, text("e")), (None, text("a")), (8, None), (8, None), (9, "")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
+    assert len(kept) == 8
+    assert {k for k in kept if k[0] != 5} == {(3, text("a")), (7, text("c")), (7, text("d")), (None, text("e")), (8, None), (9, "")}
+    assert len([k for k in kept if k[0] == 5]) == 1
+    named = spark.createDataFrame([(f"n{i}", t) for i, t in rows], "doc_id string, text string")
+    assert {r["component_id"] for r in jaccard_join.components(named).collect() if r["n_shingles"] == 36} == {"n3", "n5", "n7", "nNone"}
+
+
 def test_bitmaps_never_lose_a_link():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -96,17 +130,20 @@ def test_bitmaps_never_lose_a_link():
             assert jaccard_join.undivided(np.array([len(a), len(b)]), [jaccard_join.parity_bits(a), jaccard_join.parity_bits(b)]).tolist() == [0, 0]
 
 
-def test_exact_components_on_random_sets():
+@pytest.mark.parametrize("leaf, pivots", [(16, 8), (3, 2), (2, 1)])
+def test_exact_components_on_random_sets(monkeypatch, leaf, pivots):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     rng = random.Random(4)
-    for _ in range(100):
+    for _ in range(60):
         sets = []
-        for _ in range(rng.randrange(1, 30)):
-            if sets and rng.random() < 0.7:
+        for _ in range(rng.randrange(1, 60)):
+            if sets and rng.random() < 0.8:
                 own = set(rng.choice(sets).tolist())
-                for _ in range(rng.randrange(0, 4)):
-                    own ^= {rng.randrange(40)}
+                for _ in range(rng.randrange(0, 5)):
+                    own ^= {rng.randrange(60)}
             else:
-                own = {rng.randrange(40) for _ in range(rng.randrange(1, 25))}
+                own = {rng.randrange(60) for _ in range(rng.randrange(1, 30))}
             sets.append(np.array(sorted(own or {1}), np.uint64))
         parent = list(range(len(sets)))
         for i in range(len(sets)):
@@ -116,11 +153,12 @@ def test_exact_components_on_random_sets():
                     a, b = parent[i], parent[j]
                     parent = [min(a, b) if p in (a, b) else p for p in parent]
         assert jaccard_join.exact_components(sets).tolist() == parent
+        assert jaccard_join.searched_components(sets).tolist() == parent
 
 
 def test_spans_on_random_texts():
     rng = random.Random(7)
-    for _ in range(60):
+    for _ in range(100):
         vocabulary = [f"v{i}" for i in range(rng.choice([2, 4, 30]))]
         make = lambda n: [rng.choice(vocabulary).encode() for _ in range(n)]  # noqa: E731, B023
         items = [(str(i), b" ".join(make(rng.randrange(0, 25)))) for i in range(rng.randrange(0, 6))]
@@ -128,9 +166,9 @@ def test_spans_on_random_texts():
         for _, t in items:
             if rng.random() < 0.6:
                 docs[rng.randrange(5)] += t.split()
-        found = decontaminate.Items(items).matches(docs)
-        for words, spans in zip(docs, found, strict=True):
-            hit, named = set(), set()
+        block = decontaminate.Items(items)
+        for words, spans, windows in zip(docs, *block.matches(docs), strict=True):
+            hit, named, longest = set(), set(), collections.Counter()
             for name, t in items:
                 w = t.split()
                 size = min(10, len(w))
@@ -139,30 +177,92 @@ def test_spans_on_random_texts():
                         if words[p : p + size] == w[j : j + size]:
                             hit |= set(range(p, p + size))
                             named.add(name)
+                            n = size
+                            while j + n < len(w) and p + n < len(words) and w[j + n] == words[p + n]:
+                                n += 1
+                            longest[p] = max(longest[p], n)
             assert {p for s in spans for p in range(s["doc_start"], s["doc_start"] + s["n_words"])} == hit
-            assert {s["item"] for s in spans} == named
+            assert block.items_of(windows) == sorted(named)
+            want, end = [], -1
+            for p in sorted(longest):
+                if p + longest[p] > end:
+                    want.append((p, longest[p]))
+                    end = p + longest[p]
+            assert [(s["doc_start"], s["n_words"]) for s in spans] == want
             for s in spans:
                 item = dict(items)[s["item"]].split()
                 assert item[s["item_start"] : s["item_start"] + s["n_words"]] == words[s["doc_start"] : s["doc_start"] + s["n_words"]]
 
 
-def test_phrases_are_the_longest_matches():
+def test_a_passage_of_many_items_in_many_texts():
+    """Results come in bounded batches, and the work is not items times documents."""
+    prompt = " ".join(f"p{i}" for i in range(12))
+    block = decontaminate.Items([(str(i), f"{prompt} q{i}".encode()) for i in range(2000)])
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([f"{prompt} d{i}" for i in range(2000)])], ["id", "text"])
+    rows, everything = 0, sorted(map(str, range(2000)))
+    for out in block.reports(iter([batch])):
+        assert out.num_rows <= decontaminate.ROWS_OUT // 2000 + 1
+        assert out["items"][0].as_py() == everything
+        assert [len(x) for x in out["spans"].to_pylist()] == [1] * out.num_rows
+        rows += out.num_rows
+    assert rows == 2000
+
+
+def greedy_phrases(text: bytes, known: bytes) -> int:
+    count, at = 0, 0
+    while at < len(text):
+        size = 0
+        while at + size < len(text) and text[at : at + size + 1] in known:
+            size += 1
+        count += 1
+        at += max(size, 1)
+    return count
+
+
+@pytest.mark.parametrize("lane", [1, 3, 64, 1024])
+def test_phrases_are_the_longest_matches(monkeypatch, lane):
+    """Also where a phrase spans many lanes, and with letters that no sample has."""
+    monkeypatch.setattr(language_id, "LANE", lane)
     rng = random.Random(8)
-    sample = np.array([rng.randrange(4) for _ in range(300)], np.uint8)
-    table, starts = language_id.transition_table([language_id.suffix_automaton(sample)], 6)
-    known = bytes(sample)
-    for _ in range(50):
-        text = bytes(rng.choice([rng.randrange(4), rng.randrange(6)]) for _ in range(rng.randrange(1, 200)))
-        count, at = 1, 0
-        while at < len(text):
-            size = 1
-            while at + size <= len(text) and text[at : at + size] in known:
-                size += 1
-            size -= 1
-            if at + size < len(text) or size == 0:
-                count += 1
-            at += max(size, 1) if size else 1
-        assert language_id.phrase_counts([np.frombuffer(text, np.uint8)], table, starts)[0, 0] == pytest.approx(count, abs=text.count(4) + text.count(5))
+    for _ in range(15):
+        samples = [np.array([rng.randrange(4) for _ in range(rng.randrange(1, 300))], np.uint8) for _ in range(3)]
+        automata = language_id.Automata([language_id.suffix_automaton(x) for x in samples], 6)
+        texts = []
+        for _ in range(12):
+            text = [rng.choice([rng.randrange(4), rng.randrange(6)]) for _ in range(rng.randrange(0, 150))]
+            own = bytes(rng.choice(samples))
+            at = rng.randrange(len(own))
+            text[len(text) // 2 : len(text) // 2] = list(own[at : at + rng.randrange(200)])
+            texts.append(np.array(text, np.uint8))
+        for text, row in zip(texts, language_id.phrase_counts(texts, automata), strict=True):
+            assert row.tolist() == [greedy_phrases(bytes(text), bytes(x)) for x in samples]
+
+
+def test_language_by_brute_force(spark):
+    """The whole operator: sample, parse, normalisation and choice."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    samples = language_id.sample(docs)
+    letters = lambda t: "".join(c.lower()[0] if c.isalpha() else "\0" for c in t)
+    squeeze = lambda t: "".join(c for c, before in zip(t, "x" + t, strict=False) if c != "\0" or before != "\0")
+    known = {k: b"".join(squeeze(letters(t)).encode() + b"\0" for t in v) for k, v in samples.items()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i, t in list(texts.items())[:40]:
+        texts[i] = (t or "")[:3000]
+    texts = dict(list(texts.items())[:40]) | {-1: samples[sorted(samples)[0]][0], -2: None, -3: "12 34"}
+    rows = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), language_id.Model(samples)).collect()}
+    for i, t in texts.items():
+        own = squeeze(letters(t or "")).encode()
+        if not own.strip(b"\0"):
+            assert (rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0)
+            continue
+        phrases = {k: greedy_phrases(own, known[k]) for k in sorted(known)}
+        cost = {k: n * math.log2(max(2, len(known[k]))) / len(own) for k, n in phrases.items()}
+        best = min(cost, key=cost.get)
+        assert rows[i]["lang_pred"] == best
+        assert rows[i]["rate"] == pytest.approx(phrases[best] / len(own))
+        assert rows[i]["score"] == pytest.approx(1 - cost[best] / sorted(cost.values())[1])
 
 
 def test_language_held_out(spark):
@@ -178,7 +278,7 @@ def test_language_stage_rejects_what_was_not_learned(spark):
     rng = random.Random(14)
     italian = "La volpe veloce salta sopra il cane pigro mentre sette maghi mescolano in silenzio barattoli di vernice color giada. Ogni mattina il mercato della piazza si riempie di gente che compra frutta, pane e verdura fresca. Nessuno sapeva dove fosse finito il vecchio orologio della stazione."
     strange = [(-1, None, italian), (-2, None, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=600)))]
-    model = language_id.learn(docs)
+    model = language_id.learn(docs, judged=True)
     assert language_id.kept_documents(spark.createDataFrame(strange, docs.schema), model).count() == 0
     lettered = sum(any(c.isalpha() for c in r["text"] or "") for r in docs.collect())
     assert language_id.kept_documents(docs, model).count() >= 0.999 * lettered
