@@ -22,16 +22,27 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 ALNUM_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+def shared_folder(spark) -> str:
+    """The checkpoint folder: ``spark.checkpoint.dir``, else what the context has.
+
+    A temporary folder is made only where neither is set and the master is local, as in
+    tests. On a cluster each executor would write to a disk of its own, so that is an error.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cadenza-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder.
 
-    The folder is ``spark.checkpoint.dir``; a temporary one is set only where
-    neither that setting nor the context has one, as in tests. Spark removes the
-    files when the result is no longer referenced, if its cleaner is told to.
+    Spark removes the files when the result is no longer referenced, if its cleaner is told to.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cadenza-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -40,7 +51,11 @@ BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark) -> None:
-    """Keeps Arrow batches small: without it long texts make batches that two workers and the JVM hold several times over."""
+    """Keeps Arrow batches small: without it long texts make batches that two workers and the JVM hold several times over.
+
+    This is a setting of the whole session. The contract queries and the pipeline, which
+    are applications, call it; the operators leave the caller's settings alone.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) in (None, "64MB", "67108864b"):
         spark.conf.set(name, str(BATCH_BYTES))
@@ -59,18 +74,29 @@ def few(df: DataFrame, most: int) -> bool:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as a compressed table beside the checkpoints; removed when the driver's JVM ends."""
+    """``df`` written once as a compressed table beside the checkpoints; removed by ``unstored``, or when the driver's JVM ends."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cadenza-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, files = _located(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstored(table: DataFrame) -> None:
+    """Removes the files of a table that ``stored`` has written and nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if path.rsplit("/", 1)[-1].startswith("table-"):
+            where, files = _located(table.sparkSession, path)
+            files.delete(where, True)
+
+
+def _located(spark, path: str):
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
 def shipped(spark, thing):
     """A function that gives ``thing`` in any task; its attributes are broadcast, its class travels with the function."""
     sent, kind = spark.sparkContext.broadcast(vars(thing)), type(thing)

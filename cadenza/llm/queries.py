@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import corpus_pipeline
 from cadenza.llm import chat_format, decontaminate, jaccard_join, language_id, license_scan, lm_score, mixing, quality_classifier, quality_rules, url_filter
 
+from cadenza.llm.common import small_batches
+
+
+def _application(query):
+    """The query in a session that hands rows to Python in small batches."""
+
+    @wraps(query)
+    def asked(spark, sf_dir):
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return asked
+
 
 def queries() -> dict:
-    return {
+    own = {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_url_filter": url_filter.op3_url_filter,
@@ -20,6 +35,7 @@ def queries() -> dict:
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: _application(query) for name, query in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:
