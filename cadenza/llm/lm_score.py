@@ -1,17 +1,19 @@
 """Language-model scores: a unigram base, and prediction by partial matching over bytes.
 
-One pass over the texts counts the tokens of each chunk of documents, with the
-documents that hold them, and the byte sequences of the training documents. Token
-counts of the whole corpus then join the chunks' tokens, and every chunk adds up
-its documents' base scores: no vocabulary is collected or broadcast.
-
-The byte model is a trie of contexts up to three bytes, with every context that the
+One pass over the texts counts the tokens of each chunk of documents and the byte
+sequences of the training documents. What a chunk's documents hold stays together in
+one row; only (token, chunk, number in the chunk) is shuffled, gets the token's count in
+the whole corpus, and goes back to the chunk, which adds up its documents' base scores:
+no vocabulary is collected or broadcast, and a token that all documents have is a row
+a chunk.
+
+The byte model is a trie of contexts up to ORDER bytes, with every context that the
 training documents have. Escapes are estimated by the number of distinct symbols
-(method C), and symbols that a longer context could have coded are excluded from
+(method D: each gives up half a count), and symbols that a longer context could have coded are excluded from
 the shorter ones. The trie is frozen after training, so a text's code length is a
-sum of table entries. Contexts of three bytes are stored sparsely; if they have more
-entries than one part of the model may hold, they are split by a hash of the
-context, the texts are scored part by part and the sums added up.
+sum over its positions, and positions that are alike are looked up once. If there are
+more contexts than one part of the model may hold, they are split by a hash of their
+last bytes, the texts are scored part by part and the sums added up.
 """
 
 from __future__ import annotations
@@ -26,11 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import checkpointed, id_remainder, shipped, slices, small_batches, spaced_words, stored, tidy
+from cadenza.llm.common import checkpointed, id_remainder, shipped, slices, spaced_words, stored, tidy
+
+#: Bytes of the longest context; six at most, as a context and a symbol are one number.
+ORDER = 5
 
-#: Entries (a context of three bytes and a symbol after it) of one part of the model. More parts mean more passes, nothing is left out.
+#: Entries (a longest context and a symbol after it) of one part of the model. More parts mean more passes, nothing is left out.
 PART_ENTRIES = 4_000_000
 
+#: Bytes by which contexts are dealt to parts.
+DEALT = 3
+
 #: Additive smoothing of the base score.
 SMOOTHING = 0.1
 
@@ -42,45 +50,46 @@ _SLICE = 2 << 20
 END_TOKEN, EDGE = b"\n", 256
 _ROWS_OUT = 50_000
 _MIX = 2_654_435_761
-_COLUMNS = "kind tinyint, token binary, chunk bigint, n bigint, docs binary"
+_COLUMNS = "kind tinyint, token binary, chunk bigint, n bigint, place int, held binary"
 
 
-def byte_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Three symbols of context and one symbol, nine bits each, for every byte and end of every text; and how many a text has."""
-    edge = np.full(3, EDGE, np.int64)
+def byte_codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for every byte and end of every text, nine bits a symbol: the byte before it, the one before that and so on, then itself; and how many a text has."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    row = np.full(int(lengths.sum()) + 4 * len(texts), EDGE, np.int64)
+    gap = order + 1
+    row = np.full(int(lengths.sum()) + gap * len(texts) + order, EDGE, np.int64)
     starts = np.cumsum(lengths) - lengths
-    at = np.arange(len(flat)) + np.repeat(4 * np.arange(len(texts)) + 3, lengths)
-    row[at] = flat
-    codes = row.copy()
-    for j in range(1, 4):
-        codes[j:] |= row[:-j] << (9 * j)
-        codes[:j] |= edge[: len(codes[:j])] << (9 * j)
-    keep = np.ones(len(row), bool)
-    first = starts + 4 * np.arange(len(texts))
-    for j in range(3):
-        keep[first + j] = False
+    row[np.arange(lengths.sum()) + np.repeat(gap * np.arange(len(texts)) + order, lengths)] = np.frombuffer(b"".join(texts), np.uint8)
+    n = len(row) - order
+    codes = row[order:].copy()
+    for j in range(1, order + 1):
+        codes |= row[order - j : order - j + n] << (9 * (order + 1 - j))
+    # Behind each text its end is a position, the other marks are not.
+    keep = np.ones(n, bool)
+    ends = np.cumsum(lengths + gap) - order
+    for j in range(order):
+        keep[ends[ends + j < n] + j] = False
     return codes[keep], lengths + 1
 
 
 class Counter:
     """Counts one partition; rows come out at the end of every chunk."""
 
-    def __init__(self, task: int):
-        self.task, self.chunk = task, 0
+    def __init__(self, task: int, order: int):
+        self.task, self.chunk, self.order = task, 0, order
         self.begin()
 
     def begin(self) -> None:
         self.number: dict[bytes, int] = {}
         self.pairs: list[np.ndarray] = []
-        self.ids, self.keys, self.held, self.tokens = [], [], [], []
+        self.keys: list[np.ndarray] = []
+        self.held: list[bool] = []
+        self.tokens: list[int] = []
         self.codes = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.bytes = 0
 
-    def add(self, ids: list, texts: list[bytes], keys: list, held: list[bool]) -> None:
-        base = len(self.ids)
+    def add(self, texts: list[bytes], keys: np.ndarray, held: list[bool]) -> None:
+        base = len(self.held)
         words = [spaced_words(t) for t in texts]
         lengths = np.array([len(w) + 1 for w in words], np.int64)
         number = self.number
@@ -88,11 +97,10 @@ class Counter:
         owner = np.repeat(np.arange(base, base + len(texts)), lengths)
         found, times = np.unique(flat << 32 | owner, return_counts=True)
         self.pairs.append(np.stack([found, times]))
-        self.ids += ids
-        self.keys += keys
+        self.keys.append(keys)
         self.held += held
         self.tokens += lengths.tolist()
-        codes, counts = np.unique(byte_codes([t for t, h in zip(texts, held, strict=True) if not h])[0], return_counts=True)
+        codes, counts = np.unique(byte_codes([t for t, h in zip(texts, held, strict=True) if not h], self.order)[0], return_counts=True)
         codes = np.concatenate([self.codes[0], codes])
         both, inverse = np.unique(codes, return_inverse=True)
         self.codes = both, np.bincount(inverse, np.concatenate([self.codes[1], counts]), len(both)).astype(np.int64)
@@ -102,220 +110,212 @@ class Counter:
         chunk = self.task << 20 | self.chunk
         self.chunk += 1
         held = np.array(self.held, bool)
-        if self.ids:
-            known = np.array([i is not None for i in self.ids])
-            packed = np.stack([np.array([i or 0 for i in self.ids], np.int64), known.astype(np.int64), np.array(self.keys, np.int64), np.array(self.tokens, np.int64)])
-            yield self._batch(2, [None], [chunk], [len(self.ids)], [zlib.compress(packed.tobytes(), 1)])
+        if len(held):
             pairs = np.concatenate(self.pairs, axis=1)
             pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
             token, doc, times = pairs[0] >> 32, pairs[0] & 0xFFFFFFFF, pairs[1]
-            ends = np.searchsorted(token, np.arange(len(self.number)) + 1)
-            starts = np.concatenate([[0], ends[:-1]])
+            starts = np.searchsorted(token, np.arange(len(self.number)))
             train = np.add.reduceat(np.where(held[doc], 0, times), starts)
-            # Postings are the documents' places in the chunk, and behind them their counts where one is above 1.
+            parts = [np.concatenate(self.keys).astype(np.int64), np.array(self.tokens, np.int64), np.diff(starts, append=len(doc)).astype(np.int32), doc.astype(np.uint16), times.astype(np.uint32)]
+            packed = np.array([len(held), len(starts), len(doc)], np.int64).tobytes() + b"".join(x.tobytes() for x in parts)
+            yield self._batch(2, [None], [chunk], [len(held)], [0], [zlib.compress(packed, 1)])
+            del pairs, token, doc, times, parts, packed
             words = list(self.number)
-            places, often = doc.astype(np.uint16).tobytes(), times.astype(np.uint32).tobytes()
-            single = np.maximum.reduceat(times, starts) == 1
-            del pairs, token, doc, times
             for a in range(0, len(words), _ROWS_OUT):
-                b = min(a + _ROWS_OUT, len(words))
-                postings = [places[2 * s : 2 * e] if one else places[2 * s : 2 * e] + often[4 * s : 4 * e] for s, e, one in zip(starts[a:b].tolist(), ends[a:b].tolist(), single[a:b].tolist(), strict=True)]
-                yield self._batch(np.where(single[a:b], 0, 3), words[a:b], [chunk] * (b - a), train[a:b], postings)
+                own = words[a : a + _ROWS_OUT]
+                yield self._batch(0, own, [chunk] * len(own), train[a : a + _ROWS_OUT], np.arange(a, a + len(own)), [None] * len(own))
         codes, counts = self.codes
         for a in range(0, len(codes), _ROWS_OUT):
             part = codes[a : a + _ROWS_OUT]
-            yield self._batch(1, [None] * len(part), part, counts[a : a + _ROWS_OUT], [None] * len(part))
+            yield self._batch(1, [None] * len(part), part, counts[a : a + _ROWS_OUT], [0] * len(part), [None] * len(part))
         self.begin()
 
     @staticmethod
-    def _batch(kind, token, chunk, n, docs) -> pa.RecordBatch:
+    def _batch(kind, token, chunk, n, place, held) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.broadcast_to(kind, len(chunk)).astype(np.int8)), pa.array(token, pa.binary()), pa.array(chunk, pa.int64()), pa.array(n, pa.int64()), pa.array(docs, pa.binary())], ["kind", "token", "chunk", "n", "docs"]
+            [pa.array(np.full(len(chunk), kind, np.int8)), pa.array(token, pa.binary()), pa.array(chunk, pa.int64()), pa.array(n, pa.int64()), pa.array(place, pa.int32()), pa.array(held, pa.binary())], ["kind", "token", "chunk", "n", "place", "held"]
         )
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, text, key, held): token rows, byte-code rows and one row of documents for every chunk."""
-    counter = Counter(TaskContext.get().partitionId())
-    for batch in batches:
-        ids, texts, keys, held = (batch.column(i) for i in range(4))
-        for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), _SLICE):
-            for x in range(a, b, CHUNK_DOCS // 2):
-                n = min(b - x, CHUNK_DOCS // 2)
-                some = [t or b"" for t in texts.slice(x, n).cast(pa.large_binary()).to_pylist()]
-                counter.add(ids.slice(x, n).to_pylist(), some, keys.slice(x, n).to_pylist(), held.slice(x, n).to_pylist())
-                if counter.bytes >= CHUNK_BYTES or len(counter.ids) > CHUNK_DOCS // 2:
-                    yield from counter.rows()
-                    tidy()
-    yield from counter.rows()
-    tidy()
-
-
-_SUMS = "doc_id bigint, key bigint, n_tokens bigint, n_known bigint, logs double, firsts bigint"
-
-
-def _chunk_sums(table: pa.Table) -> pa.Table:
-    """Of one chunk's rows: for every document its tokens, known tokens and summed log counts; ``firsts`` has the distinct training tokens that this chunk answers for."""
-    kinds = table["kind"].to_numpy()
-    at = int(np.flatnonzero(kinds == 2)[0])
-    ids, known, keys, tokens = np.frombuffer(zlib.decompress(table["docs"][at].as_py()), np.int64).reshape(4, -1)
-    logs, seen = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-    counts = table["c"].to_numpy()
-    for kind, size in ((0, 2), (3, 6)):
-        mine = np.flatnonzero(kinds == kind)
-        raw = table["docs"].take(pa.array(mine)).to_pylist()
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // size
-        places = np.frombuffer(b"".join(r[: 2 * n] for r, n in zip(raw, sizes.tolist(), strict=True)), np.uint16)
-        times = np.frombuffer(b"".join(r[2 * n :] for r, n in zip(raw, sizes.tolist(), strict=True)), np.uint32) if kind else np.ones(len(places), np.uint32)
-        own = np.repeat(np.log10(counts[mine] + SMOOTHING), sizes)
-        logs += np.bincount(places, times * own, len(ids))
-        seen += np.bincount(places, times * np.repeat(counts[mine] > 0, sizes), len(ids)).astype(np.int64)
+def _counted(order: int):
+    """From (text, k1, k2, held): token rows, byte-code rows and one row of documents for every chunk; the order goes along with the function."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(TaskContext.get().partitionId(), order)
+        for batch in batches:
+            texts, held = batch.column(0), batch.column(3)
+            keys = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
+            for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), _SLICE):
+                for x in range(a, b, CHUNK_DOCS // 2):
+                    n = min(b - x, CHUNK_DOCS // 2)
+                    some = [t or b"" for t in texts.slice(x, n).cast(pa.large_binary()).to_pylist()]
+                    counter.add(some, keys[x : x + n], held.slice(x, n).to_pylist())
+                    if counter.bytes >= CHUNK_BYTES or len(counter.held) > CHUNK_DOCS // 2:
+                        yield from counter.rows()
+                        tidy()
+        yield from counter.rows()
+        tidy()
+
+    return counted
+
+
+_SUMS = "k1 bigint, k2 bigint, n_tokens bigint, n_known bigint, logs double, firsts bigint"
+
+
+def _chunk_sums(documents: pa.Table, told: pa.Table) -> pa.Table:
+    """Of one chunk: for every document its tokens, known tokens and summed log counts; ``firsts`` has the distinct training tokens that this chunk answers for."""
+    raw = zlib.decompress(documents["held"][0].as_py())
+    docs, words, pairs = np.frombuffer(raw, np.int64, 3).tolist()
+    at, parts = 24, []
+    for kind, n in ((np.int64, 2 * docs), (np.int64, docs), (np.int32, words), (np.uint16, pairs), (np.uint32, pairs)):
+        parts.append(np.frombuffer(raw, kind, n, at))
+        at += parts[-1].nbytes
+    keys, tokens, sizes, doc, times = parts
+    counts = np.zeros(words, np.int64)
+    counts[told["place"].to_numpy()] = told["c"].to_numpy()
+    logs = np.bincount(doc, times * np.repeat(np.log10(counts + SMOOTHING), sizes), docs)
+    seen = np.bincount(doc, times * np.repeat(counts > 0, sizes), docs).astype(np.int64)
+    firsts = np.zeros(docs, np.int64)
+    firsts[0] = int(pc.sum(told["first"]).as_py() or 0)
+    keys = keys.reshape(-1, 2)
+    out = pa.table({"k1": pa.array(keys[:, 0], pa.int64()), "k2": pa.array(keys[:, 1], pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(seen, pa.int64()), "logs": pa.array(logs, pa.float64()), "firsts": pa.array(firsts, pa.int64())})
     tidy()
-    firsts = np.zeros(len(ids), np.int64)
-    firsts[0] = int(pc.sum(table["first"]).as_py() or 0)
-    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=known == 0), "key": pa.array(keys, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(seen, pa.int64()), "logs": pa.array(logs, pa.float64()), "firsts": pa.array(firsts, pa.int64())})
+    return out
 
 
 def base_scores(seen: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, key, n_tokens, n_known, base_score), and the number of training tokens."""
-    tokens = seen.filter("kind IN (0, 3)")
+    """(k1, k2, n_tokens, n_known, base_score), and the number of training tokens."""
+    tokens = seen.filter("kind = 0").select("token", "chunk", "n", "place")
     counts = tokens.groupBy("token").agg(F.sum("n").alias("c"), F.min("chunk").alias("home"))
-    told = tokens.select("kind", "token", "chunk", "docs").join(counts, "token").select("kind", "chunk", "docs", "c", ((F.col("c") > 0) & (F.col("chunk") == F.col("home"))).alias("first"))
-    documents = seen.filter("kind = 2").select("kind", "chunk", "docs", F.lit(0).cast("bigint").alias("c"), F.lit(False).alias("first"))
-    sums = checkpointed(told.unionByName(documents).groupBy("chunk").applyInArrow(_chunk_sums, _SUMS))
+    told = tokens.join(counts, "token").select("chunk", "place", "c", ((F.col("c") > 0) & (F.col("chunk") == F.col("home"))).alias("first"))
+    documents = seen.filter("kind = 2").select(F.col("chunk").alias("whole"), "held")
+    sums = checkpointed(documents.groupBy("whole").cogroup(told.groupBy("chunk")).applyInArrow(_chunk_sums, _SUMS))
     total = tokens.agg(F.sum("n").alias("n")).first()["n"] or 0
     distinct = sums.agg(F.sum("firsts").alias("v")).first()["v"] or 0
     rest = F.log10(F.lit(total + SMOOTHING * (distinct + 1)))
-    return sums.select("doc_id", "key", "n_tokens", "n_known", (F.col("logs") - F.col("n_tokens") * rest).alias("base_score")), total
+    return sums.select("k1", "k2", "n_tokens", "n_known", (F.col("logs") - F.col("n_tokens") * rest).alias("base_score")), total
+
+
+def part_of(dealt: np.ndarray, parts: int) -> np.ndarray:
+    """Which part of the model has contexts with these last bytes; ``learned`` says the same to Spark."""
+    return ((dealt * _MIX & 0xFFFFFFFF) >> 16) % parts
 
 
-def part_of(contexts: np.ndarray, parts: int) -> np.ndarray:
-    """Which part of the model has a context; ``learned`` says the same to Spark."""
-    return ((contexts * _MIX & 0xFFFFFFFF) >> 16) % parts
+def escapes(total: np.ndarray, kinds: np.ndarray, left) -> np.ndarray:
+    """Method D: the probability that a context's own symbols don't code the next one, half a count for each of them."""
+    return np.where(kinds == 0, 1.0, np.where(kinds >= left, 0.0, kinds / np.maximum(2 * total, 1)))
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(x, 1e-300))
 
 
 class Trie:
     """The frozen byte model, or one of its parts.
 
-    Contexts of two symbols have a dense row of log10 probabilities. A context of three
-    has a bitmap of the symbols it has seen and their log10 probabilities in order; what
-    it has not seen is the row of two symbols shifted by a constant: one for symbols that
-    the two have seen, as the exclusion rescales them alike, and one for all others.
+    Of every length there are the contexts, sorted, and the entries (a context and a
+    symbol after it), sorted, with the log10 of their counts less a half. A context has four numbers,
+    log10 as well: its escape, what a count is worth in it, and the same two of the
+    context one shorter when what this one has seen is excluded there. Exclusion needs
+    no more, as a shorter context has seen all that a longer one has.
     """
 
-    def __init__(self, low: tuple[np.ndarray, np.ndarray], high: tuple[np.ndarray, np.ndarray], part: int = 0, parts: int = 1):
-        """Counts by code: of two symbols of context and one, and of three and one for the contexts that this part has."""
-        self.part, self.parts = part, parts
-        symbols = np.unique(low[0] & 511)
-        self.symbol = np.full(257, len(symbols), np.int64)
-        self.symbol[symbols] = np.arange(len(symbols))
-        # The edge may stand in contexts even if no text was seen.
-        self.n = n = len(symbols) + 1
-        three = np.zeros((n, n, n))
-        at = tuple(self.symbol[(low[0] >> s) & 511] for s in (18, 9, 0))
-        np.add.at(three, at, low[1])
-        two, one = three.sum(axis=0), three.sum(axis=(0, 1))
-        self.table = np.empty((n * n, n), np.float32)
-        for k in range(n):
-            self.table[k * n : (k + 1) * n] = coded([three[k], two, np.broadcast_to(one, (n, n))])
-        three = three.reshape(n * n, n)
-        self.seen = three > 0
-        order = np.argsort(high[0] >> 9 << 9 | self.symbol[high[0] & 511])
-        codes, counts = high[0][order], high[1][order]
-        contexts, row = np.unique(codes >> 9, return_inverse=True)
-        a, b, c = (self.symbol[(contexts >> s) & 511] for s in (18, 9, 0))
-        short, last = b * n + c, self.symbol[codes & 511]
-        self.row = np.full(n * n * n, -1, np.int32)
-        self.row[(a * n + b) * n + c] = np.arange(len(contexts))
-        # Sums and kinds of a context, of its shorter one, and of that without what the longer one has seen.
-        total, kinds = np.bincount(row, counts, len(contexts)), np.bincount(row, minlength=len(contexts))
-        total2, kinds2 = three.sum(axis=1)[short], self.seen.sum(axis=1)[short]
-        total1, kinds1 = total2 - np.bincount(row, three[short[row], last], len(contexts)), kinds2 - kinds
-        escape, escape2, escape1 = escapes(total, kinds, 257), escapes(total2, kinds2, 257), escapes(total1, kinds1, 257 - kinds)
-        self.value = np.log10((1 - escape[row]) * counts / total[row]).astype(np.float32)
-        log = lambda x: np.log10(np.maximum(x, 1e-300))
-        known = log((1 - escape1) / np.maximum(total1, 1)) - log((1 - escape2) / np.maximum(total2, 1))
-        self.shift = (log(escape)[:, None] + np.stack([log(escape1) - log(escape2), known], axis=1)).astype(np.float32)
-        self.width = -(-n // 64)
-        word = row * self.width + (last >> 6)
-        self.bits = np.zeros(len(contexts) * self.width, np.uint64)
-        np.bitwise_or.at(self.bits, word, np.uint64(1) << (last & 63).astype(np.uint64))
-        self.first = np.searchsorted(word, np.arange(len(self.bits))).astype(np.int32)
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, low: tuple[np.ndarray, np.ndarray] | None = None, part: int = 0, parts: int = 1):
+        """From the counts by code; ``low`` has those of all parts for contexts shorter than DEALT, by codes of that order."""
+        self.order, self.part, self.parts = order, part, parts
+        self.contexts, self.told, self.entries, self.logs = [], [], [], []
+        above = None
+        for k in range(order + 1):
+            own, n, depth = (codes, counts, order) if low is None or k >= DEALT else (*low, DEALT - 1)
+            entries, inverse = np.unique((own >> 9 * (depth - k + 1) << 9) | (own & 511), return_inverse=True)
+            times = np.bincount(inverse, n, len(entries))
+            contexts, row = np.unique(entries >> 9, return_inverse=True)
+            total, kinds = np.bincount(row, times, len(contexts)), np.bincount(row, minlength=len(contexts))
+            escape = escapes(total, kinds, 257)
+            told = np.zeros((len(contexts), 4))
+            told[:, 0], told[:, 1] = _log(escape), _log((1 - escape) / np.maximum(total - kinds / 2, 0.5))
+            if k:
+                # The context one shorter without the symbols of this one.
+                parents, their_total, their_kinds, their_entries, their_times = above
+                parent = np.searchsorted(parents, contexts >> 9)
+                at = np.searchsorted(their_entries, (entries >> 18 << 9) | (entries & 511))
+                left = their_total[parent] - np.bincount(row, their_times[at], len(contexts))
+                others = their_kinds[parent] - kinds
+                escape = escapes(left, others, 257 - kinds)
+                told[:, 2], told[:, 3] = _log(escape), _log((1 - escape) / np.maximum(left - others / 2, 0.5))
+            above = contexts, total, kinds, entries, times
+            self.contexts.append(contexts)
+            self.told.append(told.astype(np.float32))
+            self.entries.append(entries)
+            self.logs.append(_log(times - 0.5).astype(np.float32))
+        # A symbol that training has not seen is as likely as all others of that sort.
+        self.unseen = float(-np.log10(max(1, 257 - len(self.entries[0]))))
+
+    def coded(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probabilities of positions by their sorted distinct codes."""
+        out = np.full(len(codes), -np.log10(257.0))
+        # What a symbol costs in contexts shorter than the one in hand, without what that has seen.
+        below, open_ = np.full(len(codes), self.unseen), np.arange(len(codes))
+        before = np.full(len(codes), np.nan)
+        for k, (contexts, told, entries, logs) in enumerate(zip(self.contexts, self.told, self.entries, self.logs, strict=True)):
+            if not len(contexts):
+                break
+            short = codes[open_] >> 9 * (self.order - k + 1)
+            at = np.minimum(np.searchsorted(contexts, short), len(contexts) - 1)
+            seen = contexts[at] == short
+            open_, short, own = open_[seen], short[seen], told[at[seen]]
+            if k:
+                found = before[open_]
+                below[open_] = np.where(np.isnan(found), own[:, 2] + below[open_], own[:, 3] + found)
+            whole = short << 9 | (codes[open_] & 511)
+            at = np.minimum(np.searchsorted(entries, whole), len(entries) - 1)
+            hit = entries[at] == whole
+            before[open_] = np.where(hit, logs[at], np.nan)
+            out[open_] = np.where(hit, own[:, 1] + logs[at], own[:, 0] + below[open_])
+        return out
 
     def scores(self, texts: pa.Array) -> pa.Array:
         """log10 probability of every text and its end, as far as its contexts are this part's; null counts as empty."""
         out = []
         for x, y in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), _SLICE):
-            codes, sizes = byte_codes([t or b"" for t in texts.slice(x, y - x).cast(pa.large_binary()).to_pylist()])
-            n, symbol = self.n, self.symbol
-            last, short = symbol[codes & 511], symbol[(codes >> 18) & 511] * n + symbol[(codes >> 9) & 511]
-            each = self.table.reshape(-1)[short * n + last]
-            row = self.row[symbol[codes >> 27] * (n * n) + short]
-            deep = np.flatnonzero(row >= 0)
-            row, own, short = row[deep].astype(np.int64), last[deep], short[deep]
-            word, bit = row * self.width + (own >> 6), np.uint64(1) << (own & 63).astype(np.uint64)
-            bits = self.bits[word]
-            hit = bits & bit != 0
-            told = each[deep] + self.shift.reshape(-1)[2 * row + self.seen.reshape(-1)[short * n + own]]
-            told[hit] = self.value[self.first[word[hit]] + np.bitwise_count(bits[hit] & (bit[hit] - np.uint64(1)))]
-            each[deep] = told
+            codes, sizes = byte_codes([t or b"" for t in texts.slice(x, y - x).cast(pa.large_binary()).to_pylist()], self.order)
+            distinct, inverse = np.unique(codes, return_inverse=True)
+            each = self.coded(distinct)
             if self.parts > 1:
-                each[part_of(codes >> 9, self.parts) != self.part] = 0
-            out.append(np.add.reduceat(each.astype(np.float64), np.cumsum(sizes) - sizes))
+                each[part_of(distinct >> 9 * (self.order - DEALT + 1), self.parts) != self.part] = 0
+            out.append(np.add.reduceat(each[inverse], np.cumsum(sizes) - sizes))
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
 
-def escapes(total: np.ndarray, kinds: np.ndarray, left) -> np.ndarray:
-    """Method C: the probability that a context's own symbols don't code the next one."""
-    return np.where(kinds == 0, 1.0, np.where(kinds >= left, 0.0, kinds / np.maximum(total + kinds, 1)))
-
-
-def coded(orders: list[np.ndarray]) -> np.ndarray:
-    """log10 probabilities of all symbols from the counts in contexts from the longest to the empty one.
-
-    The last symbol stands for each byte that training has not seen. What a longer
-    context has seen is excluded from shorter ones; behind the empty context the
-    symbols that are left are equally likely.
-    """
-    rows, n = orders[0].shape
-    out, weight, gone = np.zeros((rows, n)), np.ones((rows, 1)), np.zeros((rows, n), bool)
-    for counts in orders:
-        own = np.where(gone, 0, counts)
-        total, kinds = own.sum(axis=1, keepdims=True), (own > 0).sum(axis=1, keepdims=True)
-        left = 257 - gone.sum(axis=1, keepdims=True)
-        escape = escapes(total, kinds, left)
-        out += weight * (1 - escape) * own / np.maximum(total, 1)
-        weight = weight * escape
-        gone |= own > 0
-    left = 257 - gone.sum(axis=1, keepdims=True)
-    out += np.where(gone, 0, weight / np.maximum(left, 1))
-    return np.log10(np.maximum(out, 1e-300))
-
-
-def learned(seen: DataFrame) -> Iterator[Trie]:
+def learned(seen: DataFrame, order: int = ORDER) -> Iterator[Trie]:
     """The parts of the trie of all byte counts; the driver holds one at a time."""
     codes = checkpointed(seen.filter("kind = 1").groupBy(F.col("chunk").alias("code")).agg(F.sum("n").alias("n")))
-    low = codes.groupBy(F.col("code").bitwiseAND((1 << 27) - 1).alias("code")).agg(F.sum("n").alias("n")).toPandas()
     parts = max(1, -(-codes.count() // PART_ENTRIES))
     pair = lambda p: (p["code"].to_numpy(np.int64), p["n"].to_numpy(np.float64))
-    mixed = F.shiftright((F.shiftright("code", 9) * F.lit(_MIX)).bitwiseAND(F.lit(0xFFFFFFFF)), 16) % parts
+    if parts == 1:
+        yield Trie(*pair(codes.toPandas()), order)
+        return
+    short = F.shiftright("code", 9 * (order - DEALT + 2)) * F.lit(512) + F.col("code").bitwiseAND(511)
+    low = pair(codes.groupBy(short.alias("code")).agg(F.sum("n").alias("n")).toPandas())
+    dealt = F.shiftright((F.shiftright("code", 9 * (order - DEALT + 1)) * F.lit(_MIX)).bitwiseAND(F.lit(0xFFFFFFFF)), 16) % parts
     for part in range(parts):
-        yield Trie(pair(low), pair(codes.filter(mixed == part).toPandas()), part, parts)
+        yield Trie(*pair(codes.filter(dealt == part).toPandas()), order, low, part, parts)
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 10) -> DataFrame:
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 10, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Documents whose crc32(id) mod ``modulus`` is 0 are held out, the others are what
     both models learn from. Null text is scored as empty: one end token. Without
     training documents every token is unknown and bytes are equally likely. Rows that
-    are the same in id and text score alike; an empty table gives no rows.
+    are the same in id and text score alike; ids may be of any type, null or repeated;
+    an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-    inner = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    inner = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     held = id_remainder(F.col("id"), modulus) == 0
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    seen = stored(inner.select("id", "text", key.alias("key"), held.alias("held")).mapInArrow(counted, _COLUMNS))
+    name, whole = F.col("id").cast("string"), F.coalesce("text", F.lit(""))
+    keyed = inner.withColumns({"k1": F.xxhash64(name, whole), "k2": F.xxhash64(F.lit(128), name, whole), "held_out": held})
+    seen = stored(keyed.select("text", "k1", "k2", "held_out").mapInArrow(_counted(order), _COLUMNS))
     base, total = base_scores(seen)
 
     def scored(trie: Trie) -> Column:
@@ -328,21 +328,19 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
 
         return F.arrow_udf(score, "double")("text")
 
-    own = inner.select("id", key.alias("k"), held.alias("held_out"), "text")
-    sums = None
-    for trie in learned(seen):
+    own, sums = keyed, None
+    for trie in learned(seen, order):
         if trie.parts == 1:
             own = own.withColumn("score", scored(trie))
         else:
             # One pass over the texts a part; what it leaves is a number a document.
-            once = stored(own.select("id", "k", scored(trie).alias("s"))).groupBy("id", "k").agg(F.first("s").alias("s"))
-            sums = once if sums is None else checkpointed(sums.unionByName(once).groupBy("id", "k").agg(F.sum("s").alias("s")))
+            once = stored(own.select("k1", "k2", scored(trie).alias("score"))).groupBy("k1", "k2").agg(F.first("score").alias("score"))
+            sums = once if sums is None else checkpointed(sums.unionByName(once).groupBy("k1", "k2").agg(F.sum("score").alias("score")))
     if sums is not None:
-        sums = sums.select(F.col("id").alias("s_id"), F.col("k").alias("s_k"), F.col("s").alias("score"))
-        own = own.join(sums, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("k") == F.col("s_k")), "left")
-    own = own.select("id", "k", "held_out", "score")
-    once = base.groupBy("doc_id", "key").agg(F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.first("base_score").alias("base_score"))
-    return own.join(once, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key")), "left").select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+        own = own.join(sums, ["k1", "k2"], "left")
+    own = own.select("id", "k1", "k2", "held_out", "score")
+    once = base.groupBy("k1", "k2").agg(F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.first("base_score").alias("base_score"))
+    return own.join(once, ["k1", "k2"], "left").select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:
