@@ -6,6 +6,7 @@ must share one of its first words with it (prefix filter), the block must be
 large enough (length filter), and what remains behind the shared word must
 suffice (positional filter). Candidates are verified exactly. Words that no
 template has cannot matter, so blocks keep only the templates' vocabulary.
+A block is a line, a few adjacent lines of a hard-wrapped text, or a paragraph.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ TEMPLATES = (
 #: Share of a template's words that a block must hold.
 CONTAINMENT = 0.8
 
-#: Templates are a parameter that is kept in memory; more words than this are refused.
-MAX_VOCABULARY = 20_000
+#: A notice may be wrapped over so many lines, each of so many words at most. Templates of kind ``line`` are compared with such runs of lines as well.
+WRAPPED_LINES, WRAPPED_WORDS = 3, 30
 
 
 def words_of(text: Column) -> Column:
@@ -57,9 +58,11 @@ def _template_words(text: str) -> list[str]:
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=None, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches), one row per row.
 
-    A block is a line for templates of kind ``line`` and a paragraph (up to a blank
-    line) for those of kind ``block``. ``matches`` lists (label, kind, block number,
-    containment) of every block that meets the threshold. ``score`` is 1 with a
+    A block is a line, or two or three adjacent lines of up to 30 words each, for
+    templates of kind ``line``, and a paragraph (up to a blank line) for those of kind
+    ``block``. ``matches`` lists (label, kind, number of the line or paragraph it begins
+    with, containment) of every block that meets the threshold. The templates' words are
+    part of the plan, so a large set of templates makes a large plan. ``score`` is 1 with a
     phrase of the contract, else the largest containment found, else 0. Null or
     empty text has no words, no labels and score 0; rows that are the same in id and
     text get the same result; an empty table gives none.
@@ -67,13 +70,11 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     phrases = PHRASES if phrases is None else phrases
     sets = [(i, label, kind, words, len(words), math.ceil(round(containment * len(words), 9))) for i, (label, kind, wording) in enumerate(templates) if (words := _template_words(wording))]
     vocabulary = sorted({w for x in sets for w in x[3]})
-    if len(vocabulary) > MAX_VOCABULARY:
-        raise ValueError(f"{len(vocabulary)} distinct template words; {MAX_VOCABULARY} at most")
     spark = docs.sparkSession
     least = {kind: min((x[5] for x in sets if x[2] == kind), default=1 << 30) for kind in ("line", "block")}
 
     # One pass over the texts: counts, phrase places, and blocks that are large enough for some template.
-    known = F.array(*map(F.lit, vocabulary))
+    known = lambda words: F.array_distinct(F.filter(words, lambda w: w.isin(vocabulary)))
     lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), words_of)
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", "text", lines.alias("lines"))
     gap = ALNUM_SEPARATOR
@@ -81,15 +82,31 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     said = F.coalesce(F.col("text").rlike("(?i)(?<!" + wordy + ")(?:" + "|".join(gap.join(p.split()) for p in phrases) + ")(?!" + wordy + ")"), F.lit(False))
     said = F.col("text").isNotNull() & said
     placed = F.when(F.col("words").isNotNull(), F.flatten(F.array(*(_places(F.col("words"), p.split(), label) for p, label in phrases.items())))).otherwise(F.array().cast("array<struct<at:bigint,label:string>>"))
-    tokens = F.transform("lines", lambda x: F.array_intersect(x, known))
-    numbered = F.filter(F.transform("tokens", lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("no"), x.alias("tokens"))), lambda b: F.size(b["tokens"]) >= least["line"])
+    tokens = F.transform("lines", lambda x: F.struct(F.size(x).alias("size"), known(x).alias("tokens")))
+
+    def run(i: Column, n: int) -> Column:
+        """The distinct tokens of n lines from the i-th; of several, none if one of them is no wrapped line."""
+        parts = [F.get("tokens", i + k) for k in range(n)]
+        if n == 1:
+            return parts[0]["tokens"]
+        short = F.lit(True)
+        for x in parts:
+            short = short & (x["size"] <= WRAPPED_WORDS)
+        return F.when(short, F.array_distinct(F.concat(*(x["tokens"] for x in parts)))).otherwise(F.array().cast("array<string>"))
+
+    block_of = lambda kind, i, words: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("no"), words.alias("tokens"))
+    large = lambda blocks, kind: F.filter(blocks, lambda b: F.size(b["tokens"]) >= least[kind])
+    none = F.array().cast("array<struct<kind:string,no:int,tokens:array<string>>>")
+
+    def runs_of(n: int) -> Column:
+        return large(F.transform(F.slice("tokens", 1, F.greatest(F.size("tokens") - n + 1, F.lit(0))), lambda _, i: block_of("line", i, run(i, n))), "line")
+
+    held = F.aggregate("tokens", F.lit(0), lambda a, x: a + F.size(x["tokens"]))
+    numbered = F.when(held >= least["line"], F.concat(*map(runs_of, range(1, WRAPPED_LINES + 1)))).otherwise(none)
     paragraphs = F.split(F.coalesce(F.col("text"), F.lit("")), r"\n[\x20\t\r]*\n")
     # A paragraph can only match if the whole text holds enough of the vocabulary.
-    enough = F.size(F.array_distinct(F.flatten("tokens"))) >= least["block"]
-    blocks = F.when(
-        enough,
-        F.filter(F.transform(paragraphs, lambda p, i: F.struct(F.lit("block").alias("kind"), i.alias("no"), F.array_intersect(words_of(p), known).alias("tokens"))), lambda b: F.size(b["tokens"]) >= least["block"]),
-    ).otherwise(F.array().cast("array<struct<kind:string,no:int,tokens:array<string>>>"))
+    enough = F.size(F.array_distinct(F.flatten(F.transform("tokens", lambda x: x["tokens"])))) >= least["block"]
+    blocks = F.when(enough, large(F.transform(paragraphs, lambda p, i: block_of("block", i, known(words_of(p)))), "block")).otherwise(none)
     counted = kept.select(
         "doc_id",
         "text",
@@ -170,15 +187,18 @@ def op1_sql() -> str:
     places = " UNION ALL ".join(
         f"SELECT k, i - 1 AS place, '{label}' AS label FROM u WHERE " + " AND ".join(f"words[i + {j}] = '{w}'" for j, w in enumerate(p.split())) for p, label in PHRASES.items()
     )
+    runs = " UNION ALL ".join(
+        f"SELECT k, 'line', {' || chr(10) || '.join(f'lead(text, {j}) OVER o' if j else 'text' for j in range(n))} AS text, {' AND '.join(f'lead(short, {j}) OVER o' if j else 'short' for j in range(n))} AS run FROM n WINDOW o AS (PARTITION BY k ORDER BY i)"
+        for n in range(2, WRAPPED_LINES + 1)
+    )
     return rf"""
 WITH t AS (SELECT * FROM (VALUES {rows}) v(template, label, kind, words)),
 d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array({_LOWER}, '{_SEP}'), lambda w: w <> '') AS words FROM documents),
 u AS (SELECT k, words, unnest(range(1, len(words) + 1)) AS i FROM d WHERE list_has_any(words, ['gnu', 'apache', 'cc', 'mit'])),
 p AS ({places}),
-b AS (SELECT k, 'line' AS kind, unnest(string_split(text, chr(10))) AS text FROM d UNION ALL SELECT k, 'block', unnest(regexp_split_to_array(text, '
-[ 	
-]*
-')) FROM d),
+l AS (SELECT k, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+n AS (SELECT *, len(list_filter(regexp_split_to_array({_LOWER}, '{_SEP}'), lambda w: w <> '')) <= {WRAPPED_WORDS} AS short FROM l),
+b AS (SELECT k, 'line' AS kind, text FROM n UNION ALL SELECT k, 'line', text FROM ({runs}) WHERE run AND text IS NOT NULL UNION ALL SELECT k, 'block', unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM d),
 w AS (SELECT k, kind, regexp_split_to_array({_LOWER}, '{_SEP}') AS words FROM b),
 m AS (SELECT k, label, len(list_intersect(w.words, t.words)) / len(t.words) AS part FROM w JOIN t USING (kind) WHERE len(list_intersect(w.words, t.words)) >= ceil(round({CONTAINMENT} * len(t.words), 9))),
 a AS (SELECT k, label, 1.0 AS part FROM p UNION ALL SELECT k, label, part FROM m),
