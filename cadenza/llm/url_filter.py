@@ -1,8 +1,9 @@
 """URL filters: rules by host and path, and trust that spreads over the link graph of hosts.
 
 Personalised PageRank runs from trusted hosts along the links, and distrust from
-blocked hosts against them. Links are summed to weighted host edges before
-anything is joined; both walks are one set of DataFrame joins.
+blocked hosts against them, until neither changes. A host is as much of a seed as its
+share of pages that rules allow or block. Links are summed to weighted host edges
+before anything is joined; both walks are one set of DataFrame joins.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ from cadenza.llm.common import ascii_lower, checkpointed, few
 # Fixed values of the contract: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Share of a walk that follows links, and steps of both walks.
-DAMPING, STEPS = 0.85, 10
+#: Share of a walk that follows links; both walks go on until what still moves is this share of what the seeds sent out.
+DAMPING, TOLERANCE = 0.85, 1e-8
+
+#: Steps between two looks at what still moves.
+_STEPS = 5
 
 #: Host tables up to this many rows are broadcast to the pages; larger ones are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 200_000
 
-#: A host is a seed if more than this share of its pages has that verdict from rules.
-SEED_SHARE = 0.5
+#: A host is blocked if its distrust exceeds its trust by more than this, in units of what a wholly blocked, or wholly trusted, host has by itself.
+MARGIN = 0.5
 
 _LINK = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -56,31 +60,38 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     )
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, trust, distrust) after so many steps of both walks.
+def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[str, float]]:
+    """(host, trust, distrust): both walks' personalised PageRank, and by walk what a seed of weight 1 has by itself.
 
-    ``seeds`` has (host, trust, distrust) weights, each scaled to sum 1. Trust
-    follows the edges by their share of what leaves a host, distrust goes back by
-    their share of what enters one. Mass at a host without edges is not passed on.
+    ``seeds`` has (host, trust, distrust) weights, and each walk's scores sum to those of
+    its seeds, so that many seeds weigh more than one. Trust follows the edges by their
+    share of what leaves a host, distrust goes back by their share of what enters one.
+    Where a walk cannot go on it returns to the seeds: that is the walk without returns,
+    scaled up, so every step only moves what has not come to rest.
     """
     edges = checkpointed(edges)
-    totals = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
-    start = seeds.select(F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("host"), (F.col("trust") / F.lit(totals["t"] or 1.0)).alias("score")), F.struct(F.lit("d").alias("kind"), F.col("host"), (F.col("distrust") / F.lit(totals["d"] or 1.0)).alias("score")))).alias("s")).select("s.*").filter("score > 0")
-    scores = start = checkpointed(start)
-    if not edges.isEmpty() and not start.isEmpty():
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col("host"), F.col(c).cast("double").alias("score")) for k, c in (("t", "trust"), ("d", "distrust")))))
+    start = checkpointed(seeds.select(kinds.alias("s")).select("s.*").filter("score > 0"))
+    sent = {r["kind"]: r["s"] for r in start.groupBy("kind").agg(F.sum("score").alias("s")).collect()}
+    scores = start.withColumn("score", F.col("score") * (1 - damping)).withColumn("moving", F.col("score"))
+    if not edges.isEmpty() and sent:
         out_n = edges.groupBy("src").agg(F.sum("n").alias("total"))
         in_n = edges.groupBy("dst").agg(F.sum("n").alias("total"))
         along = edges.join(out_n, "src").select(F.lit("t").alias("kind"), F.col("src").alias("at"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("w"))
         back = edges.join(in_n, "dst").select(F.lit("d").alias("kind"), F.col("dst").alias("at"), F.col("src").alias("to"), (F.col("n") / F.col("total")).alias("w"))
         moves = checkpointed(along.unionByName(back))
-        base = start.withColumn("score", F.col("score") * (1 - damping))
-        for step in range(steps):
-            moved = scores.withColumnRenamed("host", "at").join(moves, ["kind", "at"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
-            scores = base.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            if step % 3 == 2 or step == steps - 1:
-                scores = checkpointed(scores)
-    one = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
-    return scores.groupBy("host").agg(one("t").alias("trust"), one("d").alias("distrust"))
+        while True:
+            for _ in range(_STEPS):
+                moved = scores.filter("moving > 0").withColumnRenamed("host", "at").join(moves, ["kind", "at"]).select("kind", F.col("to").alias("host"), (F.col("moving") * F.col("w") * damping).alias("score"))
+                scores = scores.select("kind", "host", "score", F.lit(0.0).alias("moving")).unionByName(moved.withColumn("moving", F.col("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("moving").alias("moving"))
+            scores = checkpointed(scores)
+            left = {r["kind"]: r["s"] for r in scores.groupBy("kind").agg(F.sum("moving").alias("s")).collect()}
+            if all(left[k] <= tolerance * (1 - damping) * sent[k] for k in left):
+                break
+    rest = {r["kind"]: r["s"] for r in scores.groupBy("kind").agg(F.sum("score").alias("s")).collect()}
+    scale = {k: sent[k] / rest[k] for k in sent}
+    one = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score") * scale.get(kind, 1.0)).otherwise(0.0))
+    return scores.groupBy("host").agg(one("t").alias("trust"), one("d").alias("distrust")), {k: (1 - damping) * scale.get(k, 1.0) for k in "td"}
 
 
 def _small(hosts: DataFrame) -> DataFrame:
@@ -90,11 +101,12 @@ def _small(hosts: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row.
 
-    The longest rule that fits decides. Without one, a host whose distrust is above
-    its trust is blocked, any other allowed. A null url, or one without ``://``, has
-    empty host and path, fits no rule and is allowed; null html has no links; the
-    path of a rule has to be literally at the start of the url's; repeated rows get
-    the same verdict; an empty table gives no rows.
+    The longest rule that fits decides. Without one, a host whose distrust exceeds its
+    trust by more than MARGIN, in units of a seed's own, is blocked, any other allowed.
+    A null url, or one without ``://``, has empty host and path, fits no rule and is
+    allowed; null html has no links; the path of a rule has to be literally at the start
+    of the url's; very long urls and pages are read whole; repeated rows get the same
+    verdict; an empty table gives no rows.
     """
     spark = pages.sparkSession
     told = spark.createDataFrame([(v, h, p) for v, h, p in rules], "verdict string, r_host string, r_path string") if not isinstance(rules, DataFrame) else rules
@@ -103,11 +115,12 @@ def judge_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str
     ruled = at.join(_small(by_host), "host", "left").withColumn("fit", F.get(F.filter("rules", lambda r: F.col("path").startswith(r["path"])), F.lit(0))).drop("rules")
     ruled = checkpointed(ruled.select("page_id", "host", "path", "fit.rule", "fit.verdict"))
     share = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)) / F.count("*")
-    seeds = ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("a"), share("block").alias("b")).select("host", F.when(F.col("a") > SEED_SHARE, 1.0).otherwise(0.0).alias("trust"), F.when(F.col("b") > SEED_SHARE, 1.0).otherwise(0.0).alias("distrust"))
+    seeds = ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     links = host_edges(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")), "host", "html")
-    scores = propagated(seeds, links)
-    verdict = F.coalesce(F.col("verdict"), F.when(F.coalesce(F.col("distrust"), F.lit(0.0)) > F.coalesce(F.col("trust"), F.lit(0.0)), "block").otherwise("allow"))
-    return ruled.join(_small(checkpointed(scores)), "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    scores, own = propagated(seeds, links)
+    trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
+    verdict = F.coalesce(F.col("verdict"), F.when(distrust / own["d"] - trust / own["t"] > MARGIN, "block").otherwise("allow"))
+    return ruled.join(_small(checkpointed(scores)), "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -116,18 +129,13 @@ def op3_url_filter(spark, sf_dir: str) -> DataFrame:
 
 
 def op3_sql() -> str:
-    """DuckDB's form, the steps of both walks written out."""
+    """DuckDB's form: both walks as one recursion over what still moves."""
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-    steps = "".join(
-        f", s{k + 1} AS (SELECT kind, host, sum(score) AS score FROM (SELECT kind, host, score * {1 - DAMPING} AS score FROM s0 UNION ALL "
-        f"SELECT s.kind, m.dest, s.score * m.w * {DAMPING} FROM s{k} s JOIN m ON s.kind = m.kind AND s.host = m.origin) GROUP BY kind, host)"
-        for k in range(STEPS)
-    )
     url = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     link = r"""(?is)<a\s[^>]*?href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)"""
     return rf"""
-WITH r(verdict, r_host, r_path) AS (VALUES {rules}),
+WITH RECURSIVE r(verdict, r_host, r_path) AS (VALUES {rules}),
 p AS (SELECT row_number() OVER () AS k, page_id, {lower(f"regexp_extract(coalesce(url, ''), '{url}', 1)")} AS host, regexp_extract(coalesce(url, ''), '{url}', 2) AS path, coalesce(html, '') AS html FROM pages),
 f AS (SELECT k, max_by(r_host || r_path, (length(r_host || r_path), r_host || r_path)) AS rule, max_by(verdict, (length(r_host || r_path), r_host || r_path)) AS verdict
   FROM p JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY k),
@@ -135,8 +143,10 @@ q AS (SELECT p.k, page_id, host, path, html, rule, verdict FROM p LEFT JOIN f ON
 g AS (SELECT host, avg((verdict IS NOT DISTINCT FROM 'allow')::INT) AS a, avg((verdict IS NOT DISTINCT FROM 'block')::INT) AS b FROM q WHERE host <> '' GROUP BY host),
 e AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {lower("unnest(regexp_extract_all(html, '" + link + "', 1))")} AS dst FROM q) WHERE src <> '' AND src <> dst GROUP BY src, dst),
 m AS (SELECT 't' AS kind, src AS origin, dst AS dest, n / sum(n) OVER (PARTITION BY src) AS w FROM e UNION ALL SELECT 'd', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM e),
-s0 AS (SELECT 't' AS kind, host, 1.0::DOUBLE / count(*) OVER () AS score FROM g WHERE a > {SEED_SHARE} UNION ALL SELECT 'd', host, 1.0::DOUBLE / count(*) OVER () FROM g WHERE b > {SEED_SHARE}){steps},
-z AS (SELECT host, sum(CASE kind WHEN 't' THEN score ELSE 0 END) AS trust, sum(CASE kind WHEN 'd' THEN score ELSE 0 END) AS distrust FROM {"s" + str(STEPS)} GROUP BY host)
-SELECT page_id, q.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+s0 AS (SELECT 't' AS kind, host, a::DOUBLE AS score FROM g WHERE a > 0 UNION ALL SELECT 'd', host, b::DOUBLE FROM g WHERE b > 0),
+s AS (SELECT kind, host, score, 0 AS step FROM s0 UNION ALL
+  SELECT s.kind, m.dest, sum(s.score * m.w * {DAMPING}), any_value(s.step) + 1 FROM s JOIN m ON s.kind = m.kind AND s.host = m.origin WHERE s.step < 150 GROUP BY s.kind, m.dest),
+z AS (SELECT host, sum(CASE kind WHEN 't' THEN score ELSE 0 END) AS trust, sum(CASE kind WHEN 'd' THEN score ELSE 0 END) AS distrust FROM s GROUP BY host)
+SELECT page_id, q.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
 FROM q LEFT JOIN z ON q.host = z.host
 """
