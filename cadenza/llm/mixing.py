@@ -1,10 +1,11 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every document hashes to a number of 60 bits. A source's budget is met by the
+Every document's id hashes to a number of 60 bits. A source's budget is met by the
 documents under a threshold, which is found from histograms: tokens are summed by
 source and leading hash bits, the bucket in which the budget ends is found, and
-only that bucket is split further. Nothing is sorted, and no rows of a source
-meet in one task.
+only that bucket is split further. Where several rows share the last bucket, as rows
+of one id do, the hash of their texts splits it, and then their numbers. Nothing is
+sorted, and no rows of a source meet in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SPACED_WORD, checkpointed, few
+from cadenza.llm.common import SPACED_WORD, checkpointed, few, stored
 
 # The contract's weights by position, share and ceiling.
 WEIGHTS, SHARE_NUM, SHARE_DEN, CEILING = (3, 1, 2), 3, 2, 2
@@ -20,13 +21,16 @@ WEIGHTS, SHARE_NUM, SHARE_DEN, CEILING = (3, 1, 2), 3, 2, 2
 #: Hash bits, and bits by which each pass splits the boundary bucket.
 HASH_BITS, PASS_BITS = 60, 12
 
+#: What tells documents apart, each where all before it are alike: hash of the id, hash of the text, number of the row.
+KEYS = ("h", "t", "u")
+
 #: Sources up to this number are broadcast to the documents; more are joined by a shuffle.
 MAX_BROADCAST_SOURCES = 100_000
 
 
-def hash60(doc_id: Column) -> Column:
-    """60 bits of the id's md5; a null id counts as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+def hash60(value: Column) -> Column:
+    """60 bits of the md5 of a value as text; null counts as the empty text."""
+    return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -60,53 +64,62 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return opened.select("source", "source_size", target.alias("target"))
 
 
-def _sizes(docs: DataFrame, doc_id: str, source: str, text: str) -> list[Column]:
-    return [
+def _sizes(docs: DataFrame, doc_id: str, source: str, text: str, number: Column) -> DataFrame:
+    return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(SPACED_WORD)), F.lit(0)).cast("bigint").alias("size"),
         hash60(F.col(doc_id)).alias("h"),
-    ]
+        hash60(F.col(text)).alias("t"),
+        number.alias("u"),
+    )
 
 
-def source_bounds(sized: DataFrame) -> DataFrame:
-    """(source, source_size, target, rounds, bound, fits): what decides on each document of a source.
+def source_bounds(sized: DataFrame) -> tuple[DataFrame, int]:
+    """(source, source_size, target, rounds, bound_h, bound_t, bound_u, fits), what decides on each document of a source, and how many keys that took.
 
-    ``sized`` has (source, size, h). One pass sums sizes by source and leading bits;
-    every other pass reads only the bucket in which a budget ends.
+    ``sized`` has (source, size, h, t, u). One pass sums sizes by source and leading
+    bits; every other pass reads only the bucket in which a budget ends.
     """
     targets = checkpointed(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
     # The budget of the last, partial round; sizes are non-negative and below 2**53.
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     budget = targets.withColumn("rounds", rounds).withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size"))
-    found = budget.select("source", F.lit(0).cast("bigint").alias("bucket"), F.col("budget").alias("left"))
-    inside, shift = sized.select(F.col("source").alias("s"), "size", "h"), HASH_BITS
-    while shift > 0:
-        shift -= PASS_BITS
-        bucket = F.shiftright("h", shift)
-        histogram = inside.groupBy(F.col("s"), bucket.alias("b")).agg(F.sum("size").alias("n"))
-        running = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        # The budget ends in the last bucket that starts within it.
-        cut = (
-            histogram.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
-            .join(found.select("source", "left"), F.col("s").eqNullSafe(F.col("source")))
-            .filter(F.col("before") <= F.col("left"))
-            .groupBy("source")
-            .agg(F.max_by(F.struct(F.col("b").alias("bucket"), (F.col("left") - F.col("before")).alias("left"), "n"), "b").alias("c"))
-            .select("source", "c.bucket", "c.left", "c.n")
-        )
-        found = checkpointed(cut)
-        if shift:
-            wanted = found.select("source", "bucket")
-            inside = checkpointed(inside.join(F.broadcast(wanted) if few(wanted, MAX_BROADCAST_SOURCES) else wanted, F.col("s").eqNullSafe(F.col("source")) & (bucket == F.col("bucket"))).select("s", "size", "h"))
-    # Whole hash known: its documents are in if at least half of them fits.
-    last = found.select(F.col("source").alias("s"), F.col("bucket").alias("bound"), (F.col("left") * 2 >= F.col("n")).alias("fits"))
-    return checkpointed(budget.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "budget"))
+    bounds = [f"bound_{k}" for k in KEYS]
+    found = budget.select("source", *(F.lit(None).cast("bigint").alias(b) for b in bounds), F.col("budget").alias("left"))
+    inside, depth = sized.select(F.col("source").alias("s"), "size", *KEYS), 0
+    while True:
+        key, bound = KEYS[depth], bounds[depth]
+        for shift in range(HASH_BITS - PASS_BITS, -1, -PASS_BITS):
+            bucket = F.shiftright(key, shift)
+            histogram = inside.groupBy(F.col("s"), bucket.alias("b")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+            running = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+            # The budget ends in the last bucket that starts within it.
+            cut = (
+                histogram.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+                .join(found.select("source", "left", *bounds), F.col("s").eqNullSafe(F.col("source")))
+                .filter(F.col("before") <= F.col("left"))
+                .groupBy("source")
+                .agg(F.max_by(F.struct(F.col("b").alias(bound), (F.col("left") - F.col("before")).alias("left"), "n", "rows", *(b for b in bounds if b != bound)), "b").alias("c"))
+                .select("source", "c.*")
+            )
+            found = checkpointed(cut)
+            last = shift == 0
+            if last and (depth == len(KEYS) - 1 or found.filter("rows > 1").isEmpty()):
+                # All keys known: the last document is in if at least half of it fits.
+                told = found.select(F.col("source").alias("s"), *bounds, (F.col("left") * 2 >= F.col("n")).alias("fits"))
+                return checkpointed(budget.join(told, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "budget")), depth + 1
+            wanted = found.select("source", F.col(bound).alias("bucket"))
+            inside = checkpointed(inside.join(F.broadcast(wanted) if few(wanted, MAX_BROADCAST_SOURCES) else wanted, F.col("s").eqNullSafe(F.col("source")) & (bucket == F.col("bucket"))).select("s", "size", *KEYS))
+        depth += 1
 
 
 def _copies() -> Column:
-    extra = F.when((F.col("h") < F.col("bound")) | ((F.col("h") == F.col("bound")) & F.col("fits")), 1).otherwise(0)
-    return F.when(F.col("target") >= F.col("source_size") * CEILING, F.lit(CEILING)).otherwise(F.col("rounds") + extra).cast("int")
+    within = F.col("fits")
+    for k in reversed(KEYS):
+        own, bound = F.col(k), F.col(f"bound_{k}")
+        within = (own < bound) | ((own == bound) & within) if k == KEYS[0] else F.when(bound.isNull(), F.col("fits")).otherwise((own < bound) | ((own == bound) & within))
+    return F.when(F.col("target") >= F.col("source_size") * CEILING, F.lit(CEILING)).otherwise(F.col("rounds") + F.when(within, 1).otherwise(0)).cast("int")
 
 
 def _joined(rows: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -120,35 +133,44 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
 
     ``copies`` is how often the mix takes the document: whole rounds of its source,
     and one more if its hash lies under the source's threshold. The last document
-    is taken if the sum then ends nearer to the target. Rows of one source that
-    share an id are taken alike; a null id counts as an empty one, null text has
-    size 0, null is a source of its own, and an empty table gives no rows.
+    is taken if the sum then ends nearer to the target. Rows that share an id, or have
+    none, are told apart by their texts; of rows that are alike in both, as many are
+    taken as fit. Null text has size 0, null is a source of its own, and an empty
+    table gives no rows.
     """
-    sized = checkpointed(docs.select(*_sizes(docs, doc_id, source, text)))
-    return _joined(sized, source_bounds(sized)).select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"))
+    sized = checkpointed(_sizes(docs, doc_id, source, text, F.monotonically_increasing_id()))
+    return _joined(sized, source_bounds(sized)[0]).select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, in their own columns and ``copy``, from 1."""
+    """The rows of ``docs`` as often as ``mixed`` takes them, in their own columns and ``copy``, from 1.
+
+    Awkward rows are treated as there. Only where a budget ends among rows that are alike
+    in id and text is the table written once, with a number for each row.
+    """
     columns = docs.columns
     inner = docs.toDF(*(f"c{i}" for i in range(len(columns))))
     at = {name: f"c{i}" for i, name in enumerate(columns)}
-    sized = checkpointed(inner.select(*_sizes(inner, at[doc_id], at[source], at[text])))
-    rows = inner.withColumn("source", F.col(at[source]).cast("string")).withColumn("h", hash60(F.col(at[doc_id])))
-    taken = _joined(rows, source_bounds(sized)).withColumn("copies", _copies()).filter("copies > 0")
+    own, number = (at[doc_id], at[source], at[text]), F.monotonically_increasing_id()
+    bounds, keys = source_bounds(checkpointed(_sizes(inner, *own, number)))
+    if keys == len(KEYS):
+        inner, number = stored(inner.withColumn("u", number)), F.col("u")
+        bounds, _ = source_bounds(checkpointed(_sizes(inner, *own, number)))
+    rows = inner.withColumns({"source": F.col(at[source]).cast("string"), "h": hash60(F.col(at[doc_id])), "t": hash60(F.col(at[text])), "u": number})
+    taken = _joined(rows, bounds).withColumn("copies", _copies()).filter("copies > 0")
     return taken.select(*(F.col(at[c]).alias(c) for c in columns), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
     """Contract query 5: the words that the mix takes of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mixed(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
+    return mixed(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS t, row_number() OVER () AS u
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w,
@@ -166,13 +188,11 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN k >= k0 THEN (w * rest)::DOUBLE / (2 * w0)::DOUBLE ELSE 2.0 * source_size END::DOUBLE AS target
   FROM o LEFT JOIN first_open ON true
 ), g AS (
-  SELECT d.source, h, sum(size) AS n, coalesce(sum(sum(size)) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d GROUP BY d.source, h
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, t, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d
 )
-SELECT d.doc_id, d.size, t.source_size::BIGINT AS source_size, round(t.target, 6) AS target,
-  (d.size * CASE WHEN t.target >= 2 * t.source_size THEN 2
+SELECT g.doc_id, g.size, t.source_size::BIGINT AS source_size, t.target,
+  (g.size * CASE WHEN t.target >= 2 * t.source_size THEN 2
     ELSE (CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END)
-      + CASE WHEN 2 * g.before + g.n <= 2 * (t.target - (CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END) * t.source_size) THEN 1 ELSE 0 END END)::BIGINT AS taken
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.h = g.h
+      + CASE WHEN 2 * g.before + g.size <= 2 * (t.target - (CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END) * t.source_size) THEN 1 ELSE 0 END END)::BIGINT AS taken
+FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source
 """
