@@ -2,7 +2,8 @@
 
 Texts are measured once, in Arrow batches, row by row in slices of bounded size.
 Failures are summed per host (two numbers each, combined before the shuffle), the
-hosts' rates get an empirical beta prior, and the verdicts join back.
+hosts' rates shrink towards the corpus by an empirical beta prior, whose variance is
+what hosts differ by beyond chance, and the verdicts join back.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import checkpointed, few, slices, small_batches, tidy
+from cadenza.llm.common import checkpointed, few, slices, tidy
 
 # Fixed values of the contract: least words, and the share of repeated words in percent.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -24,9 +25,12 @@ MAX_SYMBOLS_PER_WORD, MAX_UPPER, MAX_DUP_LINES = 0.25, 0.5, 0.5
 #: A host whose shrunk failure rate is above STRICT loses every document with a failure; above BANNED, all of them.
 STRICT, BANNED = 0.1, 0.8
 
-#: Hosts up to this number are broadcast to the documents; more are joined by a shuffle.
+#: Hosts up to this number are broadcast to the documents; more are joined by a shuffle. Texts only meet hosts above STRICT.
 MAX_BROADCAST_HOSTS = 100_000
 
+#: Documents that a prior counts as where hosts do not differ beyond chance: every rate is that of the corpus.
+POOLED = 1e12
+
 _SPACES = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
@@ -121,29 +125,41 @@ def soft_failures(m: Column) -> Column:
 
 
 def host_verdicts(measured: DataFrame, host: str, metrics: str) -> DataFrame:
-    """(host, n_docs, n_failed, rate) with rates shrunk by a beta prior fitted to all hosts by moments.
+    """(host, n_docs, n_failed, rate), rates shrunk by a beta prior fitted to all hosts; one row per host, null is a host of its own.
 
-    Without variation between hosts the prior is the corpus rate at the weight of
-    one document. One row per host; null is a host of its own.
+    Moments of the beta-binomial distribution: with k hosts, N documents and the corpus
+    rate m, the squares n (p - m)^2 sum to m (1 - m) ((k - 1) + r (N - sum n^2 / N - (k - 1))),
+    r being the correlation inside a host, so what hosts of few documents differ by chance
+    is not taken for a difference of hosts. The prior weighs 1 / r - 1 documents.
     """
     m = F.col(metrics)
     hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.when(base_failed(m) | (soft_failures(m) > 0), 1).otherwise(0)).alias("n_failed"))
     hosts = checkpointed(hosts)
-    raw = F.col("n_failed") / F.col("n_docs")
-    seen = hosts.agg(F.avg(raw).alias("mean"), F.var_pop(raw).alias("var")).first()
-    mean, var = (min(max(x or 0.0, 0.0), 1.0) for x in (seen["mean"], seen["var"]))
-    weight = max(1.0, mean * (1 - mean) / var - 1) if 0 < var else 1.0
-    return hosts.withColumn("rate", (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n_docs") + F.lit(weight)))
+    n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    seen = hosts.agg(F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(n * n).alias("n2"), F.sum(f).alias("f"), F.sum(f * f / n).alias("f2")).first()
+    mean, weight = prior(seen["k"], seen["n"] or 0.0, seen["n2"] or 0.0, seen["f"] or 0.0, seen["f2"] or 0.0)
+    return hosts.withColumn("rate", (f + F.lit(mean * weight)) / (n + F.lit(weight)))
+
+
+def prior(k: int, n: float, n2: float, f: float, f2: float) -> tuple[float, float]:
+    """(mean, weight) from the number of hosts and the sums over hosts of n, n^2, failures f and f^2 / n."""
+    mean = f / n if n else 0.0
+    spread, room = mean * (1 - mean), n - (n2 / n if n else 0.0) - (k - 1)
+    if spread <= 0 or room <= 0:
+        return mean, POOLED
+    r = ((f2 - n * mean * mean) / spread - (k - 1)) / room
+    return mean, POOLED if r <= 0 else min(max(1 / r - 1, 0.0), POOLED)
 
 
 def judged(measured: DataFrame, hosts: DataFrame, host: str, metrics: str) -> DataFrame:
-    """``measured`` with ``__base_failed``, ``__host_rate`` and ``__kept``."""
+    """``measured`` with ``__base_failed``, ``__host_rate`` and ``__kept``; a host that is not in ``hosts`` has no rate and passes."""
     verdicts = hosts.select(F.col("host").alias("__host"), F.col("rate").alias("__host_rate"))
     if few(verdicts, MAX_BROADCAST_HOSTS):
         verdicts = F.broadcast(verdicts)
     m, rate = F.col(metrics), F.col("__host_rate")
     soft = soft_failures(m)
-    kept = ~base_failed(m) & (soft < 2) & ~((soft > 0) & (rate > STRICT)) & (rate <= BANNED)
+    above = lambda most: F.coalesce(rate > most, F.lit(False))
+    kept = ~base_failed(m) & (soft < 2) & ~((soft > 0) & above(STRICT)) & ~above(BANNED)
     return measured.join(verdicts, F.col(host).eqNullSafe(F.col("__host")), "left").withColumn("__base_failed", base_failed(m)).withColumn("__kept", kept).drop("__host")
 
 
@@ -155,20 +171,23 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text:
     a host above BANNED. Null or empty text has no words and fails; null is a host
     of its own; repeated rows are judged alike; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     measured = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), metrics_column(F.col(text)).alias("m")))
     rows = judged(measured, host_verdicts(measured, "host", "m"), "host", "m")
     return rows.select("doc_id", "m.*", F.col("__base_failed").alias("base_failed"), F.col("__host_rate").alias("host_rate"), F.col("__kept").alias("kept"))
 
 
 def kept_documents(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, in their own columns. Texts are measured again rather than shuffled."""
-    small_batches(docs.sparkSession)
+    """The rows of ``docs`` that ``assess`` keeps, in their own columns.
+
+    Texts are measured again rather than shuffled, and meet only the hosts above
+    STRICT. Null and empty texts go, null is a host of its own, repeated rows are judged
+    alike, and an empty table gives no rows.
+    """
     columns = docs.columns
     inner = docs.toDF(*(f"c{i}" for i in range(len(columns))))
     at = {name: f"c{i}" for i, name in enumerate(columns)}
     measured = inner.withColumn("m", metrics_column(F.col(at[text])))
-    hosts = host_verdicts(measured.select(at[host], "m"), at[host], "m")
+    hosts = host_verdicts(measured.select(at[host], "m"), at[host], "m").filter(F.col("rate") > STRICT)
     return judged(measured, hosts, at[host], "m").filter("__kept").select(*(F.col(at[c]).alias(c) for c in columns))
 
 
@@ -195,8 +214,10 @@ m AS (SELECT d.k, doc_id, source, coalesce(n_words, 0)::BIGINT AS n_words, lengt
 s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   (n_symbols > {MAX_SYMBOLS_PER_WORD} * n_words)::INT + (n_upper > {MAX_UPPER} * n_letters)::INT + (n_dup_lines > {MAX_DUP_LINES} * n_lines)::INT AS soft FROM m),
 h AS (SELECT source, count(*) AS n, sum((base_failed OR soft > 0)::INT) AS f FROM s GROUP BY source),
-p AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS var FROM h),
-q AS (SELECT source, (f + mean * CASE WHEN var > 0 THEN greatest(1, mean * (1 - mean) / var - 1) ELSE 1 END) / (n + CASE WHEN var > 0 THEN greatest(1, mean * (1 - mean) / var - 1) ELSE 1 END) AS rate FROM h, p)
+v AS (SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(n * n)::DOUBLE AS n2, sum(f)::DOUBLE AS f, sum(f * f / n)::DOUBLE AS f2 FROM h),
+x AS (SELECT f / n AS mean, CASE WHEN f > 0 AND f < n AND n - n2 / n - (k - 1) > 0 THEN ((f2 - f * f / n) / (f / n * (1 - f / n)) - (k - 1)) / (n - n2 / n - (k - 1)) END AS r FROM v),
+p AS (SELECT mean, CASE WHEN r > 0 THEN least(greatest(1 / r - 1, 0), {POOLED}) ELSE {POOLED} END AS weight FROM x),
+q AS (SELECT source, (f + mean * weight) / (n + weight) AS rate FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND soft < 2 AND NOT (soft > 0 AND rate > {STRICT}) AND rate <= {BANNED} AS kept
 FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source
