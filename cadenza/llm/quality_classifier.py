@@ -3,7 +3,9 @@
 The model minimises the non-negative unbiased risk of positive-unlabelled learning
 with the logistic loss: the risk on positives, weighted by the class prior, plus
 what the unlabelled texts would cost as negatives, less the share of that which
-positives explain, kept from falling below zero.
+positives explain, kept from falling below zero. The prior is estimated from positives
+and unlabelled texts alone. Texts are seen as shares of byte classes, of hashed words
+and of hashed byte trigrams, and by how much they repeat.
 """
 
 from __future__ import annotations
@@ -13,17 +15,24 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import id_remainder, slices, small_batches
+from cadenza.llm.common import id_remainder, slices
 
 #: Bounds of the training sample.
 MAX_POSITIVES, MAX_UNLABELLED = 6000, 6000
 
+#: Slots of hashed words and of hashed byte trigrams.
+WORD_SLOTS, GRAM_SLOTS = 256, 256
+
 #: A class prior is assumed where none can be estimated, and kept off 0 and 1.
 DEFAULT_PRIOR, LEAST_PRIOR = 0.5, 0.05
 
+#: Rows of either kind below which the prior's estimate is not trusted.
+LEAST_ROWS = 20
+
 THRESHOLD = 0.3
 _SLICE = 2 << 20
 _PAIRS, _WORDS = 8, 2
@@ -41,16 +50,18 @@ def _byte_kinds() -> tuple[np.ndarray, int]:
 
 
 _KINDS, _N_KINDS = _byte_kinds()
-N_FEATURES = _N_KINDS + _PAIRS + _WORDS
+N_DENSE = _N_KINDS + _PAIRS + _WORDS
+N_FEATURES = N_DENSE + WORD_SLOTS + GRAM_SLOTS
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """One row a text: square roots of the shares of byte classes, of a few neighbourhoods and of repeated words, and sizes. An empty text is all zeros."""
+    """One row a text: square roots of the shares of byte classes, of a few neighbourhoods and of repeated words, sizes, and square roots of the shares of hashed words and byte trigrams. An empty text is all zeros."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    out = np.zeros((len(texts), N_FEATURES), np.float64)
+    out = np.zeros((len(texts), N_FEATURES), np.float32)
     if not lengths.sum():
         return out
-    kinds = _KINDS[np.frombuffer(b"".join(texts), np.uint8)]
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    kinds = _KINDS[flat]
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     counts = np.bincount(owner.astype(np.int64) * _N_KINDS + kinds, minlength=len(texts) * _N_KINDS).reshape(len(texts), _N_KINDS).astype(float)
     n = np.maximum(lengths, 1).astype(float)
@@ -63,42 +74,101 @@ def features(texts: list[bytes]) -> np.ndarray:
     signs = lambda k: k >= 7
     words = near(~((left == 1) | (left == 2)) & gap) * n + 1
     out[:, :_N_KINDS] = np.sqrt(counts / n[:, None])
-    out[:, _N_KINDS : _N_KINDS + _PAIRS] = np.sqrt(
+    out[:, _N_KINDS : N_DENSE - _WORDS] = np.sqrt(
         np.stack([near((left == 4) & (right == 4)), near(signs(left) & (left == right)), near(signs(left) & signs(right)), near(signs(left) & gap), near((left == 5) & (right == 4)), near((left == 2) & (right == 2)), 0.01 * np.log1p(n), 0.01 * n / words], axis=1)
     )
+    slot: dict[bytes, int] = {}
     for i, text in enumerate(texts):
-        if own := text.split():
+        if own := text.lower().split():
             # Words that are their neighbours, and words that came before.
-            out[i, -2] = np.sqrt(sum(map(eq, own[1:], own)) / len(own))
-            out[i, -1] = np.sqrt(1 - len(set(own)) / len(own))
+            out[i, N_DENSE - 2] = np.sqrt(sum(map(eq, own[1:], own)) / len(own))
+            out[i, N_DENSE - 1] = np.sqrt(1 - len(set(own)) / len(own))
+            for w in own:
+                if w not in slot:
+                    slot[w] = xxhash.xxh3_64_intdigest(w) % WORD_SLOTS
+            at = np.fromiter(map(slot.__getitem__, own), np.int64, len(own))
+            out[i, N_DENSE : N_DENSE + WORD_SLOTS] = np.sqrt(np.bincount(at, minlength=WORD_SLOTS) / len(own))
+    low = np.where((flat >= 65) & (flat <= 90), flat + 32, flat).astype(np.uint32)
+    grams = (low[:-2] | low[1:-1] << 8 | low[2:] << 16) * np.uint32(2654435761) >> np.uint32(24)
+    inside = owner[:-2] == owner[2:]
+    counts = np.bincount(owner[:-2][inside].astype(np.int64) * GRAM_SLOTS + grams[inside] % GRAM_SLOTS, minlength=len(texts) * GRAM_SLOTS)
+    out[:, N_DENSE + WORD_SLOTS :] = np.sqrt(counts.reshape(len(texts), GRAM_SLOTS) / n[:, None])
     out[lengths == 0] = 0
     return out
 
 
-def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.02, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights) of a linear model over standardised features and their squares; the last weight is the bias."""
-    both = np.concatenate([positives, unlabelled])
+def _scales(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is subtracted from features and what they are divided by; hashed ones count for less each, as they are many."""
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-    p, u = expanded(positives, mean, scale), expanded(unlabelled, mean, scale)
-    w = np.zeros(p.shape[1])
+    scale[N_DENSE:] = np.maximum(scale[N_DENSE:], 1e-3) * 4
+    return mean, scale
+
+
+def expanded(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features, squares of those that are not hashed, and 1."""
+    z = np.clip((x - mean) / scale, -4, 4).astype(np.float32)
+    return np.concatenate([z, z[:, :N_DENSE] ** 2 / 4, np.ones((len(z), 1), np.float32)], axis=1)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk, and the direction to step against: that of the risk, or away from what made its second part negative."""
+    zp, zu = p @ w, u @ w
+    as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    of_positive = -(p.T @ sigmoid(-zp)) / len(p) * prior
+    of_negative = (u.T @ sigmoid(zu)) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
+    value = prior * np.logaddexp(0, -zp).mean() + max(0.0, as_negative)
+    return value, of_positive + of_negative if as_negative >= 0 else -of_negative
+
+
+def separated(w: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[float, np.ndarray]:
+    """The logistic risk of telling positives from unlabelled texts, both counting as much, and its slope."""
+    zp, zu = p @ w, u @ w
+    return np.logaddexp(0, -zp).mean() + np.logaddexp(0, zu).mean(), (u.T @ sigmoid(zu)) / len(u) - (p.T @ sigmoid(-zp)) / len(p)
+
+
+def descended(slope, size: int, steps: int, rate: float, decay: float) -> np.ndarray:
+    """Weights after so many Adam steps; all but the last are drawn to 0."""
+    w = np.zeros(size, np.float32)
     first, second = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_positive = -(p.T @ sigmoid(-zp)) / len(p) * prior
-        of_negative = (u.T @ sigmoid(zu)) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
-        slope = of_positive + of_negative if as_negative >= 0 else -of_negative
-        slope = slope + decay * np.append(w[:-1], 0)
-        first = 0.9 * first + 0.1 * slope
-        second = 0.999 * second + 0.001 * slope**2
-        w = w - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return mean, scale, w
+        g = slope(w) + decay * np.append(w[:-1], 0)
+        first = 0.9 * first + 0.1 * g
+        second = 0.999 * second + 0.001 * g**2
+        w = (w - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+    return w
 
 
-def expanded(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = np.clip((x - mean) / scale, -4, 4)
-    return np.concatenate([z, z**2 / 4, np.ones((len(z), 1))], axis=1)
+def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 250, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, weights) of a linear model over ``expanded`` features; the last weight is the bias."""
+    mean, scale = _scales(np.concatenate([positives, unlabelled]))
+    p, u = expanded(positives, mean, scale), expanded(unlabelled, mean, scale)
+    return mean, scale, descended(lambda w: risk(w, p, u, prior)[1], p.shape[1], steps, rate, decay)
+
+
+def estimated_prior(positives: np.ndarray, unlabelled: np.ndarray, steps: int = 150) -> float:
+    """The share of positives among unlabelled texts, from both alone.
+
+    One half of the rows learns to tell the two kinds apart. In the other half, whatever
+    scores above a threshold is at most all positive: the share of unlabelled texts
+    above it, by that of positives, bounds the prior, and the threshold at which that
+    bound, with its error of sampling, is least gives the estimate.
+    """
+    if min(len(positives), len(unlabelled)) < LEAST_ROWS:
+        return DEFAULT_PRIOR
+    mean, scale = _scales(np.concatenate([positives[::2], unlabelled[::2]]))
+    p, u = expanded(positives[::2], mean, scale), expanded(unlabelled[::2], mean, scale)
+    w = descended(lambda w: separated(w, p, u)[1], p.shape[1], steps, 0.03, 1e-3)
+    sp, su = (np.sort(expanded(x[1::2], mean, scale) @ w) for x in (positives, unlabelled))
+    at = np.concatenate([sp, su])
+    above_p, above_u = (1 - np.searchsorted(s, at) / len(s) for s in (sp, su))
+    error = np.sqrt(np.log(40) / 2 / len(sp)) + np.sqrt(np.log(40) / 2 / len(su))
+    bound = np.where(above_p > 0, (above_u + error) / np.maximum(above_p, 1e-9), np.inf)
+    best = int(np.argmin(bound))
+    return float(np.clip(above_u[best] / above_p[best], LEAST_PRIOR, 1 - LEAST_PRIOR))
 
 
 def scored(texts: pa.Array, model) -> pa.Array:
@@ -110,41 +180,39 @@ def scored(texts: pa.Array, model) -> pa.Array:
             out.append(np.full(len(x), 0.5))
         else:
             mean, scale, w = model
-            out.append(1 / (1 + np.exp(-np.clip(expanded(x, mean, scale) @ w, -30, 30))))
+            out.append(sigmoid((expanded(x, mean, scale) @ w).astype(np.float64)))
     return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
 
-def _feature_rows(df: DataFrame) -> np.ndarray:
+def _feature_rows(df: DataFrame, most: int) -> np.ndarray:
+    """The features of at most so many rows of (id, text), by the hash of both; one row for rows that are alike."""
+
     def rows(t: pa.Array) -> pa.Array:
         x = features([v or b"" for v in t.cast(pa.large_binary()).to_pylist()])
         return pa.array([r.tobytes() for r in x], pa.binary())
 
-    got = df.select(F.arrow_udf(rows, "binary")(F.col("text").cast("string")).alias("x")).collect()
-    return np.array([np.frombuffer(r["x"], np.float64) for r in got]).reshape(-1, N_FEATURES)
+    chosen = df.select(F.xxhash64("id", "text").alias("h"), F.col("text").cast("string").alias("text")).orderBy("h", "text").limit(most).dropDuplicates(["h", "text"])
+    got = chosen.select("h", F.arrow_udf(rows, "binary")("text").alias("x")).collect()
+    return np.array([np.frombuffer(r["x"], np.float32) for r in sorted(got, key=lambda r: (r["h"], r["x"]))], np.float32).reshape(-1, N_FEATURES)
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality"):
     """A model, or None without positives or unlabelled texts.
 
     Labels count only where crc32(id) mod 5 is not 0; of the positives the
-    MAX_POSITIVES with the smallest id hash, and as unlabelled the MAX_UNLABELLED
-    such documents. The prior is the share of positives among those labels.
+    MAX_POSITIVES with the smallest id hash, and as unlabelled MAX_UNLABELLED such
+    documents, whatever their labels. Negative labels are not used. Documents that
+    share an id are told apart by their texts, and bounded like all others.
     """
-    small_batches(docs.sparkSession)
-    known = labels.select(F.col(doc_id).alias("id"), F.col(quality).alias("q")).filter((id_remainder(F.col("id"), 5) != 0) & F.col("q").isNotNull() & F.col("id").isNotNull())
-    share = known.agg(F.avg((F.col("q") == 1).cast("double")).alias("p")).first()["p"]
-    prior = DEFAULT_PRIOR if share is None else min(max(share, LEAST_PRIOR), 1 - LEAST_PRIOR)
-    chosen = known.filter("q = 1").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(MAX_POSITIVES)
+    known = labels.select(F.col(doc_id).alias("id"), F.col(quality).alias("q")).filter((id_remainder(F.col("id"), 5) != 0) & (F.col("q") == 1) & F.col("id").isNotNull())
+    chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(MAX_POSITIVES)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(id_remainder(F.col("id"), 5) != 0)
-    positives = _feature_rows(texts.join(F.broadcast(chosen), "id"))
-    picked = texts.select("id").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(MAX_UNLABELLED).distinct()
-    unlabelled = _feature_rows(texts.join(F.broadcast(picked), "id"))
-    order = lambda x: x[np.lexsort(x.T)]
-    return fit(order(positives), order(unlabelled), prior) if len(positives) and len(unlabelled) else None
+    positives = _feature_rows(texts.join(F.broadcast(chosen), "id"), MAX_POSITIVES)
+    unlabelled = _feature_rows(texts, MAX_UNLABELLED)
+    return fit(positives, unlabelled, estimated_prior(positives, unlabelled)) if len(positives) and len(unlabelled) else None
 
 
 def score_column(spark, model, text: Column) -> Column:
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def score(t: pa.Array) -> pa.Array:
