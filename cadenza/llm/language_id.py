@@ -19,11 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import id_remainder, shipped, slices, tidy
+from cadenza.llm.common import checkpointed, few, id_remainder, shipped, slices, tidy
 
 #: Labelled documents a language that are learned from, each whole; ones of more code points are taken only if a language has too few others.
 SAMPLE_DOCS, LONG_TEXT = 48, 16_384
 
+#: Languages up to this number are broadcast to the documents; more are joined by a shuffle.
+MAX_BROADCAST_LANGUAGES = 100_000
+
 #: Letters that are parsed at once; no phrase ends there for that.
 LANE = 1024
 
@@ -302,7 +305,9 @@ def sample(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: st
     long = F.length("text") > LONG_TEXT
     counts = told.groupBy("lang").agg(F.sum(F.when(long, 0).otherwise(1)).alias("short"), F.count("*").alias("all"))
     share = F.lit(8.0 * SAMPLE_DOCS) / F.when(F.col("short") >= SAMPLE_DOCS, F.col("short")).otherwise(F.col("all"))
-    bounds = counts.select(F.col("lang").alias("l"), (F.col("short") >= SAMPLE_DOCS).alias("only_short"), F.when(share < 1, share).otherwise(1.0).alias("share"))
+    bounds = checkpointed(counts.select(F.col("lang").alias("l"), (F.col("short") >= SAMPLE_DOCS).alias("only_short"), F.when(share < 1, share).otherwise(1.0).alias("share")))
+    # Without this the texts would be shuffled before they are filtered.
+    bounds = F.broadcast(bounds) if few(bounds, MAX_BROADCAST_LANGUAGES) else bounds
     h = F.shiftrightunsigned(F.xxhash64("id", "text"), 1)
     near = told.withColumn("h", h).join(bounds, F.col("lang") == F.col("l")).filter((F.col("h") <= F.col("share") * float(2**63)) & ~(F.col("only_short") & long))
     ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(long, "h", "id", "text"))).filter(F.col("n") <= SAMPLE_DOCS)
