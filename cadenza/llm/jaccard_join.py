@@ -406,6 +406,11 @@ def _cells(key: tuple, members: pa.Table, pivots: pa.Table) -> pa.Table:
     return pa.concat_tables([links, inside])
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A table of at most MAX_BROADCAST_IDS keys is broadcast: the rows of a large region stay where they are."""
+    return F.broadcast(table) if few(table, MAX_BROADCAST_IDS) else table
+
+
 def joined_regions(members: DataFrame) -> list[DataFrame]:
     """Link tables (a, b) from regions (region, x, items): small ones joined in a task, others split by pivots, as ``voronoi_cells`` says, until none is left."""
     found, link, far, depth = [], "a bigint, b bigint", 1 - PERCENT / 100, 0
@@ -413,6 +418,7 @@ def joined_regions(members: DataFrame) -> list[DataFrame]:
     while True:
         large = checkpointed(members.groupBy("region").agg(weight.alias("weight"), F.count("*").alias("n")).filter((F.col("weight") > MAX_REGION) & (F.col("n") > 2 * PIVOTS)).select(F.col("region").alias("r"), "weight"))
         none = large.isEmpty()
+        large = large if none else _small(large)
         small = members if none else members.join(large, F.col("region") == F.col("r"), "left_anti")
         found.append(small.select("region", "x", "items").groupBy("region").applyInArrow(_region_links, link))
         if none:
@@ -426,14 +432,15 @@ def joined_regions(members: DataFrame) -> list[DataFrame]:
         cells = checkpointed(dealt.groupBy("region", "part").cogroup(pivots.groupBy("pr", "pp")).applyInArrow(_cells, _CELLS))
         found.append(cells.filter("link IS NOT NULL").select(F.col("x").alias("a"), F.col("link").alias("b")))
         inside = cells.filter("cell IS NOT NULL")
-        others = inside.filter(F.col("distance") > far + 1e-9).groupBy(F.col("cell").alias("c")).agg(F.min("distance").alias("d"))
-        beside = checkpointed(inside.join(others, F.col("cell") == F.col("c")).filter(F.col("distance") >= F.col("d") - far - 1e-9).select(F.col("cell").alias("region"), "x", "items", "above"))
+        others = checkpointed(inside.filter(F.col("distance") > far + 1e-9).groupBy(F.col("cell").alias("c")).agg(F.min("distance").alias("d")))
+        beside = checkpointed(inside.join(_small(others), F.col("cell") == F.col("c")).filter(F.col("distance") >= F.col("d") - far - 1e-9).select(F.col("cell").alias("region"), "x", "items", "above"))
         # Regions whose cells have too many of its pairs left: any two of its parts meet in a task instead.
         parent = F.regexp_replace("region", "/[^/]*$", "")
         stuck = beside.groupBy("region").agg(weight.alias("w"), F.max("above").alias("above")).groupBy(parent.alias("s")).agg(F.sum(F.col("w") * F.col("w")).alias("left"), F.max("above").alias("above"))
         stuck = checkpointed(stuck.filter(F.col("left") > STUCK * F.col("above") * F.col("above")).select("s"))
         members = beside.select("region", "x", "items")
         if not stuck.isEmpty():
+            stuck = _small(stuck)
             members = checkpointed(members.join(stuck, parent == F.col("s"), "left_anti"))
             halves = split.join(stuck, F.col("region") == F.col("s"), "left_semi").withColumn("k", F.ceil(F.col("weight") * 2 / F.lit(MAX_REGION)).cast("int")).withColumn("p", F.pmod(F.hash("x"), F.col("k")))
             met = halves.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).filter("p <> q").select(F.concat_ws(" ", "region", F.least("p", "q"), F.greatest("p", "q")).alias("region"), "x", "items")
