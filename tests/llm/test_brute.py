@@ -315,6 +315,55 @@ def test_risk_is_kept_from_falling_below_zero():
     assert (z[:100] > 0).mean() > 0.9 and (z[100:] < 0).mean() > 0.9
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.9])
+def test_risk_by_brute_force(prior):
+    """Value row by row, slope by differences, on both sides of zero."""
+    rng = np.random.default_rng(5)
+    p, u = rng.normal(1, 1, (30, 3)), rng.normal(0, 1, (40, 3))
+    cost = lambda z: math.log1p(math.exp(z))
+    for scale in (0.1, 1, 4):
+        w = rng.normal(0, scale, 3)
+        zp, zu = [[float(sum(a * b for a, b in zip(x, w, strict=True))) for x in rows] for rows in (p, u)]
+        second = sum(map(cost, zu)) / 40 - prior * sum(map(cost, zp)) / 30
+        value, slope = quality_classifier.risk(w, p, u, prior)
+        assert value == pytest.approx(prior * sum(cost(-z) for z in zp) / 30 + max(0, second))
+        for j in range(3):
+            step = np.eye(3)[j] * 1e-5
+            if second >= 0:
+                want = (quality_classifier.risk(w + step, p, u, prior)[0] - quality_classifier.risk(w - step, p, u, prior)[0]) / 2e-5
+            else:
+                part = lambda v: sum(cost(float(x @ v)) for x in u) / 40 - prior * sum(cost(float(x @ v)) for x in p) / 30
+                want = -(part(w + step) - part(w - step)) / 2e-5
+            assert slope[j] == pytest.approx(want, rel=1e-4, abs=1e-7)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(6)
+    kind = lambda mean, n: rng.normal(mean, 1, (n, 5))
+    n = int(4000 * share)
+    unlabelled = rng.permutation(np.concatenate([kind(1.5, n), kind(-1.5, 4000 - n)]))
+    assert quality_classifier.estimated_prior(kind(1.5, 2000), unlabelled) == pytest.approx(share, abs=0.06)
+    assert quality_classifier.estimated_prior(kind(1.5, 5), unlabelled) == quality_classifier.DEFAULT_PRIOR
+
+
+def test_features_by_brute_force():
+    import xxhash
+
+    text = "The quick, the QUICK  brown fox.\nThe fox fox!".encode()
+    (row,) = quality_classifier.features([text])
+    words = text.lower().split()
+    slots, grams = collections.Counter(xxhash.xxh3_64_intdigest(w) % quality_classifier.WORD_SLOTS for w in words), collections.Counter()
+    for i in range(len(text) - 2):
+        a, b, c = text.lower()[i : i + 3]
+        grams[((a | b << 8 | c << 16) * 2654435761 % 2**32 >> 24) % quality_classifier.GRAM_SLOTS] += 1
+    n = quality_classifier.N_DENSE
+    assert row[n : n + quality_classifier.WORD_SLOTS].tolist() == pytest.approx([math.sqrt(slots[k] / len(words)) for k in range(quality_classifier.WORD_SLOTS)])
+    assert row[n + quality_classifier.WORD_SLOTS :].tolist() == pytest.approx([math.sqrt(grams[k] / len(text)) for k in range(quality_classifier.GRAM_SLOTS)])
+    assert row[n - 1] == pytest.approx(math.sqrt(1 - len(set(words)) / len(words)))
+    assert not quality_classifier.features([b""]).any()
+
+
 def test_lm_base_and_probabilities(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     tokens = {i: [*t.encode().lower().split(), b"\n"] for i, t in docs.items()}
@@ -327,25 +376,26 @@ def test_lm_base_and_probabilities(spark):
         assert r["score"] < 0
 
 
-def reference_ppm(train: list[bytes], context: tuple, kept: set) -> dict:
-    """Probabilities after a context by the textbook: escape method C with exclusion, from the longest kept context."""
+def seen_after(train: list[bytes], order: int) -> dict:
     seen = collections.defaultdict(collections.Counter)
     for t in train:
-        row = [256] * 3 + list(t) + [256]
-        for i in range(3, len(row)):
-            for k in range(4):
+        row = [256] * order + list(t) + [256]
+        for i in range(order, len(row)):
+            for k in range(order + 1):
                 seen[tuple(row[i - k : i])][row[i]] += 1
+    return seen
+
+
+def reference_ppm(seen: dict, context: tuple) -> dict:
+    """Probabilities after a context by the textbook: escape method D with exclusion, from the longest context that was seen."""
     out, weight, gone = collections.defaultdict(float), 1.0, set()
-    for k in (3, 2, 1, 0):
-        c = context[3 - k :]
-        if k == 3 and c not in kept:
-            continue
-        own = {s: n for s, n in seen[c].items() if s not in gone}
+    for k in range(len(context), -1, -1):
+        own = {s: n for s, n in seen[context[len(context) - k :]].items() if s not in gone}
         if own:
             n, d = sum(own.values()), len(own)
-            escape = d / (n + d) if d < 257 - len(gone) else 0
+            escape = d / (2 * n) if d < 257 - len(gone) else 0
             for s, m in own.items():
-                out[s] += weight * (1 - escape) * m / n
+                out[s] += weight * (1 - escape) * (m - 0.5) / (n - d / 2)
             weight *= escape
             gone |= set(own)
     for s in range(257):
@@ -354,41 +404,57 @@ def reference_ppm(train: list[bytes], context: tuple, kept: set) -> dict:
     return out
 
 
-def test_trie_is_ppm():
-    train = [b"abracadabra", b"abrupt", b"", "caf\u00e9 abra".encode()]
-    codes, counts = np.unique(lm_score.byte_codes(train)[0], return_counts=True)
-    low, inverse = np.unique(codes & ((1 << 27) - 1), return_inverse=True)
-    deep = np.isin(codes >> 9, np.unique(codes >> 9)[::2])
-    kept = {((c >> 18) & 511, (c >> 9) & 511, c & 511) for c in np.unique(codes[deep] >> 9).tolist()}
-    trie = lm_score.Trie((low, np.bincount(inverse, counts)), (codes[deep], counts[deep].astype(float)))
-    import pyarrow as pa
+def reference_score(seen: dict, text: bytes, order: int) -> float:
+    row = [256] * order + list(text) + [256]
+    return sum(math.log10(reference_ppm(seen, tuple(row[i - order : i]))[row[i]]) for i in range(order, len(row)))
 
-    for text in (b"abra", b"", b"zebra\xff", b"caf"):
-        row, want = [256] * 3 + list(text) + [256], 0.0
-        for i in range(3, len(row)):
-            told = reference_ppm(train, tuple(row[i - 3 : i]), kept)
-            assert sum(told.values()) == pytest.approx(1)
-            want += math.log10(told[row[i]])
-        got = trie.scores(pa.array([text.decode("latin-1") if text.isascii() else text], pa.string() if text.isascii() else pa.binary()))[0].as_py()
-        assert got == pytest.approx(want, rel=1e-4)
 
+@pytest.mark.parametrize("order", [1, 2, 3, 5, 6])
+def test_trie_is_ppm(order):
+    import pyarrow as pa
 
-@pytest.mark.parametrize("entries", [4_000_000, 30_000])
-def test_lm_keeps_every_context(spark, monkeypatch, entries):
-    """More contexts than 16,384, in one part and in several: rare ones count as well."""
-    monkeypatch.setattr(lm_score, "PART_ENTRIES", entries, raising=False)
+    train = [b"abracadabra", b"abrupt", b"", "caf\u00e9 abra".encode()]
+    codes, counts = np.unique(lm_score.byte_codes(train, order)[0], return_counts=True)
+    trie, seen = lm_score.Trie(codes, counts.astype(float), order), seen_after(train, order)
+    assert sum(reference_ppm(seen, (97,) * order).values()) == pytest.approx(1)
+    for text in (b"abra", b"", b"zebra\xff", b"caf", b"abracadabrupt"):
+        got = trie.scores(pa.array([text], pa.binary()))[0].as_py()
+        assert got == pytest.approx(reference_score(seen, text, order), rel=1e-4)
+
+
+@pytest.mark.parametrize("entries", [4_000_000, 15_000])
+def test_lm_by_brute_force(spark, monkeypatch, entries):
+    """The whole operator, in one part and in several; rare contexts count as well."""
+    monkeypatch.setattr(lm_score, "PART_ENTRIES", entries)
     rng = random.Random(12)
     texts = {i: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", k=1500)) for i in range(40)}
     train = [t.encode() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
-    rows = [[256] * 3 + list(t) + [256] for t in train]
-    every = {tuple(r[i - 3 : i]) for r in rows for i in range(3, len(r))}
-    assert len(every) > 16_384
-    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0)
-    texts[held] = texts[next(i for i in texts if zlib.crc32(str(i).encode()) % 10)][700:712] + "#"
-    row = [256] * 3 + list(texts[held].encode()) + [256]
-    want = sum(math.log10(reference_ppm(train, tuple(row[i - 3 : i]), every)[row[i]]) for i in range(3, len(row)))
+    seen = seen_after(train, lm_score.ORDER)
+    assert len(seen) > 60_000
+    source = next(i for i in texts if zlib.crc32(str(i).encode()) % 10)
+    held = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    texts[held[0]], texts[held[1]], texts[300] = texts[source][700:712] + "#", "zz \u00e9", texts[source][:40]
+    train.append(texts[300].encode()) if zlib.crc32(b"300") % 10 else None
+    seen = seen_after(train, lm_score.ORDER)
     got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
-    assert got[held] == pytest.approx(want, rel=1e-5)
+    for i in (*held, 300):
+        assert got[i] == pytest.approx(reference_score(seen, texts[i].encode(), lm_score.ORDER), rel=1e-5)
+
+
+def test_lm_beats_the_unigram_base():
+    """Bits a byte of held-out documents, both models learned from the others."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    train, held = [], []
+    for i, t in zip(rows["doc_id"], rows["text"], strict=True):
+        (train if zlib.crc32(str(i).encode()) % 10 else held).append((t or "").encode())
+    tokens = collections.Counter(w for t in train for w in (*t.lower().split(), b"\n"))
+    rest = math.log10(sum(tokens.values()) + 0.1 * (len(tokens) + 1))
+    base = sum(math.log10(tokens[w] + 0.1) - rest for t in held for w in (*t.lower().split(), b"\n"))
+    codes, counts = np.unique(lm_score.byte_codes(train, lm_score.ORDER)[0], return_counts=True)
+    assert sum(lm_score.Trie(codes, counts.astype(float), lm_score.ORDER).scores(pa.array(held, pa.binary())).to_pylist()) > base
 
 
 def test_licenses_lose_nothing(spark):
@@ -399,7 +465,8 @@ def test_licenses_lose_nothing(spark):
     rows = license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id bigint, text string"), templates=templates).collect()
     for r in rows:
         want = set()
-        for line in dict(texts)[r["doc_id"]].split("\n"):
+        lines = dict(texts)[r["doc_id"]].split("\n")
+        for line in [" ".join(lines[i : i + n]) for n in (1, 2, 3) for i in range(len(lines) - n + 1)]:
             for label, _, wording in templates:
                 own = set(wording.split())
                 if len(own & set(line.split())) >= math.ceil(round(0.8 * len(own), 9)):
@@ -407,6 +474,44 @@ def test_licenses_lose_nothing(spark):
         assert r["labels"] == ",".join(sorted(want))
 
 
+def test_wrapped_notices(spark):
+    """A notice of one sentence over two or three lines, and its words scattered over lines that are not wrapped ones."""
+    mpl = ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this", "file, You can obtain one at the site below."]
+    narrow = ["  Licensed under the", "  Apache License,", "  Version 2.0."]
+    filler = " ".join(f"filler{i}" for i in range(40))
+    texts = [(1, "\n".join(["x", *mpl])), (2, "\n".join(narrow)), (3, f"all {filler}\nrights {filler}\nreserved {filler}"), (4, "all rights\nreserved"), (5, "all\n\n\nrights\n\nreserved")]
+    rows = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert [rows[i]["labels"] for i in range(1, 6)] == ["mpl", "apache", "", "reserved", ""]
+    assert rows[1]["score"] > 0.8
+
+
+def test_trust_is_the_dense_solution(spark):
+    rng = np.random.default_rng(9)
+    n, edges = 40, {}
+    for _ in range(90):
+        a, b = rng.integers(0, n, 2).tolist()
+        if a != b and a % 7:
+            edges[a, b] = edges.get((a, b), 0) + int(rng.integers(1, 4))
+    seeds = [(f"h{i}", float(i % 3 == 0) * 0.5, float(i % 5 == 0)) for i in range(n)]
+    frame = spark.createDataFrame([(f"h{a}", f"h{b}", k) for (a, b), k in edges.items()], "src string, dst string, n bigint")
+    scores, own = url_filter.propagated(spark.createDataFrame(seeds, "host string, trust double, distrust double"), frame)
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in scores.collect()}
+    d = url_filter.DAMPING
+    for side, kind in ((0, "t"), (1, "d")):
+        v = np.array([s[1 + side] for s in seeds])
+        walk = np.zeros((n, n))
+        for (a, b), k in edges.items():
+            walk[(b, a) if side == 0 else (a, b)] += k
+        out = walk.sum(axis=0)
+        # Where no edge leads on, the walk goes back to the seeds.
+        walk = np.where(out > 0, walk / np.maximum(out, 1), (v / v.sum())[:, None])
+        want = np.linalg.solve(np.eye(n) - d * walk, (1 - d) * v)
+        assert want.sum() == pytest.approx(v.sum())
+        assert [got.get(f"h{i}", (0, 0))[side] for i in range(n)] == pytest.approx(want.tolist(), abs=1e-6)
+        leaky = np.linalg.solve(np.eye(n) - d * np.where(out > 0, walk, 0), (1 - d) * v)
+        assert own[kind] == pytest.approx((1 - d) * v.sum() / leaky.sum(), rel=1e-6)
+
+
 def test_trust_spreads(spark):
     link = lambda *hosts: "".join(f'<a class="x" href="https://{h}/p">' for h in hosts)
     pages = [
@@ -417,15 +522,47 @@ def test_trust_spreads(spark):
         (5, "https://spam.com/1", link("bad.net")),
         (6, "https://farm.com/1", link("spam.com", "spam.com")),
         (7, "https://alone.com/1", None),
+        (8, "https://example.com/de/1", None),
+        (9, "https://example.com/en/1", None),
+        (10, "https://example.com/en/2", link("example.com")),
+        (11, "https://worse.net/1", None),
+        (12, "https://once.com/1", link("worse.net")),
     ]
+    # Many trusted hosts that each endorse one host outweigh its one link to a blocked host.
+    pages += [(100 + i, f"https://t{i}.org/fr/", link("once.com")) for i in range(20)]
     rows = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
-    assert [rows[i]["verdict"] for i in range(1, 8)] == ["allow", "allow", "allow", "block", "block", "block", "allow"]
-    d = url_filter.DAMPING
-    assert rows[1]["trust"] == pytest.approx(1 - d)
-    assert rows[2]["trust"] == pytest.approx((1 - d) * d)
-    assert rows[3]["trust"] == pytest.approx((1 - d) * d * d)
-    assert rows[5]["distrust"] == pytest.approx((1 - d) * d)
-    assert rows[6]["distrust"] == pytest.approx((1 - d) * d * d)
+    assert [rows[i]["verdict"] for i in range(1, 13)] == ["allow", "allow", "allow", "block", "block", "block", "allow", "block", "allow", "allow", "block", "allow"]
+    assert rows[5]["distrust"] == pytest.approx(0.85 * rows[4]["distrust"])
+    assert rows[6]["distrust"] == pytest.approx(0.85 * rows[5]["distrust"])
+    assert sum({r["host"]: r["trust"] for r in rows.values()}.values()) == pytest.approx(21)
+
+
+def test_the_prior_shrinks():
+    """Moments against the greatest likelihood, and hosts of one document, which tell nothing about differences."""
+    rng = np.random.default_rng(11)
+    for a, b in ((2, 18), (0.5, 4.5), (6, 6)):
+        n = rng.integers(1, 80, 4000)
+        f = rng.binomial(n, rng.beta(a, b, 4000))
+        mean, weight = quality_rules.prior(len(n), float(n.sum()), float((n * n).sum()), float(f.sum()), float((f * f / n).sum()))
+        rows = collections.Counter(zip(n.tolist(), f.tolist(), strict=True))
+
+        def likelihood(w, m=mean, rows=rows):
+            x, y, g = m * w, (1 - m) * w, math.lgamma
+            return sum(k * (g(fi + x) + g(ni - fi + y) - g(ni + w) + g(w) - g(x) - g(y)) for (ni, fi), k in rows.items())
+
+        best = max((math.exp(t) for t in np.linspace(math.log(0.2), math.log(100), 400)), key=likelihood)
+        assert mean == pytest.approx(a / (a + b), rel=0.05)
+        assert weight == pytest.approx(best, rel=0.1)
+    mean, weight = quality_rules.prior(400, 400.0, 400.0, 20.0, 20.0)
+    assert (1 + mean * weight) / (1 + weight) == pytest.approx(0.05)
+    assert quality_rules.prior(0, 0.0, 0.0, 0.0, 0.0)[0] == 0.0
+
+
+def test_host_prior_in_the_operator(spark):
+    good, shout = (" ".join(f"{w}{i} {w}{i}x" for i in range(30)) for w in ("word", "LOUD"))
+    docs = [(i, shout if i % 20 == 0 else good, f"h{i}") for i in range(400)]
+    rows = quality_rules.assess(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()
+    assert all(r["host_rate"] == pytest.approx(0.05) and r["kept"] for r in rows)
 
 
 def test_host_verdicts(spark):

@@ -80,6 +80,26 @@ def test_mixing(awkward, nothing, spark):
     assert mixing.mixed_documents(nothing).count() == 0
 
 
+def test_mixing_splits_rows_that_are_alike(spark, monkeypatch):
+    """Rows of one id, or of none, and rows that are alike in all: taken words come near the target."""
+    monkeypatch.setattr(mixing, "PASS_BITS", 30)
+    rows = [(None, f"w{i} x y", "a") for i in range(100)] + [(7, "same words here", "b")] * 90 + [(None, None, "c")] * 20 + [(None, "one two", "c")] * 90 + [(1000 + i, "u v w", "d") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = mixing.mixed(docs).collect()
+    for source in "abcd":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= 2
+    out = mixing.mixed_documents(docs)
+    taken = sorted((r["source"], r["size"]) for r in got for _ in range(r["copies"]))
+    assert sorted((r["source"], len((r["text"] or "").split())) for r in out.collect()) == taken
+
+
+def test_lm_takes_any_id(spark):
+    rows = [("x", "a b"), ("x", "a c"), (None, "a b"), (None, None), ("y", "a b"), ("y", "a b")]
+    got = lm_score.score_texts(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"] or "", r["n_tokens"]) for r in got) == [("", 1), ("", 3), ("x", 3), ("x", 3), ("y", 3), ("y", 3)]
+
+
 def test_lm(awkward, nothing):
     rows = by_id(lm_score.score_texts(awkward))
     assert sum(map(len, rows.values())) == awkward.count()
