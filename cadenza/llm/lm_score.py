@@ -34,7 +34,7 @@ from cadenza.llm.common import checkpointed, id_remainder, shipped, slices, spac
 ORDER = 5
 
 #: Entries (a longest context and a symbol after it) of one part of the model. More parts mean more passes, nothing is left out.
-PART_ENTRIES = 4_000_000
+PART_ENTRIES = 3_000_000
 
 #: Bytes by which contexts are dealt to parts.
 DEALT = 3
@@ -223,29 +223,41 @@ class Trie:
     def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, low: tuple[np.ndarray, np.ndarray] | None = None, part: int = 0, parts: int = 1):
         """From the counts by code; ``low`` has those of all parts for contexts shorter than DEALT, by codes of that order."""
         self.order, self.part, self.parts = order, part, parts
+        levels, (entries, times) = [], (codes, counts)
+        for k in range(order, -1, -1):
+            if low is not None and k == DEALT - 1:
+                entries, times = low
+            elif k < order:
+                # The context one shorter: its farthest byte goes.
+                entries = (entries >> 18 << 9) | (entries & 511)
+            ranked = np.argsort(entries)
+            entries, times = entries[ranked], times[ranked]
+            del ranked
+            first = np.flatnonzero(np.diff(entries, prepend=-1))
+            if len(first) < len(entries):
+                entries, times = entries[first], np.add.reduceat(times, first)
+            fresh = np.diff(entries >> 9, prepend=-1) != 0
+            contexts, row = entries[fresh] >> 9, np.cumsum(fresh, dtype=np.int32) - 1
+            levels.append((contexts, row, entries, times, np.bincount(row, times, len(contexts)), np.bincount(row, minlength=len(contexts))))
         self.contexts, self.told, self.entries, self.logs = [], [], [], []
         above = None
-        for k in range(order + 1):
-            own, n, depth = (codes, counts, order) if low is None or k >= DEALT else (*low, DEALT - 1)
-            entries, inverse = np.unique((own >> 9 * (depth - k + 1) << 9) | (own & 511), return_inverse=True)
-            times = np.bincount(inverse, n, len(entries))
-            contexts, row = np.unique(entries >> 9, return_inverse=True)
-            total, kinds = np.bincount(row, times, len(contexts)), np.bincount(row, minlength=len(contexts))
+        while levels:
+            contexts, row, entries, times, total, kinds = levels.pop()
             escape = escapes(total, kinds, 257)
-            told = np.zeros((len(contexts), 4))
+            told = np.zeros((len(contexts), 4), np.float32)
             told[:, 0], told[:, 1] = _log(escape), _log((1 - escape) / np.maximum(total - kinds / 2, 0.5))
-            if k:
+            if above is not None:
                 # The context one shorter without the symbols of this one.
-                parents, their_total, their_kinds, their_entries, their_times = above
+                parents, their_entries, their_times, their_total, their_kinds = above
                 parent = np.searchsorted(parents, contexts >> 9)
                 at = np.searchsorted(their_entries, (entries >> 18 << 9) | (entries & 511))
                 left = their_total[parent] - np.bincount(row, their_times[at], len(contexts))
                 others = their_kinds[parent] - kinds
                 escape = escapes(left, others, 257 - kinds)
                 told[:, 2], told[:, 3] = _log(escape), _log((1 - escape) / np.maximum(left - others / 2, 0.5))
-            above = contexts, total, kinds, entries, times
+            above = contexts, entries, times, total, kinds
             self.contexts.append(contexts)
-            self.told.append(told.astype(np.float32))
+            self.told.append(told)
             self.entries.append(entries)
             self.logs.append(_log(times - 0.5).astype(np.float32))
         # A symbol that training has not seen is as likely as all others of that sort.
@@ -291,15 +303,19 @@ def learned(seen: DataFrame, order: int = ORDER) -> Iterator[Trie]:
     """The parts of the trie of all byte counts; the driver holds one at a time."""
     codes = checkpointed(seen.filter("kind = 1").groupBy(F.col("chunk").alias("code")).agg(F.sum("n").alias("n")))
     parts = max(1, -(-codes.count() // PART_ENTRIES))
-    pair = lambda p: (p["code"].to_numpy(np.int64), p["n"].to_numpy(np.float64))
+
+    def pair(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        table = rows.toArrow()  # columns as they are, whatever the session says of pandas
+        return table["code"].to_numpy(), table["n"].to_numpy()
+
     if parts == 1:
-        yield Trie(*pair(codes.toPandas()), order)
+        yield Trie(*pair(codes), order)
         return
     short = F.shiftright("code", 9 * (order - DEALT + 2)) * F.lit(512) + F.col("code").bitwiseAND(511)
-    low = pair(codes.groupBy(short.alias("code")).agg(F.sum("n").alias("n")).toPandas())
+    low = pair(codes.groupBy(short.alias("code")).agg(F.sum("n").alias("n")))
     dealt = F.shiftright((F.shiftright("code", 9 * (order - DEALT + 1)) * F.lit(_MIX)).bitwiseAND(F.lit(0xFFFFFFFF)), 16) % parts
     for part in range(parts):
-        yield Trie(*pair(codes.filter(dealt == part).toPandas()), order, low, part, parts)
+        yield Trie(*pair(codes.filter(dealt == part)), order, low, part, parts)
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 10, order: int = ORDER) -> DataFrame:
