@@ -1,8 +1,9 @@
 """Order-dependent operators: intervals, indexes, delays, sessions.
 
 Within sessions these are windows partitioned by the session. For one global order
-there is no key to partition by; time is cut into buckets, each bucket is a window
-partition, and what crosses a border comes from one row per bucket.
+there is no key to partition by; time is cut into buckets, buckets are put together
+by their counts, each such range is a window partition, and what crosses a border
+comes from one row per range.
 """
 
 from __future__ import annotations
@@ -12,7 +13,13 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import bucket_of
 
-DAY_US = 86_400_000_000
+MINUTE_US = 60_000_000
+
+#: Rows that one range of a global order has, but for those of its last bucket.
+RANGE_ROWS = 1_000_000
+
+#: Buckets up to this number are broadcast to the rows; more are joined by a shuffle.
+MAX_BROADCAST_BUCKETS = 1_000_000
 
 
 def in_order(keys: list[str], order: list[str]):
@@ -25,22 +32,27 @@ def with_intervals(df: DataFrame, keys: list[str], order: list[str], time: str =
     return df.withColumns({index: (F.row_number().over(w) - 1).cast("bigint"), interval: F.coalesce(F.col(time) - F.lag(time).over(w), F.lit(0)).cast("bigint")})
 
 
-def with_global_intervals(df: DataFrame, order: list[str], time: str = "ts_ms", clock_us: str = "ts_us", bucket_us: int = DAY_US, index: str = "frame_index", interval: str = "interval_ms") -> DataFrame:
+def with_global_intervals(df: DataFrame, order: list[str], time: str = "ts_ms", clock_us: str = "ts_us", bucket_us: int = MINUTE_US, index: str = "frame_index", interval: str = "interval_ms", rows: int = RANGE_ROWS) -> DataFrame:
     """As ``with_intervals`` for one global order that ``clock_us`` leads, without gathering all rows.
 
     ``time`` must not decrease along the order, as a coarser form of the clock does not.
-    Rows are windowed by bucket; one row a bucket (its count and its last time) is
-    windowed globally and joined back.
+    Rows are counted by bucket; consecutive buckets make ranges of about ``rows`` rows,
+    however they lie in time, and rows are windowed by range. Only one row a bucket (its
+    count and its last time) is windowed globally and joined back.
     """
     cut = df.withColumn("__bucket", bucket_of(F.col(clock_us), bucket_us))
     buckets = cut.groupBy("__bucket").agg(F.count("*").alias("__n"), F.max(time).alias("__last"))
     everything = Window.partitionBy(F.lit(0)).orderBy("__bucket")
-    before = buckets.select("__bucket", F.coalesce(F.sum("__n").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"), F.lag("__last").over(everything).alias("__before"))
-    w = in_order(["__bucket"], order)
+    counted = buckets.withColumns({"__sum": F.coalesce(F.sum("__n").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__before": F.lag("__last").over(everything)})
+    ranged = counted.withColumn("__range", F.floor(F.col("__sum") / F.lit(rows)))
+    own = in_order(["__range"], ["__bucket"])
+    placed = ranged.select("__bucket", "__range", F.first("__sum").over(own).alias("__offset"), F.first("__before").over(own).alias("__before"))
+    few = placed.limit(MAX_BROADCAST_BUCKETS + 1).count() <= MAX_BROADCAST_BUCKETS
+    w = in_order(["__range"], order)
     return (
-        cut.join(before, "__bucket")
+        cut.join(F.broadcast(placed) if few else placed, "__bucket")
         .withColumns({index: (F.col("__offset") + F.row_number().over(w) - 1).cast("bigint"), interval: F.coalesce(F.col(time) - F.coalesce(F.lag(time).over(w), F.col("__before")), F.lit(0)).cast("bigint")})
-        .drop("__bucket", "__offset", "__before")
+        .drop("__bucket", "__range", "__offset", "__before")
     )
 
 
