@@ -131,3 +131,25 @@ def directory_of(path: Column) -> Column:
 
 def without_suffix(path: Column, length: int = 4) -> Column:
     return F.substring(path, F.lit(1), F.greatest(F.length(path) - length, F.lit(0)))
+
+
+def epoch_seconds(ts: Column) -> Column:
+    """Whole seconds of a TIMESTAMP_NTZ since 1970, rounded down: the stamp in a file's name."""
+    return bucket_of(micros(ts), 1_000_000)
+
+
+def argument_of(arguments: Column, name: str) -> Column:
+    """What follows the first such name that anything follows, in a list of arguments whose first is the program; null if nothing does."""
+    rest = F.slice(arguments, 2, F.greatest(F.size(arguments) - 1, F.lit(0)))
+    at = F.array_position(F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0))), name)
+    return F.when(at > 0, F.get(rest, at.cast("int")))
+
+
+def has_flag(arguments: Column, name: str) -> Column:
+    """Whether a list of arguments, whose first is the program, has this one."""
+    return F.coalesce(F.array_contains(F.slice(arguments, 2, F.greatest(F.size(arguments) - 1, F.lit(0))), name), F.lit(False))
+
+
+def target_pid(arguments: Column) -> Column:
+    """The process that ``--inject`` names, 0 for none."""
+    return leading_int(argument_of(arguments, "--inject"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +40,43 @@ def tick_collisions(df: DataFrame, tick_us: int, keys: list[str], time: str = "t
     return whole.agg(F.sum("__n").cast("bigint").alias("n"), F.count("*").alias("ticks"), (F.sum("__n") - F.count("*")).cast("bigint").alias("merged"))
 
 
-def repeat_last(df: DataFrame, tick_us: int, keys: list[str], order: list[str], value: str, time: str = "ts_us") -> DataFrame:
-    """(keys, tick_us, last): for every tick from the session's first to its last the value of the newest row at or before it, null before the first."""
-    bounds = df.groupBy(*keys).agg((bucket_of(F.min(time), tick_us) * tick_us).alias("__from"), (bucket_of(F.max(time), tick_us) * tick_us).alias("__to"))
-    spine = bounds.select(*keys, F.explode(F.sequence("__from", "__to", F.lit(tick_us).cast("bigint"))).alias("__at")).withColumns({"__tick": F.lit(1), "__v": F.lit(None).cast("struct<v:" + dict(df.dtypes)[value] + ">")})
-    rows = df.select(*keys, F.col(time).alias("__at"), F.lit(0).alias("__tick"), F.struct(F.col(value).alias("v")).alias("__v"), *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)])
-    merged = rows.unionByName(spine, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__at", "__tick", *(f"__o{i}" for i in range(len(order)))).rowsBetween(Window.unboundedPreceding, 0)
-    return merged.withColumn("__last", F.last("__v", ignorenulls=True).over(w)).filter("__tick = 1").select(*keys, F.col("__at").alias("tick_us"), F.col("__last.v").alias("last"))
+#: Ticks that one gap between rows may fill; a longer one is taken for a wrong clock.
+MAX_GAP_TICKS = 10_000_000
+
+
+def _ticks(first: Column, last: Column, tick_us: int, most: int) -> Column:
+    """The ticks from one to another, none if they are the wrong way round; fails where there are too many."""
+    many = (last - first) / F.lit(tick_us) >= most
+    wrong = F.raise_error(F.concat(F.lit(f"more than {most} ticks between two rows, at "), first.cast("string"))).cast("array<bigint>")
+    return F.when(many, wrong).when(first <= last, F.sequence(first, last, F.lit(tick_us).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def repeat_last(df: DataFrame, tick_us: int, keys: list[str], order: list[str], value: str, time: str = "ts_us", most: int = MAX_GAP_TICKS) -> DataFrame:
+    """(keys, tick_us, last): for every tick from the session's first to its last the value of the newest row at or before it, null before the first.
+
+    Every row fills the ticks up to the next one, so no session's ticks meet in one
+    row; a gap of ``most`` ticks or more is an error.
+    """
+    session = Window.partitionBy(*keys)
+    w = session.orderBy(time, *order)
+    at = F.col("__at")
+    rows = df.select(*keys, F.col(time).cast("bigint").alias("__at"), F.col(value).alias("__v"), F.lead(time).over(w).alias("__next"), F.lag(time).over(w).isNull().alias("__first"))
+    from_ = (bucket_of(at + (tick_us - 1), tick_us) * tick_us).alias("from")
+    until = F.when(F.col("__next").isNull(), bucket_of(at, tick_us)).otherwise(bucket_of(F.col("__next") - 1, tick_us)) * tick_us
+    own = F.transform(_ticks(from_, until, tick_us, most), lambda t: F.struct(t.alias("tick_us"), F.col("__v").alias("last")))
+    # The session's first tick, if it lies before the first row.
+    before = F.when(F.col("__first") & (from_ > at), F.array(F.struct((from_ - tick_us).alias("tick_us"), F.lit(None).cast(dict(df.dtypes)[value]).alias("last")))).otherwise(F.array().cast(f"array<struct<tick_us:bigint,last:{dict(df.dtypes)[value]}>>"))
+    return rows.select(*keys, F.explode(F.concat(before, own)).alias("t")).select(*keys, "t.tick_us", "t.last")
+
+
+def polls(df: DataFrame, period_us: int, keys: list[str], order: list[str], columns: list[str], time: str = "ts_us", most: int = MAX_GAP_TICKS) -> DataFrame:
+    """(keys, poll_us, got, drained, columns): what a poll at the end of every period finds, the newest row of the period or none."""
+    found = drain_latest(df, bucket_of(F.col(time), period_us) + 1, keys, order, columns)
+    following = F.lead("wakeup").over(Window.partitionBy(*keys).orderBy("wakeup"))
+    told = found.withColumn("__next", F.coalesce(following, F.col("wakeup") + 1))
+    spread = told.withColumn("__poll", F.explode(_ticks(F.col("wakeup"), F.col("__next") - 1, 1, most)))
+    got = F.col("__poll") == F.col("wakeup")
+    return spread.select(*keys, (F.col("__poll") * period_us).alias("poll_us"), got.alias("got"), F.when(got, F.col("drained")).otherwise(0).alias("drained"), *(F.when(got, F.col(c)).alias(c) for c in columns))
 
 
 def completion_times(df: DataFrame, arrival: str, service: str, keys: list[str], order: list[str]) -> DataFrame:
@@ -56,11 +87,12 @@ def completion_times(df: DataFrame, arrival: str, service: str, keys: list[str],
     return summed.withColumn("done", done).withColumn("waited", F.col("done") - F.col(service) - F.col(arrival)).drop("__s")
 
 
-def folded(df: DataFrame, keys: list[str], order: list[str], carried: list[str], columns: list[str], begin, step, kind: str) -> DataFrame:
-    """Rows in session order through a state machine, streamed: a task holds one batch and one state, however long a session is.
+def folded(df: DataFrame, keys: list[str], order: list[str], carried: list[str], columns: list[str], scan: Callable, kind: str) -> DataFrame:
+    """Rows in session order through a path-dependent scan, streamed: a task holds one batch and one state, however long a session is.
 
-    ``begin()`` gives a session's state; ``step(state, row values of carried)``
-    returns the new columns.
+    ``scan(state, begins, *arrays of carried)`` gets a batch, where sessions begin in
+    it and what it returned for the batch before (None at first), and returns the new
+    columns as arrays and its state. Only the columns that are asked for go to Python.
     """
     whole = df.select(*dict.fromkeys([*keys, *order, *carried, *columns])).repartition(*keys).sortWithinPartitions(*keys, *order)
     names, n_keys = whole.columns, len(keys)
@@ -69,31 +101,106 @@ def folded(df: DataFrame, keys: list[str], order: list[str], carried: list[str],
     added = [part.strip().split(" ")[0] for part in kind.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, state = object(), None
+        session, state = None, None
         for batch in batches:
-            ids = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True))
-            values = zip(*(batch.column(i).to_pylist() for i in at), strict=True)
-            out = []
-            for own, row in zip(ids, values, strict=True):
-                if own != session:
-                    session, state = own, begin()
-                out.append(step(state, *row))
-            new = list(zip(*out, strict=True)) if out else [()] * len(added)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in new)], [*names, *added])
+            if not batch.num_rows:
+                continue
+            begins = np.zeros(batch.num_rows, bool)
+            for i in range(n_keys):
+                told = batch.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                begins[1:] |= told[1:] != told[:-1]
+            begins[0] = session != [batch.column(i)[0].as_py() for i in range(n_keys)]
+            session = [batch.column(i)[-1].as_py() for i in range(n_keys)]
+            new, state = scan(state, begins, *(batch.column(i) for i in at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, new)], [*names, *added])
 
     return whole.mapInArrow(run, schema)
 
 
+def clamped_sums(add: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Running values x = min(max(x + add, low), high), the first of them from a constant (low = high).
+
+    Such steps compose to steps of the same form, so all prefixes come from a few
+    passes, each of which joins every step with that of the last pass before it.
+    """
+    a, lo, hi = add.copy(), low.copy(), high.copy()
+    reach = 1
+    while reach < len(a):
+        a2, lo2, hi2 = a[reach:], lo[reach:], hi[reach:]
+        new_lo, new_hi = (np.minimum(np.maximum(x[:-reach] + a2, lo2), hi2) for x in (lo, hi))
+        a[reach:], lo[reach:], hi[reach:] = a[:-reach] + a2, new_lo, new_hi
+        reach *= 2
+    return lo
+
+
+def queue_steps(held: int, before: int, begins: np.ndarray, push: np.ndarray, pop: np.ndarray, clear: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each operation succeeds on a ring that holds so many, and its occupancy then; ``before`` is that before the first, unless a session begins."""
+    add = push.astype(np.int64) - pop
+    low, high = np.zeros(len(add), np.int64), np.full(len(add), held, np.int64)
+    fixed = begins.copy()
+    fixed[0] = True
+    start = np.zeros(len(add), np.int64)
+    start[0] = 0 if begins[0] else before
+    low[fixed] = high[fixed] = np.clip(start + add, 0, held)[fixed]
+    add[fixed] = 0
+    add[clear], low[clear], high[clear] = 0, 0, 0
+    occupancy = clamped_sums(add, low, high)
+    earlier = np.where(fixed, start, np.append(0, occupancy[:-1]))
+    return np.where(push, earlier < held, np.where(pop, earlier > 0, clear)), occupancy
+
+
 def bounded_queue(ops: DataFrame, capacity: int, keys: list[str], order: list[str], op: str = "op") -> DataFrame:
-    """Adds ``ok`` and ``occupancy`` after each push or pop of a ring that holds one less than its capacity, drops the newest when full, and starts empty in every session."""
+    """Adds ``ok`` and ``occupancy`` after each operation on a ring that holds one less than its capacity and starts empty in every session.
+
+    ``push`` drops the newest when the ring is full, ``pop`` fails when it is empty;
+    ``clear`` and ``attach`` (a producer that comes back) empty it and always succeed;
+    anything else, null too, leaves it as it is and does not succeed.
+    """
     held = capacity - 1
 
-    def step(state: list, what):
-        ok = state[0] < held if what == "push" else state[0] > 0
-        state[0] += (1 if what == "push" else -1) if ok else 0
-        return ok, state[0]
+    def scan(state, begins, what):
+        one = lambda *names: pc.is_in(what, pa.array(names)).to_numpy(zero_copy_only=False)
+        ok, occupancy = queue_steps(held, state or 0, begins, one("push"), one("pop"), one("clear", "attach"))
+        return (ok, occupancy), int(occupancy[-1])
+
+    return folded(ops, keys, order, [op], [], scan, "ok boolean, occupancy bigint")
+
+
+def segments(begins: np.ndarray) -> list[tuple[int, int]]:
+    """Where the sessions of a batch begin and end."""
+    cuts = np.unique(np.concatenate([[0], np.flatnonzero(begins), [len(begins)]])).tolist()
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def coalesced_wakeups(df: DataFrame, busy_us: int, timeout_us: int, keys: list[str], order: list[str], time: str = "ts_us") -> DataFrame:
+    """Adds ``wakeup_no``, ``wakeup_us`` and ``timeouts``: which wake-up of a waiting consumer takes each signal.
+
+    A wake-up takes all signals that are there and keeps the consumer busy for
+    ``busy_us``; signals meanwhile collapse into the next one, which follows at once.
+    Without any the consumer waits, and ``timeouts`` counts the waits of ``timeout_us``
+    that ended empty before the wake-up. ``order`` has to begin with ``time``.
+    """
 
-    return folded(ops, keys, order, [op], [], lambda: [0], step, "ok boolean, occupancy bigint")
+    def scan(state, begins, when):
+        t = when.to_numpy(zero_copy_only=False).astype(np.int64)
+        number, at, empty = (np.zeros(len(t), np.int64) for _ in range(3))
+        for a, b in segments(begins):
+            if begins[a]:
+                no, now, waits, i = 0, int(t[a]), 0, a
+            else:
+                (no, now, waits), i = state, a
+            while i < b:
+                if t[i] > now:
+                    free = now + busy_us
+                    waits = max(0, (int(t[i]) - free) // timeout_us)
+                    no, now = no + 1, max(int(t[i]), free)
+                j = i + int(np.searchsorted(t[i:b], now, side="right"))
+                number[i:j], at[i:j], empty[i:j] = no, now, waits
+                i = j
+            state = no, now, waits
+        return (number, at, empty), state
+
+    return folded(df, keys, order, [time], [], scan, "wakeup_no bigint, wakeup_us bigint, timeouts bigint")
 
 
 def pushed_frames(df: DataFrame, wakeup: Column, interval_us: int, keys: list[str], order: list[str], columns: list[str], time: str = "ts_us") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import fixed, interval_class, is_spike, severity, verdict
-from cadenza.schema import WORST_GAPS
+from cadenza.schema import CHART_BOTTOM, CHART_HEIGHT, CHART_LEFT, CHART_MIN_WIDTH, CHART_RIGHT, CHART_STEP, CHART_TOP, WORST_GAPS
 
 
 def implied_rate(mean_ms: Column, rate_unit_ms: int) -> Column:
@@ -63,6 +63,17 @@ def chart_scale(summary: DataFrame, keys: list[str]) -> DataFrame:
     return summary.select(*keys, F.greatest(F.col("max_ms").cast("double"), F.coalesce(F.col("target_ms") * 1.5, F.lit(0.0))).alias("scale_ms"))
 
 
+def chart_points(rows: DataFrame, summary: DataFrame, keys: list[str], interval: str = "interval_ms", index: str = "frame_index") -> DataFrame:
+    """Adds ``x`` and ``y``, where a linear chart draws each interval after the first of its session; the chart is as wide as the session is long."""
+    scale = chart_scale(summary, keys).join(summary.select(*keys, "n"), keys)
+    told = rows.filter(F.col(index) > 0).join(scale, keys)
+    width = F.greatest(F.lit(CHART_MIN_WIDTH), F.col("n") * CHART_STEP) - CHART_LEFT - CHART_RIGHT
+    height = CHART_HEIGHT - CHART_TOP - CHART_BOTTOM
+    x = F.lit(CHART_LEFT) + F.try_divide((F.col(index) - 1).cast("double"), F.col("n") - 1) * width
+    y = F.lit(CHART_TOP + height) - F.try_divide(F.col(interval).cast("double"), F.col("scale_ms")) * height
+    return told.withColumns({"x": x, "y": y}).drop("scale_ms", "n")
+
+
 def format_summary(summary: DataFrame, keys: list[str]) -> DataFrame:
     """The summary as texts, with the verdict."""
     return summary.select(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import bucket_of, is_slow_write, rounded_rate
-from cadenza.operators.flow import folded
+from cadenza.operators.flow import folded, segments
 from cadenza.schema import SLOW_WRITE_MS
 
 
@@ -20,20 +22,29 @@ def restarted_windows(df: DataFrame, window_us: int, keys: list[str], order: lis
     """Rows with ``window_no``, ``start_us`` and ``closes``: a window ends with the first row at least ``window_us`` after its start, and the next one starts there.
 
     The first row of a session starts its first window and is not in it (``window_no``
-    null); rows after the last end are in an open window.
+    null); rows after the last end are in an open window. ``order`` has to begin with
+    ``time``: the next end is found by binary search.
     """
 
-    def step(state: list, now):
-        if state[0] is None:
-            state[0] = now
-            return None, now, False
-        no, start = state[1], state[0]
-        closes = now - start >= window_us
-        if closes:
-            state[0], state[1] = now, no + 1
-        return no, start, closes
-
-    return folded(df, keys, order, [time], columns, lambda: [None, 0], step, "window_no bigint, start_us bigint, closes boolean")
+    def scan(state, begins, when):
+        t = when.to_numpy(zero_copy_only=False).astype(np.int64)
+        number, start, closes = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64), np.zeros(len(t), bool)
+        for a, b in segments(begins):
+            if begins[a]:
+                (begun, no), i = (int(t[a]), 0), a + 1
+                start[a] = begun
+            else:
+                (begun, no), i = state, a
+            while i < b:
+                j = i + int(np.searchsorted(t[i:b], begun + window_us))
+                number[i : j + 1], start[i : j + 1] = no, begun
+                if j < b:
+                    closes[j], begun, no = True, int(t[j]), no + 1
+                i = j + 1
+            state = begun, no
+        return (pa.array(number, mask=begins), start, closes), state
+
+    return folded(df, keys, order, [time], columns, scan, "window_no bigint, start_us bigint, closes boolean")
 
 
 def live_rate_greedy(df: DataFrame, window_us: int, keys: list[str], order: list[str], unit_us: int = 1_000_000, time: str = "ts_us") -> DataFrame:

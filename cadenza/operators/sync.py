@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import silenced_frames
+from cadenza.operators.ordering import sessionize
 
 
 def first_anchor(df: DataFrame, keys: list[str], counts: Column, time: str = "ts_us", name: str = "anchor_us") -> DataFrame:
@@ -19,6 +20,24 @@ def session_rate(df: DataFrame, keys: list[str], default: float, unit_us: int =
     return df.groupBy(*keys).agg(F.count("*").alias("n"), elapsed.alias("elapsed")).withColumn("rate", F.coalesce(F.try_divide(F.col("n"), F.col("elapsed")), F.lit(default)))
 
 
+def recording_rates(df: DataFrame, is_toggle: Column, keys: list[str], order: list[str], default: float, unit_us: int = 1_000_000, time: str = "ts_us") -> DataFrame:
+    """(keys, recording_no, started_us, stopped_us, n, elapsed, rate) of every recording that was stopped.
+
+    A toggle starts a recording and the next one stops it; elapsed time runs from start
+    to stop, not from the first row to the last, and toggles are no frames.
+    """
+    told = sessionize(df.withColumn("__toggle", F.coalesce(is_toggle, F.lit(False))), F.col("__toggle"), keys, order)
+    number = F.floor((F.col("toggles") + 1) / 2).cast("bigint")
+    rows = told.filter(F.col("recording") | (F.col("__toggle") & (F.col("toggles") > 0))).withColumn("recording_no", number)
+    whole = rows.groupBy(*keys, "recording_no").agg(
+        F.min(F.when(F.col("__toggle") & F.col("recording"), F.col(time))).alias("started_us"),
+        F.max(F.when(F.col("__toggle") & ~F.col("recording"), F.col(time))).alias("stopped_us"),
+        F.count_if(~F.col("__toggle")).alias("n"),
+    )
+    elapsed = (F.col("stopped_us") - F.col("started_us")) / F.lit(float(unit_us))
+    return whole.filter("stopped_us IS NOT NULL").withColumn("elapsed", elapsed).withColumn("rate", F.coalesce(F.try_divide(F.col("n"), F.col("elapsed")), F.lit(default)))
+
+
 def sync_offsets(video: DataFrame, tracks: DataFrame, keys: list[str], stream: str = "stream", unit_us: int = 1_000_000) -> DataFrame:
     """(keys, stream, raw_s, track_s, video_s): delays, none negative, that put all streams on one clock.
 

@@ -6,13 +6,16 @@ values are stage durations, event types are operations, toggles and streams.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions import binary
 from cadenza.functions import scalars as S
 from cadenza.operators import flow, joins, ordering, pacing, rates, sync
-from cadenza.schema import FORMATS, FPS_DEFAULT, IPC_SLOTS, MAX_FRAME_BYTES, QUEUE_SECONDS
-from cadenza.sources import timing_log
+from cadenza.schema import FORMATS, FPS_DEFAULT, IPC_SLOTS, MAX_FRAME_BYTES, PROTOCOL_VERSION, QUEUE_SECONDS
+from cadenza.sources import commit, timing_log
 
 # Units of the queries: an hour for rates (a week for one user's), five minutes for schedules, an hour for ticks, a day for windows.
 UNIT_MS, USER_UNIT_MS = 3_600_000, 604_800_000
@@ -231,8 +234,127 @@ def parameters(spark, sf: str) -> DataFrame:
     )
 
 
+def recording_rates(spark, sf: str) -> DataFrame:
+    return _rounded(sync.recording_rates(events(spark, sf), F.col("event_type") == "signup", USER, ORDER, 30.0, HOUR_US), elapsed=4, rate=6)
+
+
+def coalesced_wakeups(spark, sf: str) -> DataFrame:
+    return flow.coalesced_wakeups(events(spark, sf), DAY_US, 6 * HOUR_US, USER, ORDER).select("event_id", "user_id", "wakeup_no", "wakeup_us", "timeouts")
+
+
+def frame_polls(spark, sf: str) -> DataFrame:
+    return flow.polls(events(spark, sf), DAY_US, USER, ORDER, ["event_id", "value"])
+
+
+def cleared_queue(spark, sf: str) -> DataFrame:
+    """A queue that some operations empty."""
+    ops = events(spark, sf).withColumn("op", F.when(F.col("event_type") == "view", "pop").when(F.col("event_type") == "signup", "clear").otherwise("push"))
+    return flow.bounded_queue(ops, 6, USER, ORDER).select("event_id", "op", "ok", "occupancy", (F.col("occupancy") == 0).alias("is_empty"))
+
+
+def chart_points(spark, sf: str) -> DataFrame:
+    rows = _by_user(spark, sf)
+    return _rounded(pacing.chart_points(rows, pacing.pacing_summary(rows, USER, USER_UNIT_MS), USER), x=4, y=4).select("event_id", "user_id", "x", "y")
+
+
+def epoch_stamps(spark, sf: str) -> DataFrame:
+    """The stamp of every session's file, and how many sessions have the same."""
+    raw = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.min("ts").alias("ts"))
+    return raw.groupBy(S.epoch_seconds(F.col("ts")).alias("stamp")).agg(F.count("*").alias("sessions"))
+
+
+def arguments(spark, sf: str) -> DataFrame:
+    """Command lines with flags and values, some of them missing."""
+    e = events(spark, sf).select("event_id")
+    n = F.col("event_id")
+    parts = F.filter(
+        F.array(F.lit("rec"), F.when(n % 2 == 0, "--fps"), F.when(n % 6 == 0, (n % 300 - 20).cast("string")), F.when(n % 3 == 0, "--mic"), F.when(n % 5 == 0, "--inject"), F.when(n % 10 == 0, (n * 7).cast("string")), F.when(n % 7 == 0, "--list-processes")),
+        lambda x: x.isNotNull(),
+    )
+    return e.select(
+        "event_id",
+        S.effective_fps(S.argument_of(parts, "--fps")).cast("bigint").alias("fps"),
+        S.target_pid(parts).cast("bigint").alias("pid"),
+        S.has_flag(parts, "--mic").alias("mic"),
+        S.has_flag(parts, "--list-processes").alias("lists"),
+    )
+
+
+def _stages(spark, sf: str) -> DataFrame:
+    """Six durations of a capture iteration; they are whole numbers, so that means are exact."""
+    v = F.floor(F.col("value") * 100)
+    return events(spark, sf).select("event_id", "user_id", "event_type", "ts_us", *((F.floor(v / k)).cast("double").alias(c) for k, c in enumerate(CAPTURE_STAGES, 1)))
+
+
+def capture_stage_means(spark, sf: str) -> DataFrame:
+    """All six stages of recording iterations, over windows that the iterations restart."""
+    recording = _stages(spark, sf).filter("event_type <> 'view'")
+    told = rates.closed_stage_means(recording, DAY_US, USER, ORDER, list(CAPTURE_STAGES))
+    return _rounded(told, **{f"avg_{c}": 4 for c in CAPTURE_STAGES}).select("user_id", "window_no", "n", *(f"avg_{c}" for c in CAPTURE_STAGES))
+
+
+def present_stage_means(spark, sf: str) -> DataFrame:
+    """All seven stages of a presented frame from its marks, by window, and the frames that were still drawing."""
+    marks = ["t0", *(f"t{k}" for k in range(1, 7))]
+    timed = events(spark, sf).select("event_id", "ts_us", (F.col("event_id") % 5 == 0).alias("still_drawing"), *((F.col("ts_us") + F.floor(F.col("value") * (k * k)).cast("bigint")).alias(m) for k, m in enumerate(marks)))
+    deltas = ordering.stage_deltas(timed, marks)
+    names = [f"d_t{k}" for k in range(1, 7)] + ["d_total"]
+    told = rates.stage_means(deltas, S.bucket_of(F.col("ts_us"), DAY_US), [], ORDER, names, F.col("still_drawing"))
+    return _rounded(told, **{f"avg_{c}": 4 for c in names}).select("window", "n", "n_counted", *(f"avg_{c}" for c in names))
+
+
+def committed_table(spark, sf: str) -> DataFrame:
+    """A table that is written, read, and replaced by what was read from it."""
+    path = f"{commit.shared_folder(spark)}/committed-{uuid.uuid4().hex}"
+    commit.replace_parquet(events(spark, sf).select("event_id", "event_type", "value"), path)
+    commit.replace_parquet(spark.read.parquet(path).filter("event_type = 'purchase'"), path)
+    return spark.read.parquet(path).select("event_id", "value")
+
+
+def source_fallback(spark, sf: str) -> DataFrame:
+    """The first source isn't there, so the second one counts."""
+    return timing_log.first_available(lambda: spark.read.parquet(f"{sf}/no_such_table.parquet"), lambda: events(spark, sf)).select("event_id", "value")
+
+
+def version_gate(spark, sf: str) -> DataFrame:
+    rows = events(spark, sf).select("event_id", F.lit(PROTOCOL_VERSION).alias("version"))
+    return timing_log.require_version(rows, F.col("version")).select("event_id")
+
+
+def pixels(spark, sf: str) -> DataFrame:
+    """Two rows of one pixel and two bytes of padding, as hexadecimal text."""
+    e = events(spark, sf).select("event_id", F.lpad(F.hex(F.col("event_id")), 8, "0").alias("x"))
+    data = F.unhex(F.concat("x", F.lit("AAAA"), F.reverse("x"), F.lit("BBBB")))
+    return e.select("event_id", F.hex(binary.normalize_pixels(data, F.lit(1), F.lit(2), F.lit(6), F.col("event_id") % 2 == 0)).alias("pixels"))
+
+
+def wav_headers(spark, sf: str) -> DataFrame:
+    """Headers of sounds of several formats, decoded."""
+    made = [(k, binary.wav_header(k % 2 == 1, 1 + k % 2, 48_000, 16 * (1 + k % 2), 1000 * k)) for k in range(6)]
+    table = spark.createDataFrame(made, "k bigint, header binary")
+    w = binary.decoded_wav_header(F.col("header"))
+    return events(spark, sf).select("event_id", (F.col("event_id") % 6).alias("k")).join(F.broadcast(table), "k").select("event_id", w["format"].alias("format"), w["channels"].alias("channels"), w["byte_rate"].alias("byte_rate"), w["block_align"].alias("block_align"), w["bits"].alias("bits"), w["riff_size"].alias("riff_size"), w["data_size"].alias("data_size"))
+
+
+CAPTURE_STAGES = ("capture_ms", "cache_ms", "push_ms", "requested_sleep_ms", "actual_sleep_ms", "total_ms")
+
+
 def queries() -> dict:
     return {
+        "recording_rates": recording_rates,
+        "coalesced_wakeups": coalesced_wakeups,
+        "frame_polls": frame_polls,
+        "cleared_queue": cleared_queue,
+        "chart_points": chart_points,
+        "epoch_stamps": epoch_stamps,
+        "arguments": arguments,
+        "capture_stage_means": capture_stage_means,
+        "present_stage_means": present_stage_means,
+        "committed_table": committed_table,
+        "source_fallback": source_fallback,
+        "version_gate": version_gate,
+        "pixels": pixels,
+        "wav_headers": wav_headers,
         "pacing_summary": pacing_summary,
         "pacing_summary_by_user": pacing_summary_by_user,
         "interval_classes": interval_classes,
@@ -304,9 +426,42 @@ w AS (SELECT user_id, i, ts_us, event_id, value, NULL::BIGINT AS no, ts_us AS ne
   FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)"""
 
 
+_CLEARED = """o AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'pop' WHEN 'signup' THEN 'clear' ELSE 'push' END AS op, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS i FROM e),
+q AS (SELECT user_id, event_id, op, i, op <> 'pop' AS ok, (op = 'push')::BIGINT AS occupancy FROM o WHERE i = 1 UNION ALL
+  SELECT o.user_id, o.event_id, o.op, o.i, CASE o.op WHEN 'push' THEN q.occupancy < 5 WHEN 'pop' THEN q.occupancy > 0 ELSE true END,
+    CASE o.op WHEN 'push' THEN least(q.occupancy + 1, 5) WHEN 'pop' THEN greatest(q.occupancy - 1, 0) ELSE 0 END
+  FROM q JOIN o ON o.user_id = q.user_id AND o.i = q.i + 1)"""
+
+
+def _waits() -> str:
+    later = "o.ts_us > w.wakeup_us"
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS i FROM e),
+w AS (SELECT user_id, i, event_id, 0::BIGINT AS wakeup_no, ts_us AS wakeup_us, 0::BIGINT AS timeouts FROM o WHERE i = 1 UNION ALL
+  SELECT o.user_id, o.i, o.event_id, w.wakeup_no + ({later})::BIGINT, CASE WHEN {later} THEN greatest(o.ts_us, w.wakeup_us + {DAY_US}) ELSE w.wakeup_us END,
+    CASE WHEN {later} THEN greatest(0, (o.ts_us - w.wakeup_us - {DAY_US}) // {6 * HOUR_US}) ELSE w.timeouts END
+  FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     day, hour = DAY_US, HOUR_US
+    stages = ", ".join(f"floor(floor(value * 100) / {k}) AS {c}" for k, c in enumerate(CAPTURE_STAGES, 1))
+    marks = ", ".join(f"floor(value * {k * k})::BIGINT - floor(value * {(k - 1) ** 2})::BIGINT AS d_t{k}" for k in range(1, 7))
+    deltas = [f"d_t{k}" for k in range(1, 7)] + ["d_total"]
     return {
+        "recording_rates": f"WITH {_E}, t AS (SELECT *, event_type = 'signup' AS toggle, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts_us, event_id)::BIGINT AS toggles FROM e), r AS (SELECT user_id, (toggles + 1) // 2 AS recording_no, min(ts_us) FILTER (toggle AND toggles % 2 = 1) AS started_us, max(ts_us) FILTER (toggle AND toggles % 2 = 0) AS stopped_us, count(*) FILTER (NOT toggle) AS n FROM t WHERE toggles % 2 = 1 OR (toggle AND toggles > 0) GROUP BY 1, 2) SELECT user_id, recording_no, started_us, stopped_us, n, round((stopped_us - started_us) / {hour}.0::DOUBLE, 4) AS elapsed, round(CASE WHEN stopped_us > started_us THEN n / ((stopped_us - started_us) / {hour}.0::DOUBLE) ELSE 30 END, 6) AS rate FROM r WHERE stopped_us IS NOT NULL",
+        "coalesced_wakeups": f"WITH RECURSIVE {_E}, {_waits()} SELECT event_id, user_id, wakeup_no, wakeup_us, timeouts FROM w",
+        "frame_polls": f"WITH {_E}, d AS (SELECT user_id, ts_us // {day} + 1 AS wakeup, count(*) AS drained, arg_max(event_id, (ts_us, event_id)) AS event_id, arg_max(value, (ts_us, event_id)) AS value FROM e GROUP BY 1, 2), t AS (SELECT user_id, unnest(generate_series(min(wakeup), max(wakeup))) AS wakeup FROM d GROUP BY user_id) SELECT t.user_id, t.wakeup * {day} AS poll_us, d.user_id IS NOT NULL AS got, coalesce(drained, 0) AS drained, event_id, value FROM t LEFT JOIN d ON d.user_id = t.user_id AND d.wakeup = t.wakeup",
+        "cleared_queue": f"WITH RECURSIVE {_E}, {_CLEARED} SELECT event_id, op, ok, occupancy, occupancy = 0 AS is_empty FROM q",
+        "chart_points": f"WITH {_U}, {_summary('user_id')} SELECT event_id, user_id, round(50 + (frame_index - 1)::DOUBLE / (n - 1) * (greatest(700, n * 4) - 66), 4) AS x, round(192 - interval_ms / greatest(max_ms, coalesce(target_ms * 1.5, 0)) * 180, 4) AS y FROM g JOIN s USING (user_id) WHERE frame_index > 0",
+        "epoch_stamps": f"WITH {_E} SELECT stamp, count(*) AS sessions FROM (SELECT user_id, min(ts_us) // 1000000 AS stamp FROM e GROUP BY user_id) GROUP BY stamp",
+        "arguments": "SELECT event_id, CASE WHEN event_id % 6 = 0 AND event_id % 300 - 20 > 0 THEN least(240, event_id % 300 - 20) ELSE 30 END AS fps, CASE WHEN event_id % 10 = 0 THEN event_id * 7 ELSE 0 END AS pid, event_id % 3 = 0 AS mic, event_id % 7 = 0 AS lists FROM events",
+        "capture_stage_means": f"WITH RECURSIVE {_E}, c AS (SELECT * FROM e WHERE event_type <> 'view'), {_RESTARTED.replace('FROM e)', 'FROM c)')}, v AS (SELECT *, {stages} FROM w) SELECT user_id, no AS window_no, count(*) AS n, {', '.join(f'round(avg({c}), 4) AS avg_{c}' for c in CAPTURE_STAGES)} FROM v WHERE no IS NOT NULL GROUP BY user_id, no HAVING bool_or(closes)",
+        "present_stage_means": f"WITH {_E}, m AS (SELECT ts_us, event_id % 5 = 0 AS still, {marks}, floor(value * 36)::BIGINT AS d_total FROM e) SELECT ts_us // {day} AS \"window\", count(*) AS n, count(*) FILTER (still) AS n_counted, {', '.join(f'round(avg({c}), 4) AS avg_{c}' for c in deltas)} FROM m GROUP BY 1",
+        "committed_table": "SELECT event_id, value FROM events WHERE event_type = 'purchase'",
+        "source_fallback": "SELECT event_id, value FROM events",
+        "version_gate": "SELECT event_id FROM events",
+        "pixels": "WITH x AS (SELECT event_id, lpad(printf('%X', event_id), 8, '0') AS a, reverse(lpad(printf('%X', event_id), 8, '0')) AS b FROM events) SELECT event_id, CASE WHEN event_id % 2 = 0 THEN a[5:6] || a[3:4] || a[1:2] || a[7:8] || b[5:6] || b[3:4] || b[1:2] || b[7:8] ELSE a || b END AS pixels FROM x",
+        "wav_headers": "WITH x AS (SELECT event_id, event_id % 6 AS k FROM events) SELECT event_id, CASE WHEN k % 2 = 1 THEN 3 ELSE 1 END::BIGINT AS format, 1 + k % 2 AS channels, 48000 * (1 + k % 2) * 2 * (1 + k % 2) AS byte_rate, (1 + k % 2) * 2 * (1 + k % 2) AS block_align, 16 * (1 + k % 2) AS bits, 36 + 1000 * k AS riff_size, 1000 * k AS data_size FROM x",
         "pacing_summary": f"WITH {_G}, {_summary('')} SELECT {_SUMMARY_COLUMNS} FROM s",
         "pacing_summary_by_user": f"WITH {_U}, {_summary('user_id')} SELECT user_id, {_SUMMARY_COLUMNS} FROM s",
         "interval_classes": f"WITH {_U}, {_summary('user_id')} SELECT event_id, user_id, interval_ms, round(interval_ms / target_ms, 6) AS ratio, {_CLASS} AS class, coalesce(interval_ms / target_ms > 1.5, false) AS is_spike FROM g JOIN s USING (user_id) WHERE frame_index > 0",

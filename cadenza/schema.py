@@ -14,6 +14,9 @@ CLASS_WARN, CLASS_CRIT = 1.15, 1.5
 WORST_GAPS, AXIS_LABELS = 25, 8
 SILENT_FLAG = 2
 PROTOCOL_VERSION = 2
+# A chart's height, paddings, least width, and width by frame.
+CHART_HEIGHT, CHART_LEFT, CHART_RIGHT, CHART_TOP, CHART_BOTTOM = 220, 50, 16, 12, 28
+CHART_MIN_WIDTH, CHART_STEP = 700, 4
 # Pixel formats that a producer accepts.
 FORMATS = ("B8G8R8A8_UNORM", "B8G8R8A8_UNORM_SRGB", "R8G8B8A8_UNORM", "R8G8B8A8_UNORM_SRGB")
 
