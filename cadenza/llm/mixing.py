@@ -33,35 +33,50 @@ def hash60(value: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
+#: Sources up to this number are put in order by one task; more by ranges, one task each.
+MAX_ORDERED_SOURCES = 100_000
+
+
+def _before(rows: DataFrame, order: list[Column], sums: list[str], ranged: bool) -> DataFrame:
+    """Adds ``rank`` from 0 and ``before_<sum>``: how many rows, and how much, come before each in the order."""
+    if not ranged:
+        rows, offsets = rows.withColumn("__range", F.lit(0)), None
+    else:
+        rows = checkpointed(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+        # One row a range.
+        earlier = Window.partitionBy(F.lit(0)).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+        whole = rows.groupBy(F.col("__range").alias("r")).agg(F.count("*").alias("o_rank"), *(F.sum(c).alias(f"o_{c}") for c in sums))
+        offsets = whole.select("r", *(F.coalesce(F.sum(f"o_{c}").over(earlier), F.lit(0)).alias(f"o_{c}") for c in ("rank", *sums)))
+        rows = rows.join(F.broadcast(offsets), F.col("__range") == F.col("r"))
+    inside = Window.partitionBy("__range").orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    offset = lambda c: F.col(f"o_{c}") if offsets is not None else F.lit(0)
+    told = {"rank": F.row_number().over(inside) - 1 + offset("rank")} | {f"before_{c}": F.coalesce(F.sum(c).over(earlier), F.lit(0)) + offset(c) for c in sums}
+    return rows.withColumns(told).drop("__range", "r", *(f"o_{c}" for c in ("rank", *sums)))
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) from (source, source_size): one row per source.
 
     Sources weigh 3, 1, 2 in turn, by code point with null last, and share 150 %
     of all sizes. A target stops at twice its source's size and the excess goes to
     the others by weight: water-filling, solved in one pass over the sources in
-    the order in which they fill up. It runs over one row per source.
+    the order in which they fill up.
     """
-    everything = Window.partitionBy(F.lit(0))
-    ranked = sizes.withColumn("rank", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weighed = ranked.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("bigint"))
-    filling = everything.orderBy((F.col("source_size") / F.col("w")).asc(), F.col("rank").asc())
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    solved = weighed.withColumns(
-        {
-            "all": F.sum("source_size").over(everything),
-            "full": F.coalesce(F.sum("source_size").over(before), F.lit(0)) * CEILING,
-            "open_w": F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)),
-        }
-    )
-    # This source's share if all before it in filling order are full: it, and all after it, stay open from the first that isn't above its ceiling.
-    left = F.col("all") * SHARE_NUM - F.col("full") * SHARE_DEN
-    fits = left * F.col("w") <= F.col("source_size") * CEILING * SHARE_DEN * F.col("open_w")
-    first = F.min(F.when(fits, F.struct((F.col("source_size") / F.col("w")).alias("r"), F.col("rank").alias("rank"), left.alias("left"), F.col("open_w").alias("open_w")))).over(everything)
-    opened = solved.withColumn("fits", fits).withColumn("first", first)
-    own = F.struct((F.col("source_size") / F.col("w")).alias("r"), F.col("rank").alias("rank"))
-    is_open = F.col("first").isNotNull() & (own >= F.struct(F.col("first.r").alias("r"), F.col("first.rank").alias("rank")))
-    target = F.when(is_open, (F.col("w") * F.col("first.left")).cast("double") / (F.col("first.open_w") * SHARE_DEN)).otherwise(F.col("source_size").cast("double") * CEILING)
-    return opened.select("source", "source_size", target.alias("target"))
+    sizes = checkpointed(sizes)
+    ranged = not few(sizes, MAX_ORDERED_SOURCES)
+    ranked = _before(sizes, [F.col("source").asc_nulls_last()], [], ranged)
+    weighed = checkpointed(ranked.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("bigint")).withColumn("ratio", F.col("source_size") / F.col("w")).withColumnRenamed("rank", "place"))
+    whole = weighed.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    solved = checkpointed(_before(weighed, [F.col("ratio").asc(), F.col("place").asc()], ["source_size", "w"], ranged))
+    # A source's share if all before it in filling order are full: it, and all after it, stay open from the first that isn't above its ceiling.
+    left = F.lit((whole["size"] or 0) * SHARE_NUM) - F.col("before_source_size") * CEILING * SHARE_DEN
+    open_w = F.lit(whole["w"] or 0) - F.col("before_w")
+    fits = left * F.col("w") <= F.col("source_size") * CEILING * SHARE_DEN * open_w
+    first = solved.filter(fits).agg(F.min(F.struct("rank", left.alias("left"), open_w.alias("w"))).alias("f")).first()["f"]
+    full = F.col("source_size").cast("double") * CEILING
+    target = full if first is None else F.when(F.col("rank") >= first["rank"], (F.col("w") * F.lit(first["left"])).cast("double") / F.lit(first["w"] * SHARE_DEN)).otherwise(full)
+    return solved.select("source", "source_size", target.alias("target"))
 
 
 def _sizes(docs: DataFrame, doc_id: str, source: str, text: str, number: Column) -> DataFrame:

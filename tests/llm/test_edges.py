@@ -94,6 +94,26 @@ def test_mixing_splits_rows_that_are_alike(spark, monkeypatch):
     assert sorted((r["source"], len((r["text"] or "").split())) for r in out.collect()) == taken
 
 
+def test_targets_by_resharing(spark, monkeypatch):
+    """The contract's repeated resharing, with sources ordered by one task and by ranges."""
+    sizes = {"b": 10, "a": 1000, "Z": 0, "\u00e9": 33, "c": 7, None: 500, "d": 2, "aa": 90}
+    names = sorted((k for k in sizes if k is not None)) + [None]
+    weight = {k: (3, 1, 2)[i % 3] for i, k in enumerate(names)}
+    left, target, open_ = 1.5 * sum(sizes.values()), dict.fromkeys(names, 0.0), set(names)
+    while open_:
+        share = left / sum(weight[k] for k in open_)
+        over = {k for k in open_ if share * weight[k] > 2 * sizes[k]}
+        for k in over or open_:
+            target[k] = 2.0 * sizes[k] if over else share * weight[k]
+        left -= sum(target[k] for k in over)
+        open_ = open_ - over if over else set()
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    for most in (100_000, 1):
+        monkeypatch.setattr(mixing, "MAX_ORDERED_SOURCES", most)
+        got = {r["source"]: r["target"] for r in mixing.source_targets(frame).collect()}
+        assert got == {k: __import__("pytest").approx(v) for k, v in target.items()}
+
+
 def test_lm_takes_any_id(spark):
     rows = [("x", "a b"), ("x", "a c"), (None, "a b"), (None, None), ("y", "a b"), ("y", "a b")]
     got = lm_score.score_texts(spark.createDataFrame(rows, "doc_id string, text string")).collect()
@@ -165,6 +185,15 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_very_long_urls_and_pages(spark):
+    host = "a." * 3000 + "net"
+    pages = [(1, f"https://{host}/" + "p/" * 50_000, "<a href='//x.com/'>" * 20_000), (2, "https://x.com/" + "q" * 100_000 + "?#", None), (3, "https://x.com/", "y" * 500_000)]
+    rows = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert (rows[1]["rule"], rows[1]["verdict"], rows[1]["host"]) == ("net/", "block", host)
+    assert rows[2]["verdict"] == rows[3]["verdict"] == "allow"
+    assert len(rows[2]["path"]) == 100_001
+
+
 def test_chat(spark):
     part = lambda kind, text=None, ref=None, **k: (kind, text, ref, k.get("width"), k.get("height"), k.get("seconds"), k.get("pages"))
     turns = [

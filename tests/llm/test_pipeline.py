@@ -42,6 +42,25 @@ def test_stages(spark, tmp_path):
     assert abs(mixed - 1.5 * total) < 0.1 * total
 
 
+def test_stages_on_awkward_tables(spark, awkward, nothing):
+    """Every stage on nulls, repeats and clashing columns, and on an empty table; the very long text is left to the operators' own tests."""
+    rows = awkward.filter("doc_id IS NULL OR doc_id <> 8")
+    want = {
+        "quality rules": [0, 1, 1, 2],
+        "n-gram Jaccard join": [0, 1, 3, 4, 5, 6, 9, 10, 11],
+        "benchmark decontamination": [0, 0, 1, 1, 2, 3, 4, 5, 6, 7, 9, 10, 11],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == corpus_pipeline.STAGES[-1][0]
+        out = stage(spark, rows, SF)
+        assert out.columns == rows.columns + ["copy"] * last
+        kept = sorted(r["doc_id"] or 0 for r in out.collect())
+        if name in want:
+            assert kept == want[name]
+        empty = stage(spark, nothing, SF)
+        assert empty.columns == out.columns and empty.count() == 0
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0
