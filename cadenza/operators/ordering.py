@@ -32,25 +32,28 @@ def with_intervals(df: DataFrame, keys: list[str], order: list[str], time: str =
     return df.withColumns({index: (F.row_number().over(w) - 1).cast("bigint"), interval: F.coalesce(F.col(time) - F.lag(time).over(w), F.lit(0)).cast("bigint")})
 
 
-def with_global_intervals(df: DataFrame, order: list[str], time: str = "ts_ms", clock_us: str = "ts_us", bucket_us: int = MINUTE_US, index: str = "frame_index", interval: str = "interval_ms", rows: int = RANGE_ROWS) -> DataFrame:
+def with_global_intervals(df: DataFrame, order: list[str], time: str = "ts_ms", clock_us: str = "ts_us", bucket_us: int = MINUTE_US, index: str = "frame_index", interval: str = "interval_ms", rows: int = RANGE_ROWS, keys: list[str] | None = None) -> DataFrame:
     """As ``with_intervals`` for one global order that ``clock_us`` leads, without gathering all rows.
 
     ``time`` must not decrease along the order, as a coarser form of the clock does not.
     Rows are counted by bucket; consecutive buckets make ranges of about ``rows`` rows,
     however they lie in time, and rows are windowed by range. Only one row a bucket (its
-    count and its last time) is windowed globally and joined back.
+    count and its last time) is windowed globally and joined back. With ``keys``, which
+    must not be null, the same for every session: the form for sessions that are too
+    large for one task.
     """
+    keys = keys or []
     cut = df.withColumn("__bucket", bucket_of(F.col(clock_us), bucket_us))
-    buckets = cut.groupBy("__bucket").agg(F.count("*").alias("__n"), F.max(time).alias("__last"))
-    everything = Window.partitionBy(F.lit(0)).orderBy("__bucket")
+    buckets = cut.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"), F.max(time).alias("__last"))
+    everything = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__bucket")
     counted = buckets.withColumns({"__sum": F.coalesce(F.sum("__n").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__before": F.lag("__last").over(everything)})
     ranged = counted.withColumn("__range", F.floor(F.col("__sum") / F.lit(rows)))
-    own = in_order(["__range"], ["__bucket"])
-    placed = ranged.select("__bucket", "__range", F.first("__sum").over(own).alias("__offset"), F.first("__before").over(own).alias("__before"))
+    own = in_order([*keys, "__range"], ["__bucket"])
+    placed = ranged.select(*keys, "__bucket", "__range", F.first("__sum").over(own).alias("__offset"), F.first("__before").over(own).alias("__before"))
     few = placed.limit(MAX_BROADCAST_BUCKETS + 1).count() <= MAX_BROADCAST_BUCKETS
-    w = in_order(["__range"], order)
+    w = in_order([*keys, "__range"], order)
     return (
-        cut.join(F.broadcast(placed) if few else placed, "__bucket")
+        cut.join(F.broadcast(placed) if few else placed, [*keys, "__bucket"])
         .withColumns({index: (F.col("__offset") + F.row_number().over(w) - 1).cast("bigint"), interval: F.coalesce(F.col(time) - F.coalesce(F.lag(time).over(w), F.col("__before")), F.lit(0)).cast("bigint")})
         .drop("__bucket", "__range", "__offset", "__before")
     )

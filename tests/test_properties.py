@@ -123,6 +123,15 @@ def test_global_order_in_many_ranges(spark):
     assert [(r["frame_index"], r["interval_ms"]) for r in got] == [(i, t - times[i - 1] if i else 0) for i, t in enumerate(times)]
 
 
+def test_hot_sessions_in_many_ranges(spark):
+    rows = [r for r in traces(10, 3, 200)]
+    df = spark.createDataFrame([(s, i, t, t) for s, i, t, _, _ in rows], "session_id string, seq bigint, ts_us bigint, ts_ms bigint")
+    order = ["ts_us", "seq"]
+    got = ordering.with_global_intervals(df, order, bucket_us=10, rows=7, keys=["session_id"]).select(*df.columns, "frame_index", "interval_ms")
+    want = ordering.with_intervals(df, ["session_id"], order).select(*df.columns, "frame_index", "interval_ms")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_replacing_a_table(spark, tmp_path):
     path = str(tmp_path / "table")
     commit.replace_parquet(spark.range(5), path)
