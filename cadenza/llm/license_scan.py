@@ -38,6 +38,9 @@ TEMPLATES = (
     ("apache", "block", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
 )
 
+# Words of notices that any English text has; they come last in the order of the first look.
+COMMON = ("a", "above", "agreed", "all", "and", "any", "are", "as", "at", "be", "by", "can", "deal", "either", "following", "for", "form", "free", "in", "is", "it", "met", "modify", "notice", "of", "on", "option", "or", "person", "program", "rights", "same", "source", "subject", "terms", "that", "the", "this", "to", "under", "unless", "use", "with", "without", "work", "writing", "you", "your")
+
 #: Share of a template's words that a block must hold.
 CONTAINMENT = 0.8
 
@@ -75,14 +78,15 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
     # One pass over the texts: counts, phrase places, and blocks that are large enough for some template.
     known = lambda words: F.array_distinct(F.filter(words, lambda w: w.isin(vocabulary)))
-    lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), words_of)
-    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", "text", lines.alias("lines"))
-    gap = ALNUM_SEPARATOR
-    wordy = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    said = F.coalesce(F.col("text").rlike("(?i)(?<!" + wordy + ")(?:" + "|".join(gap.join(p.split()) for p in phrases) + ")(?!" + wordy + ")"), F.lit(False))
-    said = F.col("text").isNotNull() & said
-    placed = F.when(F.col("words").isNotNull(), F.flatten(F.array(*(_places(F.col("words"), p.split(), label) for p, label in phrases.items())))).otherwise(F.array().cast("array<struct<at:bigint,label:string>>"))
-    tokens = F.transform("lines", lambda x: F.struct(F.size(x).alias("size"), known(x).alias("tokens")))
+    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("words", words_of(F.col("text")))
+    # The prefix filter holds in any order: with one that is known beforehand, a text without any template's first words needs no blocks.
+    seldom = lambda w: (w in COMMON or w.isdigit(), -len(w), w)
+    firsts = sorted({w for _, _, _, words_, m, need in sets for w in sorted(words_, key=seldom)[: m - need + 1]})
+    holds = lambda some: F.arrays_overlap("words", F.array(*map(F.lit, some)).cast("array<string>"))
+    placed = F.when(holds(sorted({p.split()[0] for p in phrases})), F.flatten(F.array(*(_places(F.col("words"), p.split(), label) for p, label in phrases.items())))).otherwise(F.array().cast("array<struct<at:bigint,label:string>>"))
+    line_of = lambda x: F.struct(F.size(x).alias("size"), known(x).alias("tokens"))
+    lines = F.transform(F.split("text", "\n"), lambda x: line_of(words_of(x)))
+    tokens = F.when(holds(firsts), lines).otherwise(F.array().cast("array<struct<size:int,tokens:array<string>>>"))
 
     def run(i: Column, n: int) -> Column:
         """The distinct tokens of n lines from the i-th; of several, none if one of them is no wrapped line."""
@@ -107,14 +111,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     # A paragraph can only match if the whole text holds enough of the vocabulary.
     enough = F.size(F.array_distinct(F.flatten(F.transform("tokens", lambda x: x["tokens"])))) >= least["block"]
     blocks = F.when(enough, large(F.transform(paragraphs, lambda p, i: block_of("block", i, known(words_of(p)))), "block")).otherwise(none)
-    counted = kept.select(
-        "doc_id",
-        "text",
-        F.xxhash64("text").alias("text_key"),
-        F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + F.size(x)).alias("n_words"),
-        F.when(said, F.flatten("lines")).alias("words"),
-        tokens.alias("tokens"),
-    )
+    counted = kept.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.size("words").cast("bigint").alias("n_words"), "words", tokens.alias("tokens"))
     base = checkpointed(counted.select("doc_id", "text_key", "n_words", placed.alias("places"), F.concat(numbered, blocks).alias("blocks")))
 
     # Global order: how many blocks hold each word; the vocabulary bounds what is collected.
