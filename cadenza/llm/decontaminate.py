@@ -221,6 +221,7 @@ class Items:
     def reports(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From (..., text): the other columns with n_words, spans and items; so few rows at once that what they list stays bounded."""
         known: dict[bytes, list[str]] = {}
+        kept = 0
         for batch in batches:
             texts, rest = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
             for a, b, counts, spans, windows in self.searched(texts):
@@ -228,9 +229,11 @@ class Items:
                 for i, own in enumerate(windows):
                     key = own.tobytes()
                     if key not in known:
-                        if sum(map(len, known.values())) > ROWS_OUT:
+                        if kept > ROWS_OUT:
                             known.clear()
+                            kept = 0
                         known[key] = self.items_of(own)
+                        kept += 1 + len(known[key])
                     if listed and listed + len(known[key]) + len(spans[i]) > ROWS_OUT:
                         yield self._batch(rest.slice(a + start, i - start), counts[start:i], spans[start:i], items)
                         start, listed, items = i, 0, []
