@@ -185,13 +185,19 @@ def scored(texts: pa.Array, model) -> pa.Array:
 
 
 def _feature_rows(df: DataFrame, most: int) -> np.ndarray:
-    """The features of at most so many rows of (id, text), by the hash of both; one row for rows that are alike."""
+    """The features of at most so many rows of (id, text), by the hash of both; one row for rows that are alike.
+
+    Rows are counted first, and only those whose hash lies under a threshold, a few
+    times as many as are wanted, are put in order: what one task gets does not grow.
+    """
 
     def rows(t: pa.Array) -> pa.Array:
         x = features([v or b"" for v in t.cast(pa.large_binary()).to_pylist()])
         return pa.array([r.tobytes() for r in x], pa.binary())
 
-    chosen = df.select(F.xxhash64("id", "text").alias("h"), F.col("text").cast("string").alias("text")).orderBy("h", "text").limit(most).dropDuplicates(["h", "text"])
+    share = min(1.0, 4.0 * most / max(1, df.select("id").count()))
+    hashed = df.select(F.shiftrightunsigned(F.xxhash64("id", "text"), 1).alias("h"), F.col("text").cast("string").alias("text")).filter(F.col("h") <= F.lit(share * 2.0**63))
+    chosen = hashed.dropDuplicates(["h", "text"]).orderBy("h", "text").limit(most)
     got = chosen.select("h", F.arrow_udf(rows, "binary")("text").alias("x")).collect()
     return np.array([np.frombuffer(r["x"], np.float32) for r in sorted(got, key=lambda r: (r["h"], r["x"]))], np.float32).reshape(-1, N_FEATURES)
 
