@@ -3,8 +3,9 @@
 1. Texts become sets of shingle hashes; texts with equal sets are one class, and
    a class is joined as its least document.
 2. Blocks only narrow down what has to be joined: ordered by a frequency sketch,
-   rarest first, two sets that link share one of their first shingles, and parity
-   bitmaps give a lower bound of every distance. What neither can separate is a region.
+   rarest first, two sets that link share one of their first shingles, their sizes are
+   near, and parity bitmaps give a lower bound of every distance. What none of these can
+   separate is a region.
 3. Every region is joined by pivots. Each of its documents goes to the Voronoi cell
    of its nearest pivot and, where the triangle inequality leaves a link across the
    border possible, to the cells beyond; cells are joined in the same way until they
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import checkpointed, few, shipped, slices, spaced_words, stored, tidy
@@ -45,8 +46,10 @@ MAX_REGION, PART_SHINGLES = 250_000, 100_000
 #: Pivots at once, members of a cell that is not split any more, and the share of a region's pairs that its cells may have left between them.
 PIVOTS, LEAF, STUCK = 8, 16, 0.5
 
-#: Ids up to this number are broadcast; more are joined by a shuffle.
+#: Ids up to this number are broadcast; of more a Bloom filter is, so that texts stay where they are.
 MAX_BROADCAST_IDS = 1_000_000
+#: Parts in which a Bloom filter is made, ids for each of its words of 64 bits, and its most words (32 MB).
+MARK_PARTS, MARK_IDS, MARK_WORDS = 64, 4, 1 << 22
 
 _SLICE = 1 << 20
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, 2 * WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,6 +150,62 @@ def parity_bits(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+class Marks:
+    """A Bloom filter of ids' hashes: a word for each, and four bits of it."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def held(self, hashes: np.ndarray) -> np.ndarray:
+        bits = _mark_bits(hashes)
+        return self.words[_mark_word(hashes, len(self.words))] & bits == bits
+
+
+def _mark_word(hashes: np.ndarray, words: int) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(65 - words.bit_length())).astype(np.int64)
+
+
+def _mark_bits(hashes: np.ndarray) -> np.ndarray:
+    h, one = hashes.view(np.uint64), np.uint64(1)
+    return np.bitwise_or.reduce([one << (h >> np.uint64(6 * j) & np.uint64(63)) for j in range(4)])
+
+
+def marks(ids: DataFrame) -> Marks:
+    """A Bloom filter of the integers in the only column of ``ids``. Up to 16,000,000 it lets about one other in a hundred through."""
+    words = min(MARK_WORDS, max(MARK_PARTS, 1 << (ids.count() // MARK_IDS).bit_length()))
+    each = words // MARK_PARTS
+
+    def filled(table: pa.Table) -> pa.Table:
+        hashes = table["h"].to_numpy()
+        part = table["part"][0].as_py()
+        own = np.zeros(each, np.uint64)
+        np.bitwise_or.at(own, _mark_word(hashes, words) - part * each, _mark_bits(hashes))
+        return pa.table({"part": pa.array([part], pa.int32()), "words": pa.array([own.tobytes()], pa.binary())})
+
+    hashed = ids.select(F.xxhash64(ids.columns[0]).alias("h")).withColumn("part", F.shiftrightunsigned("h", 65 - MARK_PARTS.bit_length()).cast("int"))
+    out = np.zeros((MARK_PARTS, each), np.uint64)
+    for r in hashed.groupBy("part").applyInArrow(filled, "part int, words binary").collect():
+        out[r["part"]] = np.frombuffer(r["words"], np.uint64)
+    return Marks(out.reshape(-1))
+
+
+def marked(spark, made: Marks, doc_id: Column) -> Column:
+    """Whether an id is among those of ``marks``: true for all of them, and for a few others."""
+    here = shipped(spark, made)
+
+    def held(hashes: pa.Array) -> pa.Array:
+        return pa.array(here().held(hashes.to_numpy(zero_copy_only=False)), pa.bool_())
+
+    return F.arrow_udf(held, "boolean")(F.xxhash64(doc_id))
+
+
+def _narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with a doc_id in ``ids``; if those are too many to be broadcast, a few others are left among them."""
+    if few(ids, MAX_BROADCAST_IDS):
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return docs.filter(marked(docs.sparkSession, marks(ids), F.col("doc_id")))
+
+
 class Blocker:
     """Rows of one document each: its first shingles in the global order, and its bitmap."""
 
@@ -460,17 +519,15 @@ def component_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     def rows(batches):
         return here().rows(batches)
 
-    reps, columns = classes.select(F.col("rep").alias("doc_id")), "x bigint, n bigint, firsts array<bigint>, bits binary"
-    if few(reps, MAX_BROADCAST_IDS):
-        blocked = docs.join(F.broadcast(reps), "doc_id", "left_semi").mapInArrow(rows, columns)
-    else:
-        # What is shuffled then is a fraction of the texts.
-        blocked = docs.mapInArrow(rows, columns).join(reps, F.col("x") == F.col("doc_id"), "left_semi")
+    # A copy that is left among the representatives only links with its own.
+    blocked = _narrowed(docs, classes.select(F.col("rep").alias("doc_id"))).mapInArrow(rows, "x bigint, n bigint, firsts array<bigint>, bits binary")
     blocks = checkpointed(blocked.filter("n > 0"))
-    # A shingle that only one document has first joins nothing.
-    firsts = blocks.select("x", "n", F.explode("firsts").alias("s"))
-    shared = firsts.groupBy("s").agg(F.min("x").alias("pivot"), F.max("x").alias("last")).filter("pivot <> last").drop("last")
-    pairs = checkpointed(firsts.join(shared, "s").filter("x <> pivot").select("pivot", "x", "n").distinct())
+    # Of those that have a shingle first, ordered by size, one much larger than the last begins a group of its own; one alone joins nothing.
+    alike = Window.partitionBy("s").orderBy("n", "x")
+    firsts = blocks.select("x", "n", F.explode("firsts").alias("s")).withColumn("last", F.lag("n").over(alike))
+    heads = firsts.withColumn("head", F.when(F.col("last").isNull() | (F.col("n") * PERCENT > F.col("last") * 100), F.col("x")))
+    pivots = heads.withColumn("pivot", F.last("head", ignorenulls=True).over(alike.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    pairs = checkpointed(pivots.filter("x <> pivot").select("pivot", "x", "n").distinct())
     wide = checkpointed(pairs.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("n").alias("n")).filter((F.col("m") > MAX_BLOCK) | (F.col("n") > MAX_BLOCK_SHINGLES)).select(F.col("pivot").alias("wide")))
     pairs = pairs.select("pivot", "x")
     members = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("x")).distinct())
@@ -487,8 +544,7 @@ def component_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             tidy()
 
     linked = regions.select(F.col("node").alias("doc_id"))
-    chosen = docs.join(F.broadcast(linked) if few(linked, MAX_BROADCAST_IDS) else linked, "doc_id", "left_semi")
-    found = chosen.mapInArrow(items, "x bigint, items binary")
+    found = _narrowed(docs, linked).mapInArrow(items, "x bigint, items binary")
     whole = checkpointed(found.join(regions, F.col("x") == F.col("node")).select(F.col("root").cast("string").alias("region"), "x", "items"))
     links = None
     for part in joined_regions(whole):
@@ -548,7 +604,15 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         own = found.join(numbered.select(F.col("__row").alias("row"), F.col(at[doc_id]).alias("id")), "row")
         first = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("m"))
         gone = own.join(first.select(F.col("root").alias("r"), F.col("m.row").alias("stays")), F.col("root") == F.col("r")).filter("row <> stays").select(F.col("row").alias("__gone"))
-    kept = numbered.join(F.broadcast(gone) if few(gone, MAX_BROADCAST_IDS) else gone, F.col("__row") == F.col("__gone"), "left_anti")
+    if few(gone, MAX_BROADCAST_IDS):
+        kept = numbered.join(F.broadcast(gone), F.col("__row") == F.col("__gone"), "left_anti")
+    else:
+        # What a Bloom filter says stays; of what it says goes, only ids are joined, to find those that stay nevertheless.
+        made = marks(gone)
+        stay = found.select(F.col("row").alias("__stays")).join(gone, F.col("__stays") == F.col("__gone"), "left_anti")
+        stay = checkpointed(stay.filter(marked(docs.sparkSession, made, F.col("__stays"))))
+        told = numbered.withColumn("__told", marked(docs.sparkSession, made, F.col("__row")))
+        kept = told.join(_small(stay), F.col("__row") == F.col("__stays"), "left").filter("NOT __told OR __stays IS NOT NULL")
     return kept.select(*(F.col(at[c]).alias(c) for c in columns))
 
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import decontaminate, jaccard_join, language_id, license_scan, lm_score, queries, quality_classifier, quality_rules, url_filter
 
@@ -99,6 +100,39 @@ def test_jaccard_joins_what_pivots_do_not_split(spark, monkeypatch):
     check_components(spark, texts)
 
 
+def test_jaccard_moves_no_text_of_many_documents(spark, monkeypatch):
+    """With more ids than are broadcast no text is joined by a shuffle, and the rows are the same, also where others pass the Bloom filters."""
+    texts = near_copies(3, 40, 5, 60)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    parts = brute_components(texts)
+    want = sorted({c for _, c in parts.values()})
+    monkeypatch.setattr(jaccard_join, "MAX_BROADCAST_IDS", 20)
+    assert len(want) > 20 and len(parts) - len(want) > 20
+    if hasattr(jaccard_join, "Marks"):
+        held = jaccard_join.Marks.held
+        monkeypatch.setattr(jaccard_join.Marks, "held", lambda self, h: held(self, h) | (h % 7 == 0))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(df).collect()} == parts
+    kept = jaccard_join.one_of_each(df)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_jaccard_pairs_only_what_size_allows(spark):
+    """Documents that share their rarest shingles but not their size are no candidates; a chain of sizes keeps its links."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(n, " ".join(words[:n])) for n in (40, 100, 110, 125, 150, 400)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(dict(rows)).items()}
+    assert got[125] == 100 and got[40] == 40 and got[400] == 400
+
+
+def test_marks_hold_all_ids_and_few_others(spark):
+    made = jaccard_join.marks(spark.range(0, 3_000_000, 3).toDF("i"))
+    passed = spark.range(3_000_000).select("id", jaccard_join.marked(spark, made, F.col("id")).alias("m")).filter("m")
+    row = passed.agg(F.sum((F.col("id") % 3 == 0).cast("int")).alias("own"), F.sum((F.col("id") % 3 != 0).cast("int")).alias("others")).first()
+    assert row["own"] == 1_000_000 and row["others"] < 40_000
+
+
 def test_jaccard_on_many_near_copies(spark):
     rng = random.Random(21)
     base = [f"w{i}" for i in range(100)]
